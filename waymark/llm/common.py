@@ -22,12 +22,21 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    set_now = sc._jsc.sc().getCheckpointDir()
+    if not set_now.isDefined():
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        set_now = sc._jsc.sc().getCheckpointDir()
+    return named or set_now.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read from there, so that it is computed once and
-    survives lost executors. A folder of its own is made only where spark.checkpoint.dir is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """df written to the shared checkpoint folder and read from there, so that it is computed once and survives lost
+    executors."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, langid, mixing, sharding, simhash, tokens
+from . import audio, decontam, htmltext, langid, licenses, mixing, sharding, simhash, tokens, toxicity
 from .common import read_table
 
 
@@ -23,6 +23,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,9 +39,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_tokens, op5_language, op6_simhash, op7_sharding, op10_audio)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio)}
+ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql()}
