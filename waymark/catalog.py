@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from waymark.plans import kernel, relational
+from waymark.plans.dialect import duckdb_sql, spark_query
+
+_TEMPLATES = kernel.SQL | relational.SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: spark_query(t) for name, t in _TEMPLATES.items()}
+ORACLES: dict[str, str] = {name: duckdb_sql(t) for name, t in _TEMPLATES.items()}
