@@ -6,10 +6,11 @@ Runs on raw fixes, before densifying and counting. One trace is the unit of work
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from waymark.functions.geo import DEGREE_M, metres
+from waymark.operators.packed import packed, traces
 
 MASKED = "activity_id long, piece int, point int, lon double, lat double"
 
@@ -40,7 +41,7 @@ def masked_pieces(lon: np.ndarray, lat: np.ndarray, run: np.ndarray, radius: flo
     if len(xy) < 2:
         return []
     if radius <= 0:
-        return [xy[run == r] for r in pd.unique(run) if (run == r).sum() >= 2]
+        return [xy[run == r] for r in dict.fromkeys(run.tolist()) if (run == r).sum() >= 2]
     head, head_pad, first = end_zone(lon, lat, **zone)
     tail, tail_pad, back = end_zone(lon[::-1], lat[::-1], **zone)
     last = len(xy) - 1 - back
@@ -52,7 +53,7 @@ def masked_pieces(lon: np.ndarray, lat: np.ndarray, run: np.ndarray, radius: flo
     place = lambda p: (p[:, None, :] - centre[None]) * scale[None]  # noqa: E731  metres from each centre
     hidden = lambda p: ((place(p) ** 2).sum(axis=2) < reach**2).any(axis=1)
     pieces: list[np.ndarray] = []
-    for r in pd.unique(run[first : last + 1]):
+    for r in dict.fromkeys(run[first : last + 1].tolist()):
         own = xy[first : last + 1][run[first : last + 1] == r]
         if len(own) < 2:
             continue
@@ -82,12 +83,10 @@ def mask_traces(fixes: DataFrame, radius: float = 200.0) -> DataFrame:
 
     Traces of fewer than two fixes, and traces that never leave their end zones, have no rows."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["lon", "lat"]).sort_values("seq")
-        pieces = masked_pieces(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["run_id"].to_numpy(), radius)
-        rows = [(k, i, x, y) for k, p in enumerate(pieces) for i, (x, y) in enumerate(p)]
-        out = pd.DataFrame(rows, columns=["piece", "point", "lon", "lat"])
-        out.insert(0, "activity_id", pdf["activity_id"].iloc[0] if len(pdf) else 0)
-        return out
+    def run(batches):
+        for b in batches:
+            out = [(key, k, i, x, y) for key, lon, lat, r in traces(b) for k, p in enumerate(masked_pieces(lon, lat, r, radius)) for i, (x, y) in enumerate(p.tolist())]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["activity_id", "piece", "point", "lon", "lat"])
 
-    return fixes.select("activity_id", "seq", "run_id", "lon", "lat").groupBy("activity_id").applyInPandas(one, MASKED)
+    return packed(fixes.dropna(subset=["lon", "lat"]), "lon", "lat", "run_id").mapInArrow(run, MASKED)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from waymark.functions.geo import DEGREE_M, cumulative
+from waymark.operators.packed import packed, traces
 
 
 def elevation_gain(ele: np.ndarray, window: int = 11, noise: float = 3.0) -> float:
@@ -94,9 +95,10 @@ def density_points(lon: np.ndarray, lat: np.ndarray, every: float = 20.0) -> np.
 def by_trace(fixes: DataFrame, tolerance: float = 20.0, every: float = 100.0) -> DataFrame:
     """activity_id, climb_m, kept (points after simplifying), density (points about every so many metres)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        lon, lat, ele = (pdf[c].to_numpy(float) for c in ("lon", "lat", "ele"))
-        return pd.DataFrame({"activity_id": [pdf["activity_id"].iloc[0]], "climb_m": [elevation_gain(ele)], "kept": [len(simplify(lon, lat, tolerance=tolerance))], "density": [len(density_points(lon, lat, every))]})
+    def run(batches):
+        for b in batches:
+            rows = [(key, elevation_gain(ele), len(simplify(lon, lat, tolerance=tolerance)), len(density_points(lon, lat, every))) for key, lon, lat, ele in traces(b)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["activity_id", "climb_m", "kept", "density"])
 
-    return fixes.select("activity_id", "seq", "lon", "lat", "ele").groupBy("activity_id").applyInPandas(one, "activity_id long, climb_m double, kept int, density int")
+    return packed(fixes, "lon", "lat", "ele").mapInArrow(run, "activity_id long, climb_m double, kept int, density int")
