@@ -108,16 +108,14 @@ class Parser:
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         root = self.width
         for k, table in enumerate(self.tables):
-            state = np.full(len(grid), root, np.int32)
-            count = (columns[0] != 0).astype(np.int64)  # a segment's last phrase
+            state = np.zeros(len(grid), np.int32)  # nowhere: the next symbol begins a phrase
+            count = np.zeros(len(grid), np.int64)
             for c in columns:
                 c = c.astype(np.int32)
                 to = table[state + c]
                 stuck = to == 0
-                again = table[c + root]
-                again[again == 0] = root
                 count += stuck & (c != 0)
-                state = np.where(stuck, again, to)
+                state = np.where(stuck, table[c + root], to)
             out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out, size
 
