@@ -8,6 +8,8 @@ br AS (SELECT *, CASE WHEN d > 70 THEN 1 ELSE 0 END AS brk FROM lg),
 rn AS (SELECT *, sum(brk) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run_id FROM br)"""
 _DIR = f"""{LEGS},
 dl AS (SELECT *, CAST(floor(lat0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilat, CAST(floor(lon0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilon FROM lg WHERE d >= 2 AND sport IN ('mtb', 'gravel') AND {ELIGIBLE})"""
+_FLOW = f"""{_DIR}, rs AS (SELECT sport, ilat, ilon, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw, count(DISTINCT activity_id) AS passes FROM dl GROUP BY sport, ilat, ilon),
+fl AS (SELECT dl.activity_id, dl.sport, dl.ilat, dl.ilon, dl.seq, round(sqrt(rx * rx + ry * ry) / rw, 6) AS oneway, passes, rx * sin(heading) + ry * cos(heading) AS along FROM dl JOIN rs ON dl.sport = rs.sport AND dl.ilat = rs.ilat AND dl.ilon = rs.ilon)"""
 _TILE = "CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y"
 _LEGQ = f"{LEGS}, q AS (SELECT *, sum(d) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM lg)"
 
@@ -50,4 +52,16 @@ SELECT activity_id, m * 100 AS metres, round(lat0 + (lat - lat0) * (m * 100 - (c
     "a21_tile_accumulate": f"WITH {CELLS} SELECT CAST(floor(ilat / 16) AS BIGINT) AS ty, CAST(floor(ilon / 16) AS BIGINT) AS tx, max(user_count) AS user_count, max(pass_count) AS pass_count, max(eff) AS eff FROM graded GROUP BY 1, 2",
     "c12_surface_key": f"WITH {FIXES} SELECT DISTINCT CAST([[rint(lat / CAST(0.0002 AS DOUBLE))||round_even(lat / CAST(0.0002 AS DOUBLE), 0)]] AS BIGINT) AS klat, CAST(floor(lon * 2) AS BIGINT) AS tile FROM fx",
     "c16_popularity_bucket": f"WITH {CELLS} SELECT CASE WHEN pass_count <= 2 THEN 1 WHEN pass_count <= 5 THEN 2 WHEN pass_count <= 15 THEN 3 WHEN pass_count <= 50 THEN 4 ELSE 5 END AS bucket, count(*) AS cells FROM lattice GROUP BY 1",
+    "k01_leg_metres": f"WITH {LEGS} SELECT event_id, round(d, 4) AS metres FROM lg",
+    "k14_leg_bearing": f"WITH {LEGS} SELECT event_id, round(cos(heading), 6) AS north, round(sin(heading), 6) AS east FROM lg WHERE d >= 2",
+    "k16_run_oneway_score": f"WITH {_FLOW} SELECT activity_id, round(avg(oneway), 3) AS oneway_score FROM (SELECT DISTINCT activity_id, ilat, ilon, oneway FROM fl) x GROUP BY activity_id",
+    "k18_representative_cell": f"WITH {_FLOW} SELECT activity_id, ilat, ilon, passes FROM (SELECT activity_id, ilat, ilon, passes, row_number() OVER (PARTITION BY activity_id ORDER BY abs(passes - 5), min(seq)) AS rk FROM fl GROUP BY activity_id, ilat, ilon, passes) x WHERE rk = 1",
+    "k19_flow_sign": f"WITH {_FLOW} SELECT activity_id, CAST(sign(round(sum(along), 3)) AS INT) AS flow FROM fl GROUP BY activity_id",
+    "k20_orient": f"WITH {_FLOW}, o AS (SELECT activity_id, sum(CASE WHEN round(along, 3) >= 0 THEN 1 ELSE 0 END) AS f, sum(CASE WHEN round(along, 3) < 0 THEN 1 ELSE 0 END) AS b FROM fl GROUP BY activity_id) SELECT activity_id, greatest(f, b) AS forward_count, least(f, b) AS backward_count, f < b AS turned FROM o",
+    "k22_effective_passes": f"WITH {CELLS} SELECT sport, sum(eff) AS eff, sum(pass_count) AS passes, sum(CASE WHEN eff < pass_count THEN 1 ELSE 0 END) AS capped FROM graded GROUP BY sport",
+    "k25_point_series": f"WITH {CELLS} SELECT fx.event_id, greatest(1, coalesce(pass_count, 1)) AS passes, greatest(1, coalesce(user_count, 1)) AS users FROM fx LEFT JOIN lattice l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon",
+    "k37_rounded_coordinates": f"WITH {FIXES} SELECT event_id, round(lon, 5) AS lon, round(lat, 5) AS lat, round(ele, 1) AS ele FROM fx",
+    "k46_endpoint_slope": f"WITH {_LEGQ}, e AS (SELECT activity_id, max(cum) AS way, min(seq) AS a, max(seq) AS b FROM q GROUP BY activity_id) SELECT e.activity_id, round((z.ele - s.ele) / way * 100, 3) AS slope_pct FROM e JOIN q s ON s.activity_id = e.activity_id AND s.seq = e.a JOIN q z ON z.activity_id = e.activity_id AND z.seq = e.b WHERE way > 0",
+    "t01_world_pixel": f"WITH {FIXES} SELECT event_id, round((lon + 180) / 360 * 256 * 4096, 4) AS px, round((CAST(0.5 AS DOUBLE) - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 4096, 4) AS py FROM fx",
+    "t02_tile_range": f"WITH {FIXES}, t AS (SELECT activity_id, {_TILE} FROM fx) SELECT activity_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS tiles FROM t GROUP BY activity_id",
 }

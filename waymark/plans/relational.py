@@ -85,4 +85,30 @@ SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_arou
     "m10_reaper": f"SELECT event_id, CASE WHEN ts < {_NOW} - INTERVAL '15' DAY AND event_id % 7 >= 5 THEN 'failed' ELSE event_type END AS status FROM {{events}}",
     "r08_window_dedup": "SELECT user_id, [[CAST(floor(unix_timestamp(ts) / 300) AS BIGINT)||CAST(floor(epoch(ts) / 300) AS BIGINT)]] AS w, count(*) AS n FROM {events} GROUP BY 1, 2",
     "r09_trailing_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS recent FROM {events}",
+    "a08_contribution_status": f"{_A} SELECT user_id, count(*) AS n, max(started) AS newest FROM act WHERE contribute AND source = 'manual_upload' AND activity_date IS NOT NULL GROUP BY user_id",
+    "a11_two_conditional_counts": f"SELECT user_id, count(*) FILTER (WHERE ts >= {_NOW} - INTERVAL '1' DAY) AS last_day, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM {{events}} GROUP BY user_id",
+    "a17_match_status": "SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM {orders} GROUP BY o_orderstatus",
+    "a19_default_sport_count": f"{_A} SELECT user_id, count(*) AS n FROM act WHERE sport = 'road' AND n_fixes < 12 GROUP BY user_id",
+    "a22_data_bounds": f"{_A} SELECT sport, round(min(min_lat), 6) AS south, round(max(max_lat), 6) AS north, round(min(min_lon), 6) AS west, round(max(max_lon), 6) AS east FROM act GROUP BY sport",
+    "a23_trip_days": "SELECT o_custkey, max(month(o_orderdate)) + 1 AS days FROM {orders} GROUP BY o_custkey",
+    "a24_unread_count": "SELECT user_id, count(*) FILTER (WHERE event_id % 3 = 0) AS unread FROM {events} GROUP BY user_id",
+    "c05_default_flag": f"{_A} SELECT activity_id, sport = 'road' AND user_id % 2 = 0 AND n_fixes < 12 AS sport_is_default FROM act",
+    "c11_way_surface": "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'paved' WHEN lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%tin%' THEN 'unpaved' ELSE 'unknown' END AS surface FROM {part}",
+    "c14_cell_class_with_neighbours": f"""WITH {CELLS}, o AS (SELECT DISTINCT ilat, ilon FROM lattice), k AS (SELECT ilat, ilon, (ilat * 7 + ilon * 3) % 5 AS c FROM o), n1 AS (SELECT ilat AS a, ilon AS b, [[explode(array(ilat - 1, ilat, ilat + 1))||unnest([ilat - 1, ilat, ilat + 1])]] AS ilat, ilon FROM k WHERE c = 4), n2 AS (SELECT a, b, ilat, [[explode(array(ilon - 1, ilon, ilon + 1))||unnest([ilon - 1, ilon, ilon + 1])]] AS ilon FROM n1),
+nb AS (SELECT a, b, count(CASE WHEN c < 2 THEN 1 END) AS p, count(CASE WHEN c IN (2, 3) THEN 1 END) AS u FROM n2 JOIN k ON n2.ilat = k.ilat AND n2.ilon = k.ilon GROUP BY a, b)
+SELECT k.ilat, k.ilon, CASE WHEN c < 2 THEN 'P' WHEN c < 4 THEN 'U' WHEN nb.p > 0 AND nb.u > 0 THEN 'A' WHEN nb.p > 0 THEN 'P' WHEN nb.u > 0 THEN 'U' ELSE 'N' END AS class FROM k LEFT JOIN nb ON k.ilat = nb.a AND k.ilon = nb.b""",
+    "c17_safe_names": "SELECT doc_id, [[regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_')||regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g')]] AS file_name FROM {documents}",
+    "j11_bool_or_having": "SELECT c_custkey, count(*) AS n FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey HAVING bool_or(o_orderstatus = 'P')",
+    "j16_version_fallback": "SELECT o_orderkey, coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), max(l_extendedprice), o_totalprice) AS shown FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice",
+    "j22_natural_key_merge": "SELECT coalesce(a.n_name, b.r_name) AS name, a.n_nationkey, b.r_regionkey FROM {nation} a FULL OUTER JOIN {region} b ON a.n_name = b.r_name",
+    "j23_changed_rows": f"{_A}, old AS (SELECT activity_id, sport FROM act), new AS (SELECT activity_id, CASE WHEN n_fixes > 12 THEN 'gravel' ELSE sport END AS sport FROM act WHERE user_id % 9 <> 0) SELECT coalesce(old.activity_id, new.activity_id) AS activity_id FROM old FULL OUTER JOIN new ON old.activity_id = new.activity_id WHERE old.sport IS DISTINCT FROM new.sport",
+    "j26_orphan_sweep": "SELECT DISTINCT e.user_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id * 11)",
+    "l02_latest_reversed": "SELECT event_id, ts FROM (SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 40) x ORDER BY ts, event_id",
+    "l04_default_sports_newest": f"{_A} SELECT activity_id, activity_date FROM act WHERE sport = 'road' ORDER BY activity_date DESC NULLS LAST, activity_id LIMIT 30",
+    "l09_ordered_stages": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate ASC NULLS LAST, l_linenumber) AS position FROM {lineitem}",
+    "m02_promote_twin": f"{_A}, twin AS (SELECT user_id, sport, max(activity_id) AS t FROM act WHERE source = 'manual_upload' GROUP BY user_id, sport) SELECT act.activity_id, coalesce(twin.t, act.activity_id) AS geometry_from FROM act LEFT JOIN twin ON act.user_id = twin.user_id AND act.sport = twin.sport",
+    "m06_guarded_update": f"{_A} SELECT activity_id, CASE WHEN sport = 'gravel' AND user_id % 3 = 0 THEN 'offroad' ELSE sport END AS sport FROM act",
+    "m07_deep_copy": "SELECT l_orderkey + 10000000 AS new_key, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'",
+    "m11_evidence_purge": f"{_A} SELECT activity_id FROM act WHERE source = 'strava_api' AND EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = act.user_id AND e.event_type = 'error') AND n_fixes < 12",
+    "r05_revision_counts": "SELECT user_id, count(DISTINCT [[date_trunc('DAY', ts)||date_trunc('day', ts)]]) AS revision, count(*) AS changes FROM {events} GROUP BY user_id",
 }
