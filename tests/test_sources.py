@@ -1,4 +1,5 @@
 import gzip
+import io
 import zipfile
 
 from waymark.sources import archives
@@ -22,3 +23,16 @@ def test_archives(spark, tmp_path):
     listing = spark.createDataFrame([("Activities/1.gpx", "gravel"), ("activities/2.gpx.gz", None)], "filename string, sport string")
     state = {r["member"]: (r["csv_listed"], r["csv_sport"]) for r in archives.listed(found, listing).collect()}
     assert state["activities/1.gpx"] == (True, "gravel") and state["activities/2.GPX.gz"] == (True, None) and state["routes/4.gpx"] == (False, None)
+
+
+def test_nested_archives():
+    def packed(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files.items():
+                z.writestr(name.replace("_", "."), data)
+        return out.getvalue()
+
+    rows = list(archives.members("a", packed(a_gpx=b"1", in_zip=packed(b_gpx=b"2", deep_zip=packed(c_gpx=b"3")), bad_zip=b"no")))
+    assert [(r[1], r[2], r[3]) for r in rows] == [("a.gpx", "activity", b"1"), ("in.zip/b.gpx", "activity", b"2"), ("in.zip/deep.zip", "archive", None), ("bad.zip", None, None)]
+    assert "not an archive" in rows[3][4]

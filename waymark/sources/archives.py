@@ -15,20 +15,25 @@ MAX_MEMBERS, MAX_BYTES = 50_000, 64 << 20
 
 
 def member_kind(name: str) -> str:
-    """activity, route, junk, unsafe (leaves the archive) or other, by the member's name."""
+    """activity, route, archive, junk, unsafe (leaves the archive) or other, by the member's name."""
     parts = [p for p in name.replace("\\", "/").split("/") if p]
     if name.startswith("/") or ".." in parts:
         return "unsafe"
     if not parts or "__MACOSX" in parts or parts[-1].startswith("."):
         return "junk"
     base = parts[-1].lower().removesuffix(".gz")
+    if base.endswith(".zip"):
+        return "archive"
     if not base.endswith((".gpx", ".fit")):
         return "other"
     return "route" if "routes" in [p.lower() for p in parts[:-1]] else "activity"
 
 
-def members(archive: str, content: bytes):
-    """(archive, member, kind, content, error) of each file; nothing but activities and routes is unpacked."""
+def members(archive: str, content: bytes, nested: bool = True):
+    """(archive, member, kind, content, error) of each file; nothing but activities and routes is unpacked.
+
+    Archives inside the archive are opened one level deep, their members named outer.zip/inner; deeper ones are rows
+    without content."""
     try:
         packed = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
@@ -40,7 +45,7 @@ def members(archive: str, content: bytes):
         return
     for info in found:
         kind = member_kind(info.filename)
-        if kind not in ("activity", "route"):
+        if kind not in ("activity", "route") and not (kind == "archive" and nested):
             yield archive, info.filename, kind, None, None
             continue
         try:
@@ -51,6 +56,10 @@ def members(archive: str, content: bytes):
                     data = f.read(MAX_BYTES + 1)
             if len(data) > MAX_BYTES:
                 raise ValueError("too large")
+            if kind == "archive":
+                for _, name, *rest in members(archive, data, nested=False):
+                    yield archive, info.filename if name is None else f"{info.filename}/{name}", *rest
+                continue
             yield archive, info.filename, kind, data, None
         except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile) as e:
             yield archive, info.filename, kind, None, str(e)
