@@ -32,3 +32,21 @@ def hilbert_tile_id(z: int, x: int, y: int) -> int:
             x, y = y, x
         x, y, s = x & (s - 1), y & (s - 1), s >> 1
     return before + d
+
+
+def tile_of_hilbert_id(tile: int) -> tuple[int, int, int]:
+    """(z, x, y) of a place along the Hilbert curves; the inverse of hilbert_tile_id."""
+    z = 0
+    while tile >= 1 << (2 * z):
+        tile -= 1 << (2 * z)
+        z += 1
+    x = y = 0
+    for k in range(z):
+        s = 1 << k
+        rx, ry = (tile >> 1) & 1, ((tile >> 1) ^ tile) & 1
+        if not ry:
+            if rx:
+                x, y = s - 1 - x, s - 1 - y
+            x, y = y, x
+        x, y, tile = x + s * rx, y + s * ry, tile >> 2
+    return z, x, y

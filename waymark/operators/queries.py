@@ -3,15 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.operators import privacy, shapes
+from waymark.operators import heatmap, privacy, shapes, tiles
 from waymark.plans.dialect import spark_query
-from waymark.plans.kernel import _RUNS
-from waymark.plans.traces import FIXES
+from waymark.plans.kernel import _DIR, _RUNS
+from waymark.plans.traces import CELLS, ELIGIBLE, FIXES
 
 _runs = spark_query(f"WITH {_RUNS} SELECT activity_id, seq, run_id, lon, lat FROM rn")
 _fixes = spark_query(f"WITH {FIXES} SELECT activity_id, seq, lon, lat, ele FROM fx")
 
+_lattice = spark_query(f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count, eff FROM graded")
+_gated = spark_query(f"""WITH {CELLS}, pp AS (SELECT fx.activity_id, fx.seq, fx.sport, lon, lat, pass_count, user_count, eff FROM fx JOIN graded l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon WHERE {ELIGIBLE}),
+ch AS (SELECT *, CASE WHEN (user_count >= 2) = lag(user_count >= 2) OVER (PARTITION BY activity_id ORDER BY seq) THEN 0 ELSE 1 END AS cut FROM pp),
+isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM ch)
+SELECT activity_id, run, seq, sport, lon, lat, pass_count, user_count, eff FROM isl WHERE user_count >= 2""")
+_flows = spark_query(f"""WITH {_DIR}, rf AS (SELECT sport, ilat, ilon, min_by(heading, struct(activity_id, seq)) AS ref FROM dl GROUP BY sport, ilat, ilon)
+SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT activity_id) AS passes, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw,
+  count(DISTINCT CASE WHEN cos(heading - ref) >= -1e-6D THEN activity_id END) AS forward, count(DISTINCT CASE WHEN cos(heading - ref) < -1e-6D THEN activity_id END) AS backward
+FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""")
+
+
+def _trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = heatmap.directed(heatmap.graded_pieces(_gated(spark, sf_dir)), _flows(spark, sf_dir))
+    return heatmap.heated(pieces, _lattice(spark, sf_dir))
+
+
+def k28_k33_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trails(spark, sf_dir)
+
+
+def s26_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.vector_tiles(tiles.tile_legs(_trails(spark, sf_dir), list(range(6, 16)))).withColumn("bytes", F.length("tile")).drop("tile")
+
+
+def t05_t09_raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sports together up to zoom 14, each of its own up to zoom 12."""
+    legs = tiles.tile_legs(_trails(spark, sf_dir), list(range(6, 15)), 256)
+    of = lambda sport: tiles.raster_tiles(legs if sport is None else legs.filter("z <= 12"), sport=sport).select(F.lit(sport).cast("string").alias("sport"), "z", "x", "y", "lit", "top")
+    return of(None).unionByName(of("mtb")).unionByName(of("gravel")).unionByName(of("road"))
+
 
 def k09_radial_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived traces are some 600 m long, so the radius is 40 m here; real traces take 200 m."""
@@ -22,4 +53,4 @@ def k03_k30_k36_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.by_trace(_fixes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (k09_radial_mask, k03_k30_k36_shapes)}
+QUERIES = {f.__name__: f for f in (k09_radial_mask, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles)}
