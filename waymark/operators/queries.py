@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import heatmap, privacy, shapes, tiles
+from waymark.operators import heatmap, matching, pairing, privacy, shapes, tiles
 from waymark.plans.dialect import spark_query
 from waymark.plans.kernel import _DIR, _RUNS
-from waymark.plans.traces import CELLS, ELIGIBLE, FIXES
+from waymark.plans.traces import ACTIVITIES, CELLS, ELIGIBLE, FIXES
 
 _runs = spark_query(f"WITH {_RUNS} SELECT activity_id, seq, run_id, lon, lat FROM rn")
 _fixes = spark_query(f"WITH {FIXES} SELECT activity_id, seq, lon, lat, ele FROM fx")
@@ -23,6 +23,9 @@ SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT activity_id) AS passes, sum(d
   count(DISTINCT CASE WHEN cos(heading - ref) >= -1e-6D THEN activity_id END) AS forward, count(DISTINCT CASE WHEN cos(heading - ref) < -1e-6D THEN activity_id END) AS backward
 FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""")
 
+_twins = spark_query(f"""WITH {ACTIVITIES} SELECT a.activity_id AS absorbed, b.activity_id AS survivor, a.activity_id * 1000000000 + b.activity_id AS rank, a.source = 'manual_upload' AND b.source <> 'manual_upload' AS keep_absorbed
+FROM act a JOIN act b ON b.user_id = a.user_id - 1 AND a.user_id % 2 = 1 WHERE abs(unix_timestamp(a.started) - unix_timestamp(b.started)) <= 172800""")
+
 
 def _trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = heatmap.directed(heatmap.graded_pieces(_gated(spark, sf_dir)), _flows(spark, sf_dir))
@@ -44,6 +47,17 @@ def t05_t09_raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(None).unionByName(of("mtb")).unionByName(of("gravel")).unionByName(of("road"))
 
 
+def m04_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.resolve_pairs(_twins(spark, sf_dir))
+
+
+def j20_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trace against every piece of trail."""
+    traces = _fixes(spark, sf_dir).groupBy("activity_id").agg(F.expr("transform(sort_array(collect_list(struct(seq, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).withColumnRenamed("activity_id", "track_id")
+    ways = heatmap.graded_pieces(_gated(spark, sf_dir)).select(F.expr("activity_id * 1000000 + run * 1000 + piece").alias("way_id"), F.expr("transform(arrays_zip(lon, lat), p -> array(p.lon, p.lat))").alias("coords"))
+    return matching.match_lines(traces, ways)
+
+
 def k09_radial_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived traces are some 600 m long, so the radius is 40 m here; real traces take 200 m."""
     return privacy.mask_traces(_runs(spark, sf_dir), 40.0)
@@ -53,4 +67,4 @@ def k03_k30_k36_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.by_trace(_fixes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (k09_radial_mask, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles)}
+QUERIES = {f.__name__: f for f in (k09_radial_mask, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles, m04_greedy_pairs, j20_line_match)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,9 @@ def build_session(cpus: int | None = None, shuffle_partitions: int | None = None
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, read by Spark so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder named in spark.checkpoint.dir; to one of our own only where that is unset (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
