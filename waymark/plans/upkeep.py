@@ -12,6 +12,9 @@ su AS (SELECT DISTINCT activity_id, CAST([[rint((lat0 + (lat - lat0) * k / n) /
 _CLASS = "CASE (klat * 7 + klon * 3) % 5 WHEN 0 THEN 'P' WHEN 1 THEN 'U' WHEN 2 THEN 'U' WHEN 3 THEN 'A' ELSE 'N' END"
 #: The kernel radius in CSS pixels at zooms 6, 8, 10, 13, 16 and 18, straight between them.
 _RAMP = "CASE WHEN z <= 6 THEN 3 WHEN z <= 8 THEN 3 + 1.5 * (z - 6) / 2 WHEN z <= 10 THEN 4.5 + (z - 8) / 2 WHEN z <= 13 THEN 5.5 + 2.5 * (z - 10) / 3 WHEN z <= 16 THEN 8 + 2 * (z - 13) / 3 WHEN z <= 18 THEN 10 + 2 * (z - 16) / 2 ELSE 12 END"
+#: A point of a GPX document, and all points of a group in order.
+_POINT = """concat('<trkpt lat="', CAST(CAST(round(lat, 5) AS DECIMAL(9, 5)) AS STRING), '" lon="', CAST(CAST(round(lon, 5) AS DECIMAL(9, 5)) AS STRING), '"><ele>', CAST(CAST(round(ele, 1) AS DECIMAL(6, 1)) AS STRING), '</ele></trkpt>')"""
+_POINTS = f"[[listagg({_POINT}, '') WITHIN GROUP (ORDER BY seq)||string_agg({_POINT}, '' ORDER BY seq)]]"
 _ZOOMS = "[[explode(sequence(0, 22))||unnest(range(0, 23))]] AS z"
 
 SQL = {
@@ -30,6 +33,9 @@ SELECT event_id, round(along, 5) AS along, round(sqrt(power(px - along * dx, 2)
     "w02_leg_deltas": f"WITH {LEGS} SELECT event_id, round(d, 4) AS metres, round(ele - ele0, 4) AS rise FROM lg WHERE lat0 IS NOT NULL",
     "s31_personal_summary": f"WITH {ACTIVITIES} SELECT user_id, count(*) AS activities, round(min(min_lon), 6) AS west, round(min(min_lat), 6) AS south, round(max(max_lon), 6) AS east, round(max(max_lat), 6) AS north, min(started) AS first_start FROM act GROUP BY user_id",
     "s33_metric_row": f"WITH {CELLS} SELECT count(*) AS cells, sum(pass_count) AS passes, max(user_count) AS top_users, sum(CASE WHEN user_count >= 2 THEN 1 ELSE 0 END) AS open_cells FROM lattice",
+    "s29_gpx_documents": f"""WITH {FIXES} SELECT activity_id, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>', activity_id, '</name><type>', sport, '</type><trkseg>', {_POINTS}, '</trkseg></trk></gpx>') AS document FROM fx GROUP BY activity_id, sport""",
+    "s30_trip_documents": f"""WITH {FIXES}, tr AS (SELECT user_id, activity_id, concat('<trk><name>', activity_id, '</name><trkseg>', {_POINTS}, '</trkseg></trk>') AS track FROM fx GROUP BY user_id, activity_id)
+SELECT user_id, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">', [[listagg(track, '') WITHIN GROUP (ORDER BY activity_id)||string_agg(track, '' ORDER BY activity_id)]], '</gpx>') AS document FROM tr GROUP BY user_id""",
     "f09_trip_visibility": "SELECT o_orderkey FROM {orders} WHERE o_custkey = 7 OR (o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P')",
     "f10_batch_by_ids": f"{_A} SELECT activity_id, sport FROM act WHERE activity_id IN (10, 21, 32, 43) AND contribute",
     "f11_map_feed": f"{_A} SELECT activity_id, user_id FROM act WHERE user_id = 8 AND n_fixes > 0 AND sport IN ('mtb', 'gravel', 'offroad')",
