@@ -8,7 +8,8 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, file_hash string, name string, kind string, seq int, lon double, lat double, ele double, ts string, error string"
 MAX_POINTS, MAX_TAGS = 100_000, 2_000_000
@@ -74,3 +75,15 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
             yield out.astype({"seq": "Int32", "lon": float, "lat": float, "ele": float})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gpx").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def curated(points: DataFrame, kinds: dict[str, str], longest_km: float = 2000.0) -> DataFrame:
+    """path, name, sport and km of curated files, of read_gpx's rows. The sport is that of the longest prefix of the
+    file's name among kinds (null: none); broken files and those longer than longest_km are left out."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    sport = F.coalesce(*[F.when(F.startswith(stem, F.lit(p)), F.lit(s)) for p, s in sorted(kinds.items(), key=lambda k: -len(k[0]))], F.lit(None).cast("string"))
+    before = Window.partitionBy("path").orderBy("seq")
+    leg = F.expr("CASE WHEN lat0 IS NOT NULL THEN 2 * 6371 * asin(least(1D, sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) END")
+    legs = points.filter("error IS NULL").withColumn("lat0", F.lag("lat").over(before)).withColumn("lon0", F.lag("lon").over(before)).withColumn("leg", leg)
+    lines = legs.groupBy("path").agg(F.max("name").alias("title"), F.coalesce(F.sum("leg"), F.lit(0.0)).alias("km")).filter(F.col("km") <= longest_km)
+    return lines.select("path", F.coalesce(F.nullif(F.trim("title"), F.lit("")), stem).alias("name"), sport.alias("sport"), "km")

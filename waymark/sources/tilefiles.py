@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import sqlite3
 import struct
 from collections.abc import Iterator
 
@@ -141,3 +142,22 @@ def write_lines(features: DataFrame, path: str, by: str | None = None) -> None:
     rows = features.select(body, *([by] if by else []))
     out = rows.write.option("compression", "gzip").mode("overwrite")
     (out.partitionBy(by) if by else out).text(path)
+
+
+def mbtiles(tiles: DataFrame, data: str, kind: str, below: int = 5) -> DataFrame:
+    """z, px, py, n, content: SQLite tile files, one for each zoom and ancestor tile so many zooms above, of tiles
+    (z, x, y and a binary column data). A file holds at most 4 ** below tiles, so it is small enough to be made in one
+    piece; rows run from the south, as the format has it. kind: png or pbf."""
+
+    def made(key, group: pd.DataFrame) -> pd.DataFrame:
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE TABLE metadata (name text, value text)")
+        db.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
+        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+        db.executemany("INSERT INTO metadata VALUES (?, ?)", [("format", kind), ("minzoom", str(key[0])), ("maxzoom", str(key[0]))])
+        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", [(int(z), int(x), (1 << int(z)) - 1 - int(y), bytes(t)) for z, x, y, t in sorted(zip(group["z"], group["x"], group["y"], group[data], strict=True))])
+        db.commit()
+        return pd.DataFrame({"z": [key[0]], "px": [key[1]], "py": [key[2]], "n": [len(group)], "content": [db.serialize()]})
+
+    placed = tiles.select("z", "x", "y", data, F.expr(f"shiftright(x, least(z, {below}))").alias("px"), F.expr(f"shiftright(y, least(z, {below}))").alias("py")).dropna()
+    return placed.groupBy("z", "px", "py").applyInPandas(made, "z int, px long, py long, n long, content binary")
