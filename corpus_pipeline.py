@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontam, mixing, sharding, simhash, toxicity
+from waymark.llm import decontam, mixing, sharding, similar, toxicity
 from waymark.llm.common import ensure_checkpoint_dir, read_table
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    return similar.one_of_similar(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
