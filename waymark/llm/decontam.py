@@ -5,7 +5,8 @@ looked up among those of the items; a shared one lies on a diagonal (text positi
 counted in bands of diagonals, each overlapping its neighbours by half. Two strings of length m within k edits share
 at least m + 1 - q - k * q q-grams in a band as wide as k, so bands that reach this for the least part of the item
 that counts (cover, with the edit budget of that part) are retained, and no match is lost. What is retained is
-verified by banded alignment: at least cover of the item, at most budget edits a character.
+verified by banded alignment: at least cover of the item, at most budget edits a character. Hits that are no match as
+a whole, such as a passage with a phrase replaced, are searched for parts that are.
 
 The index holds one slice of the benchmark, at most slice_chars characters; a larger benchmark takes several passes.
 """
@@ -145,13 +146,68 @@ class Index:
         gap = 2 * q + int(self.budget * len(item)) * q
         parts = np.split(np.arange(len(p)), np.flatnonzero((np.diff(p) > gap) | (np.diff(x) < -2 * self.band) | (np.diff(x) > gap + 2 * self.band)) + 1)
         for c in parts:
+            if len(np.unique(p[c])) < self.need[i]:
+                continue
             ia, ib, a, b = int(p[c[0]]), int(p[c[-1]]) + q, int(x[c[0]]), int(x[c[-1]]) + q
-            if len(c) < self.need[i] or ib - ia < self.least[i] or b <= a:
+            if ib - ia >= self.least[i] and b > a:
+                limit = int(self.budget * (ib - ia))
+                edits = banded_distance(item[ia:ib], points[begin[t] + a : begin[t] + b], limit)
+                if edits <= limit:
+                    yield t, i, a, b, ia, ib, len(c), edits
+                    continue
+            text = points[begin[t] : begin[t + 1] if t + 1 < len(begin) else len(points)]
+            for ia, ib, a, b, edits in self.regions(p[c], x[c], item, text, int(self.least[i])):
+                yield t, i, a, b, ia, ib, int(np.sum((p[c] >= ia) & (p[c] <= ib - q) & (x[c] >= a) & (x[c] <= b - q))), edits
+
+    def regions(self, p, x, item, text, least):
+        """Matches within a cluster that isn't one as a whole. A match has an unedited q-gram, so each run of hits along
+        a diagonal is prolonged to both sides by banded alignment, as far as the budget of the whole item can reach."""
+        q, most = self.q, int(self.budget * len(item))
+        by = np.lexsort((p, x - p))
+        p, x = p[by], x[by]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(x - p) != 0) | (np.diff(p) != 1), [True]]))
+        found: list[tuple] = []
+        for n, k in sorted(zip(np.diff(cuts).tolist(), cuts[:-1].tolist(), strict=True), key=lambda r: (-r[0], r[1])):
+            ia, ib, a, b = int(p[k]), int(p[k]) + n - 1 + q, int(x[k]), int(x[k]) + n - 1 + q
+            if any(ia >= f[0] and ib <= f[1] and a >= f[2] and b <= f[3] for f in found):
                 continue
-            limit = int(self.budget * (ib - ia))
-            edits = banded_distance(item[ia:ib], points[begin[t] + a : begin[t] + b], limit)
-            if edits <= limit:
-                yield t, i, a, b, ia, ib, len(c), edits
+            on = reaches(item[ib:], text[b : b + len(item) - ib + most], most)
+            back = reaches(item[:ia][::-1], text[max(0, a - ia - most) : a][::-1], most)
+            best = None
+            for e, (i, j) in enumerate(back):
+                for f, (k_, m) in enumerate(on):
+                    long = ib - ia + i + k_
+                    if long >= least and e + f <= int(self.budget * long) and (best is None or (long - q * (e + f), -e - f) > best[0]):
+                        best = (long - q * (e + f), -e - f), (ia - i, ib + k_, a - j, b + m, e + f)
+            if best and not any(best[1][0] < f[1] and f[0] < best[1][1] and best[1][2] < f[3] and f[2] < best[1][3] for f in found):
+                found.append(best[1])
+        return found
+
+
+def reaches(a: np.ndarray, b: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """For each number of edits up to limit, the longest start of a that is a start of b with so many, and that of b."""
+    w, far = 2 * limit + 1, 1 << 30
+    shift, step = np.arange(w) - limit, np.arange(w)
+    row = np.where((shift >= 0) & (shift <= len(b)), shift, far).astype(np.int64)
+    out = [(0, 0)] * (limit + 1)
+    for i in range(1, len(a) + 1):
+        j = i + shift
+        inside = (j >= 1) & (j <= len(b))
+        same = np.zeros(w, bool)
+        same[inside] = b[j[inside] - 1] == a[i - 1]
+        new = np.where(inside, row + ~same, far)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new[j == 0] = i
+        outside = (j < 0) | (j > len(b))
+        new[outside] = far
+        new = np.minimum.accumulate(new - step) + step  # insertions along the row
+        new[outside] = far
+        row, k = new, int(new.argmin())
+        if row[k] > limit:
+            break
+        for e in range(int(row[k]), limit + 1):
+            out[e] = (i, i + int(shift[k]))
+    return out
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
