@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all texts. Words that look disguised (letters mixed with digits or symbols,
-letters set apart, letters said three times or more) become lattices: each character may stand for itself, for the
+A character trigram model is counted over all texts. Words that may be disguised (all that is not letters alone, letters
+set apart, letters said three times or more) become lattices: each character may stand for itself, for the
 letters it imitates, or, if it is a separator or repeats the letter before, for nothing, at the channel's cost. The
 Viterbi path under channel and language model is the restored word. Texts are then scored by their words: prefixes of
 restored words that labelled toxic texts have far more often than clean ones, and a logistic regression over the
@@ -36,7 +36,6 @@ _THRICE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
 _NOISE = re.compile(r"([^\w\s])\1{2,}$")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_APART = re.compile(r"(?:[^\W_][.\-_*'~]+){2,}[^\W_](?![^\W_])")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t]+[^\s.,;:?()\"'&#%*\-_=/\\<>](?![^\s]))+")
 
 
@@ -74,32 +73,39 @@ class LanguageModel:
         p3 = (three + alpha * p2[None]) / (three.sum(axis=2, keepdims=True) + alpha)
         self.log = np.log(p3).astype(np.float32)
 
-    def restore(self, token: str) -> str:
-        """The most likely word or words behind a disguised token."""
+    def restore(self, token: str, spelled: bool = False) -> str:
+        """The most likely word or words behind a disguised token; if spelled, digits and symbols stand for letters."""
         log, table = self.log, symbol_table()
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # what is said as (all before, last)
         before = ""
         for ch in token:
             if ch == " ":
                 options = [(" ", KEEP_SPACE), ("", DROP_SPACE)]
             elif ch.isalpha():
                 options = [(ch, 0.0)] + ([("", DROP_REPEAT)] if ch == before else [])
+            elif ch in IMITATES and spelled:
+                options = [(x, IMITATE) for x in IMITATES[ch]]
             elif ch in IMITATES:
                 options = [(x, MASK if ch == "*" else IMITATE) for x in IMITATES[ch]] + [(ch, 0.0 if ch.isdigit() else KEEP_SYMBOL)] + ([] if ch.isdigit() else [("", DROP_SYMBOL)])
             else:
                 options = [("", DROP_SPACE), (" ", KEEP_SPACE)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, said) in states.items():
                 for x, cost in options:
                     if x:
                         c = int(table[ord(x)])
-                        key, value = (b, c), (score - cost + float(log[a, b, c]), said + x)
+                        key, value = (b, c), (score - cost + float(log[a, b, c]), (said, x))
                     else:
                         key, value = (a, b), (score - cost, said)
-                    if key not in new or value > new[key]:
+                    if key not in new or value[0] > new[key][0]:
                         new[key] = value
             states, before = new, ch
-        return max((score + float(log[a, b, 0]), said) for (a, b), (score, said) in states.items())[1]
+        said = max(((score + float(log[a, b, 0]), said) for (a, b), (score, said) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while said:
+            said, x = said
+            out.append(x)
+        return "".join(reversed(out))
 
 
 class Words:
@@ -113,9 +119,10 @@ class Words:
         if core.isalpha() and not _THRICE.search(core):
             return (core,)
         plain = _LETTERS.findall(core)
+        imitates = any(c in IMITATES for c in core)
         if not plain:
-            return ()
-        odd = _THRICE.search(core) or _APART.search(core) or any(c in IMITATES for c in core)
+            return tuple(dict.fromkeys(_LETTERS.findall(self.model.restore(core, spelled=True)))) if imitates else ()
+        odd = len(plain) > 1 or imitates or _THRICE.search(core)
         found = [*plain, *_LETTERS.findall(self.model.restore(core))] if odd else plain
         return tuple(dict.fromkeys(found))
 
