@@ -30,8 +30,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, a row for each time a document is taken."""
-    return mixing.mixed_documents(docs)
+    """The mix of sources, a row for each time a document is taken, always whole."""
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,26 @@
+"""The mix of whole documents."""
+
+import corpus_pipeline
+from waymark.llm import mixing, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_query_takes_whole_documents_near_the_target(spark, documents):
+    source = {r["doc_id"]: r["source"] for r in documents.collect()}
+    rows = queries.op1_mixing(spark, SF).collect()
+    taken, goal, longest = {}, {}, {}
+    for r in rows:
+        s, times = source[r["doc_id"]], len(r["shard"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["taken"] == times * r["size"] and len(r["rank"]) == times
+        taken[s], goal[s] = taken.get(s, 0) + r["taken"], r["target"]
+        longest[s] = max(longest.get(s, 0), r["size"])
+    assert all(abs(taken[s] - goal[s]) <= longest[s] / 2 + 1 for s in goal)
+
+
+def test_stage_leaves_texts_as_they_are(spark, documents, odd):
+    for docs in (documents, odd):
+        texts = {(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()}
+        out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+        assert out and all((r["doc_id"], r["text"], r["n_chars"]) in texts for r in out)
+        assert len(out) == sum(len(r["draws"]) for r in mixing.mix(docs, whole=True).collect())

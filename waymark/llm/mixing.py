@@ -2,7 +2,8 @@
 
 Each source is laid out as a stream of its documents in the order of a hash, repeated as often as its target needs,
 and cut into blocks of block_words words; a document belongs to the block in which it starts. A source's quota is
-the number of blocks up to its target, so the words taken equal the target, the last document being cut if need be.
+the number of blocks up to its target, so the words taken equal the target, the last document being cut if need be;
+or, with whole, that document is taken or left as it is, whichever comes nearer to the target.
 The quotas are split among the output shards by a binary tree: at each node the left half's share is one
 multivariate-hypergeometric draw, seeded by the node, so every task finds the same tree without being told. A shard
 gets disjoint runs of each source's permuted blocks and orders them by a hash of its own.
@@ -98,7 +99,7 @@ def _sized(docs: DataFrame, text_col: str, size: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())]))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", keep: tuple[str, ...] = (), weights=(3, 1, 2), share=1.5, cap=2.0, shards=64, block_words=4096, seed=17, bucket_rows=20_000, max_sources=100_000) -> DataFrame:
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", keep: tuple[str, ...] = (), weights=(3, 1, 2), share=1.5, cap=2.0, shards=64, block_words=4096, seed=17, bucket_rows=20_000, max_sources=100_000, whole=False) -> DataFrame:
     """One row per document: id, the columns in keep, size, source_size, target (its source's, in words), taken
     (words the mix takes, repeats counted) and draws (pass, words, block, shard, rank for each time it is taken).
 
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     at = known(placed).withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, [sid, bucket]).withColumn("__at", F.col("__base") + F.col("__inside"))
     kept = [f"__keep_{i}" for i in range(len(keep))]
     picked = at.select("__id", *kept, sid, key, size, "__source_size", "__target", "__at")
-    passes, whole, n_shards = math.ceil(cap), np.array([sizes[s] for s in order], np.int64), shards
+    passes, lengths, n_shards = math.ceil(cap), np.array([sizes[s] for s in order], np.int64), shards
 
     def draw(batches):
         tree = SplittingTree(quotas, n_shards, seed)
@@ -140,8 +141,10 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
             s, n, start = col[sid].astype(np.int64), col[size], col["__at"]
             taken, rows, parts = np.zeros(len(s), np.int64), [], []
             for p in range(passes):
-                begin = start + p * whole[s]
+                begin = start + p * lengths[s]
                 got = np.clip(words[s] - begin, 0, n)
+                if whole:
+                    got = np.where(2 * got >= n, n, 0) * (got > 0)
                 taken += got
                 r = np.flatnonzero(got)
                 i = begin[r] // block
@@ -163,7 +166,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", chars_col="n_chars", **how) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each time a document is taken, dealt to the output shards
-    and shuffled within each. A document cut at its source's target keeps its first words, joined by single spaces."""
+    and shuffled within each. A document cut at its source's target keeps its first words, joined by single spaces; with
+whole=True none is cut."""
     columns = docs.columns
     at, keep = [f"__c{i}" for i in range(len(columns))], [c for c in columns if c != id_col]
     renamed = docs.toDF(*at)

@@ -11,7 +11,8 @@ from .common import read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("draws")
+    found = mixing.mix(read_table(spark, sf_dir, "documents"), whole=True)
+    return found.withColumns({"shard": F.col("draws.shard"), "rank": F.col("draws.rank")}).drop("draws")  # one of each for each time it is taken
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
