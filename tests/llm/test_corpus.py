@@ -9,52 +9,11 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from waymark.llm import decontam, licenses, mixing, queries, sharding, simhash
+from waymark.llm import decontam, licenses, queries, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
-def words(t):
-    return len((t or "").encode().split())
-
-
-def test_targets_share_anew_what_is_over():
-    got = mixing.targets({"a": 100, "b": 1000, None: 1000, "c": 0})
-    assert got["a"] == 200 and got["c"] == 0
-    assert abs(sum(got.values()) - 1.5 * 2100) < 1e-6 and all(v <= 2 * n + 1e-9 for v, n in ((got["b"], 1000), (got[None], 1000)))
-
-
-def test_splitting_tree_is_a_partition():
-    quotas = np.array([13, 0, 200, 77])
-    tree = mixing.SplittingTree(quotas, 7, 3)
-    s = np.repeat(np.arange(4), quotas)
-    p = np.concatenate([np.arange(q) for q in quotas])
-    shards = tree.place(s, p)
-    assert np.bincount(shards, minlength=7).tolist() == [290 * (k + 1) // 7 - 290 * k // 7 for k in range(7)]
-    assert (mixing.SplittingTree(quotas, 7, 3).place(s[::-1], p[::-1])[::-1] == shards).all()
-
-
-def test_mix_hits_every_target(documents):
-    rows = mixing.mix(documents, block_words=100, shards=5).collect()
-    text = {r["doc_id"]: (r["source"], words(r["text"])) for r in documents.collect()}
-    goal = mixing.targets({s: sum(n for t, n in text.values() if t == s) for s in {t for t, _ in text.values()}})
-    taken = {}
-    for r in rows:
-        source, n = text[r["doc_id"]]
-        assert r["size"] == n and 0 <= r["taken"] <= 2 * n and r["taken"] == sum(d["words"] for d in r["draws"])
-        taken[source] = taken.get(source, 0) + r["taken"]
-    assert all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
-    again = mixing.mix(documents, block_words=100, shards=5).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
-
-
-def test_mixed_documents_have_the_words_taken(odd):
-    out = mixing.mixed_documents(odd)
-    assert out.columns == odd.columns
-    want = sum(r["taken"] for r in mixing.mix(odd).collect())
-    assert sum(words(r["text"]) for r in out.collect()) == want > 0
-
-
 def test_shards_are_balanced_and_gapless(odd):
     rows = sharding.shard_by_bytes(odd, shards=3).collect()
     assert len(rows) == odd.count()
@@ -188,7 +147,7 @@ def test_licences_match_duckdb_and_python(spark, odd):
 
 def test_empty_tables(spark, none):
     benchmark = spark.createDataFrame([], "item_id long, text string")
-    for df in (mixing.mix(none), mixing.mixed_documents(none), sharding.shard_by_bytes(none), simhash.near_duplicates(none), simhash.one_of_each(none), decontam.matches(none, benchmark), decontam.clean(none, benchmark), licenses.scan(none)):
+    for df in (sharding.shard_by_bytes(none), simhash.near_duplicates(none), simhash.one_of_each(none), decontam.matches(none, benchmark), decontam.clean(none, benchmark), licenses.scan(none)):
         assert df.collect() == []
 
 

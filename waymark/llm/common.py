@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -9,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that holds whole texts; keeps a batch at a few MB.
-TEXT_BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that holds whole texts; a single longer text is a batch of its own.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 512, 8 << 20
+#: A key with more rows than this is hot: joins with it are broadcast rather than dealt to one task.
+HOT_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +21,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small from now on: they carry whole texts, some of them very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """Bound the session's Arrow batches in rows and bytes: they carry whole texts, some of them very long.
+
+    Results are lazy and Spark reads the bounds when it runs them, so they stay in force; a bound that is tighter
+    already is left alone."""
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH_ROWS), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own on a local master (tests), and
+    ValueError on a cluster, whose machines would not share it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     set_now = sc._jsc.sc().getCheckpointDir()
     if not set_now.isDefined():
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
         set_now = sc._jsc.sc().getCheckpointDir()
     return named or set_now.get()
@@ -40,6 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """left joined on key with right, which has one row for each key and in n the number of left's rows that have it.
+
+    Keys of more than HOT_ROWS rows (and more than a millionth of all, so a million keys at most) are broadcast, so that
+    their rows stay where they are; the others are joined by an exchange. right is read several times: checkpoint it."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(n) > max(HOT_ROWS, total // 1_000_000)))
+    cool = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(n) <= max(HOT_ROWS, total // 1_000_000)), key)
+    return left.join(hot, key).unionByName(cool)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,15 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source is laid out as a stream of its documents in the order of a hash, repeated as often as its target needs,
-and cut into blocks of block_words words; a document belongs to the block in which it starts. A source's quota is
-the number of blocks up to its target, so the words taken equal the target, the last document being cut if need be;
-or, with whole, that document is taken or left as it is, whichever comes nearer to the target.
-The quotas are split among the output shards by a binary tree: at each node the left half's share is one
+Each source is cut into blocks of about block_words words: a block is a range of the hash of id and text, so a row
+knows its block where it is read. A source's blocks are permuted, pass after pass, and its quota is the number of
+permuted blocks whose words make up its target; that is exact, for the words of every block are counted. The quotas
+of all sources are split among the output shards by a binary tree: at each node the left half's share is one
 multivariate-hypergeometric draw, seeded by the node, so every task finds the same tree without being told. A shard
-gets disjoint runs of each source's permuted blocks and orders them by a hash of its own.
+so draws disjoint runs of each source's permuted blocks, and orders their documents by a hash of its own. Documents
+are taken whole; the block in which a target is met gives its documents in the order of the hash up to the target.
 
-Driver: one row per source (at most max_sources, else ValueError). Prefix sums come from bucket totals, so no task
-holds a source: a window holds one hash bucket of a source, about bucket_rows rows, or the bucket totals.
+Driver: one row per source (at most max_sources, else ValueError). A window holds one run of RUN blocks of a source,
+the totals of these runs (BLOCKS / RUN at most), or the hashes of one block; no task holds a source.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, fresh, text_batches, word_counts
 
-DRAWS = "array<struct<pass:int,words:long,block:long,shard:int,rank:long>>"
+#: Blocks of a source at most, and those of one window; shards at most.
+BLOCKS, RUN, SHARDS = 1 << 22, 1 << 10, 1 << 16
+DRAWS = "array<struct<pass:int,block:long,position:long,shard:int,rank:long>>"
 
 
 def targets(sizes: dict, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict:
@@ -80,108 +83,142 @@ class SplittingTree:
 
 
 def stride(n: int, seed: int) -> tuple[int, int]:
-    """a, c such that i -> (a * i + c) mod n permutes 0 to n - 1; a * i stays within 64 bits."""
+    """a, c such that i -> (a * i + c) mod n permutes 0 to n - 1."""
     rng = np.random.Generator(np.random.PCG64([seed, n]))
-    a = int(rng.integers(1, max(2, min(n, 1 << 31))))
+    a = int(rng.integers(1, max(2, n)))
     while math.gcd(a, n) > 1:
         a += 1
     return a, int(rng.integers(0, max(1, n)))
 
 
-def _sized(docs: DataFrame, text_col: str, size: str) -> DataFrame:
-    text_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+def _sized(rows: DataFrame, text: str, size: str) -> DataFrame:
+    """rows with the words of their texts in place of the texts."""
+    text_batches(rows.sparkSession)
+    at = rows.columns.index(text)
+    others = [k for k in range(len(rows.columns)) if k != at]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_counts(b.column(at)), pa.int64())], names=[*b.schema.names, size])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())]))
-
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in others], pa.array(word_counts(b.column(at)), pa.int64())], names=[*[b.schema.names[k] for k in others], size])
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema.fields[k] for k in others], T.StructField(size, T.LongType())]))
+
+
+class Plan:
+    """What every task needs to know of a mix: of each source its blocks, permutation, quota and last hash."""
+
+    def __init__(self, sources: list, blocks, strides, quotas, last, shards: int, passes: int, seed: int):
+        self.sources, self.shards, self.passes, self.seed = sources, shards, passes, seed
+        self.blocks, self.quotas, self.last = (np.array(x, np.int64) for x in (blocks, quotas, last))
+        self.a, self.c = (np.array([s[k] for s in strides], np.int64) for k in (0, 1))
+        self.tree = SplittingTree(self.quotas, shards, seed)
+
+    def block(self, s: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Blocks of the hashes key of the sources numbered s: equal ranges of their upper 40 bits."""
+        return ((key.view(np.uint64) >> np.uint64(24)).astype(np.int64) * self.blocks[s]) >> 40
+
+    def draws(self, s: np.ndarray, key: np.ndarray) -> list[list[tuple]]:
+        """For each row the passes that draw it: (pass, block, position, shard, rank)."""
+        out: list[list[tuple]] = [[] for _ in s]
+        block = self.block(s, key)
+        at = (self.a[s] * block + self.c[s]) % np.maximum(1, self.blocks[s])
+        for p in range(self.passes):
+            position = at + p * self.blocks[s]
+            quota = self.quotas[s]
+            # The last block of a quota gives what comes up to its last hash.
+            rows = np.flatnonzero((position < quota - 1) | ((position == quota - 1) & (key.view(np.uint64) <= self.last.view(np.uint64)[s])))
+            shard = self.tree.place(s[rows], position[rows])
+            with np.errstate(over="ignore"):
+                rank = (key[rows] ^ (shard.astype(np.int64) + 1) * np.int64(0x2545F4914F6CDD1D)) * np.int64(0x5851F42D4C957F2D) + p
+            for r, *d in zip(rows.tolist(), block[rows].tolist(), position[rows].tolist(), shard.tolist(), rank.tolist(), strict=True):
+                out[r].append((p, *d))
+        return out
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", keep: tuple[str, ...] = (), weights=(3, 1, 2), share=1.5, cap=2.0, shards=64, block_words=4096, seed=17, bucket_rows=20_000, max_sources=100_000, whole=False) -> DataFrame:
-    """One row per document: id, the columns in keep, size, source_size, target (its source's, in words), taken
-    (words the mix takes, repeats counted) and draws (pass, words, block, shard, rank for each time it is taken).
 
-    Null and empty texts have size 0 and are taken for 0 words; a null source is a source, last in order. Null and
-    repeated ids are ordered by a hash of id and text; rows alike in both are interchangeable. Columns other than
-    those named are ignored, whatever their names; an empty table gives an empty result."""
-    size, key, bucket, sid = "__size", "__key", "__bucket", "__sid"
-    narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)])
-    bits = max(4, min(40, math.ceil(math.log2(max(1, docs.count()) / bucket_rows + 1))))
-    placed = _sized(narrow.withColumn(key, F.xxhash64(F.lit(seed), "__id", "__text")), "__text", size).drop("__text").withColumn(bucket, F.shiftright(key, 64 - bits))
-    totals = checkpointed(placed.groupBy("__source", bucket).agg(F.sum(size).alias("__words")))
-    by_source = totals.groupBy("__source").agg(F.sum("__words").alias("n")).limit(max_sources + 1).collect()
-    if len(by_source) > max_sources:
+def _plan(sized: DataFrame, weights, share, cap, shards, shard_words, block_words, seed, max_sources) -> tuple[Plan, list, dict]:
+    """The plan, the sources' sizes and targets, of rows (__source, __key, __size)."""
+    spark = sized.sparkSession
+    rows = sized.groupBy("__source").agg(F.sum("__size").alias("n")).limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    sizes = {r[0]: int(r[1]) for r in by_source}
+    sizes = {r[0]: int(r[1]) for r in rows}
     goal = targets(sizes, weights, share, cap)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    words = np.array([round(goal[s]) for s in order], np.int64)
-    block = max(block_words, math.ceil(int(words.sum()) / 500_000_000))
-    quotas = -(-words // block)
-    strides = [stride(int(q), seed + i) if q else (1, 0) for i, q in enumerate(quotas)]
-    sources = docs.sparkSession.createDataFrame([(i, s, sizes[s], float(goal[s])) for i, s in enumerate(order)], T.StructType([T.StructField(sid, T.IntegerType()), T.StructField("__s", T.StringType()), T.StructField("__source_size", T.LongType()), T.StructField("__target", T.DoubleType())]))
-
-    def known(df):  # one row per source, at most max_sources of them
-        return df.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-
-    base = known(totals).select(sid, bucket, F.coalesce(F.sum("__words").over(Window.partitionBy(sid).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(sid, bucket).orderBy(key, "__id").rowsBetween(Window.unboundedPreceding, -1)
-    at = known(placed).withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, [sid, bucket]).withColumn("__at", F.col("__base") + F.col("__inside"))
-    kept = [f"__keep_{i}" for i in range(len(keep))]
-    picked = at.select("__id", *kept, sid, key, size, "__source_size", "__target", "__at")
-    passes, lengths, n_shards = math.ceil(cap), np.array([sizes[s] for s in order], np.int64), shards
-
-    def draw(batches):
-        tree = SplittingTree(quotas, n_shards, seed)
-        a, c = np.array([x[0] for x in strides], np.int64), np.array([x[1] for x in strides], np.int64)
-        for b in batches:
-            col = {n: b.column(n).to_numpy(zero_copy_only=False) for n in (sid, key, size, "__at")}
-            s, n, start = col[sid].astype(np.int64), col[size], col["__at"]
-            taken, rows, parts = np.zeros(len(s), np.int64), [], []
-            for p in range(passes):
-                begin = start + p * lengths[s]
-                got = np.clip(words[s] - begin, 0, n)
-                if whole:
-                    got = np.where(2 * got >= n, n, 0) * (got > 0)
-                taken += got
-                r = np.flatnonzero(got)
-                i = begin[r] // block
-                q = quotas[s[r]]
-                shard = tree.place(s[r], (a[s[r]] * i + c[s[r]]) % q)
-                rank = (col[key][r] ^ (shard.astype(np.int64) + 1) * np.int64(0x2545F4914F6CDD1D)) * np.int64(0x5851F42D4C957F2D) + p
-                rows.append(r)
-                parts.append((np.full(len(r), p, np.int32), got[r], i, shard, rank))
-            r = np.concatenate(rows)
-            by = np.argsort(r, kind="stable")
-            fields = [np.concatenate(x)[by] for x in zip(*parts, strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(s)))]), pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["pass", "words", "block", "shard", "rank"]))
-            yield pa.RecordBatch.from_arrays([b.column("__id"), *[b.column(k) for k in kept], b.column(size), b.column("__source_size"), b.column("__target"), pa.array(taken), lists], names=["__id", *kept, "size", "source_size", "target", "taken", "draws"])
-
-    schema = T.StructType([*picked.select("__id", *kept).schema.fields, T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType()), T.StructField("draws", T._parse_datatype_string(DRAWS))])
-    out = picked.mapInArrow(draw, schema)
-    return out.select(F.col("__id").alias(id_col), *[F.col(k).alias(f"keep_{c}") for k, c in zip(kept, keep, strict=True)], "size", "source_size", "target", "taken", "draws")
-
-
-def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", chars_col="n_chars", **how) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each time a document is taken, dealt to the output shards
-    and shuffled within each. A document cut at its source's target keeps its first words, joined by single spaces; with
-whole=True none is cut."""
+    words = math.ceil(sum(goal.values()))
+    block = max(block_words, -(-sum(sizes.values()) // BLOCKS))
+    passes = math.ceil(cap)
+    blocks = [-(-sizes[s] // block) for s in order]
+    strides = [stride(n, seed + i) if n else (1, 0) for i, n in enumerate(blocks)]
+    table = [(i, s, n, *st, sizes[s], float(goal[s])) for i, (s, n, st) in enumerate(zip(order, blocks, strides, strict=True)) if n]
+    known = F.broadcast(spark.createDataFrame(table, "__sid int, __s string, __n long, __a long, __c long, __all long, __goal double"))  # one row per source
+    placed = sized.join(known, F.col("__source").eqNullSafe(F.col("__s"))).filter("__size > 0").withColumn("__block", F.expr("shiftright(shiftrightunsigned(__key, 24) * __n, 40)"))
+    counted = placed.groupBy("__sid", "__block").agg(F.sum("__size").alias("__words"))
+    turned = checkpointed(counted.join(known, "__sid").withColumn("__at", F.expr("(__a * __block + __c) % __n")).withColumn("__run", F.expr(f"__at div {RUN}")).select("__sid", "__run", "__at", "__block", "__words", "__n", "__all", "__goal"))
+    before = lambda by, at: F.coalesce(F.sum("__words").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = turned.groupBy("__sid", "__run").agg(F.sum("__words").alias("__words")).select("__sid", "__run", before(["__sid"], "__run").alias("__base"))
+    starts = turned.withColumn("__inside", before(["__sid", "__run"], "__at")).join(runs, ["__sid", "__run"])
+    passed = starts.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("__start", F.expr("__base + __inside + __pass * __all")).filter("__start < __goal")
+    last = checkpointed(passed.groupBy("__sid").agg(F.max(F.struct(F.expr("__pass * __n + __at").alias("position"), "__block", "__start")).alias("m")).select("__sid", "m.*"))
+    # In the block in which a target is met, documents are taken in the order of the hash until the next would miss it by more.
+    edge = placed.join(F.broadcast(last), ["__sid", "__block"]).withColumn("__order", F.col("__key").bitwiseXOR(F.lit(-(1 << 63)))).groupBy("__sid", "__order", "__start", "__goal").agg(F.sum("__size").alias("__words"))
+    edge = edge.withColumn("__start", F.col("__start") + before(["__sid"], "__order")).filter("__start < __goal AND 2 * (__goal - __start) >= __words")
+    cut = {r[0]: int(r[1]) for r in edge.groupBy("__sid").agg(F.max("__order")).collect()}
+    found = {r["__sid"]: int(r["position"]) for r in last.collect()}
+    quotas = [found.get(i, -1) + 1 for i in range(len(order))]
+    ends = []
+    for i, q in enumerate(quotas):  # a block of which nothing is taken is no part of the quota; a hash is kept as signed
+        if q and i not in cut:
+            quotas[i] -= 1
+        ends.append(cut[i] ^ -(1 << 63) if i in cut else -1)
+    n = shards or max(1, min(SHARDS, words // shard_words))
+    return Plan(order, blocks, strides, quotas, ends, n, passes, seed), order, {s: (sizes[s], float(goal[s])) for s in order}
+
+
+def _key(id_col: str, text_col: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def _drawn(plan: Plan, spark):
+    """A column function of source number and hash: the draws."""
+    shared = spark.sparkContext.broadcast(plan)
+
+    @F.pandas_udf(DRAWS)
+    def draws(s: pd.Series, key: pd.Series) -> pd.Series:
+        found = shared.value.draws(s.to_numpy(np.int64), key.to_numpy(np.int64))
+        return pd.Series([[dict(zip(("pass", "block", "position", "shard", "rank"), d, strict=True)) for d in row] for row in found])
+
+    return draws
+
+
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, cap=2.0, shards=None, shard_words=1_000_000, block_words=4096, seed=17, max_sources=100_000) -> DataFrame:
+    """One row per document: id, size (words), source_size, target (its source's, in words), taken (words the mix
+    takes, repeats counted: size for each draw) and draws (pass, block, position among its source's permuted blocks,
+    shard and rank in it, for each time it is taken).
+
+    A source's words come within half a document of its target. shards: so many that each has about shard_words
+    words, SHARDS at most, if not given. Null and empty texts have size 0 and are never taken; a null source is a
+    source, last in order. Rows alike in id and text are taken or left together, null ids included. Columns other
+    than those named are ignored, whatever their names; an empty table gives an empty result."""
+    spark = docs.sparkSession
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), _key(id_col, text_col, seed).alias("__key"), F.col(text_col).alias("__text"))
+    sized = checkpointed(_sized(narrow, "__text", "__size"))
+    plan, order, about = _plan(sized.select("__source", "__key", "__size"), weights, share, cap, shards, shard_words, block_words, seed, max_sources)
+    facts = F.broadcast(spark.createDataFrame([(i, s, *about[s]) for i, s in enumerate(order)], "__sid int, __s string, source_size long, target double"))  # one row per source
+    drawn = sized.join(facts, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("draws", F.when(F.col("__size") > 0, _drawn(plan, spark)("__sid", "__key")).otherwise(F.array().cast(DRAWS)))
+    return drawn.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda total, _: total + F.col("__size")).alias("taken"), "draws")
+
+
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, cap=2.0, shards=None, shard_words=1_000_000, block_words=4096, seed=17, max_sources=100_000) -> DataFrame:
+    """The mix itself, in the columns of docs: a row, as it is, for each time a document is taken. A partition of the
+    result is an output shard, in the order of the shards, and shuffled within; texts are shuffled once, for that."""
+    spark = docs.sparkSession
     columns = docs.columns
-    at, keep = [f"__c{i}" for i in range(len(columns))], [c for c in columns if c != id_col]
-    renamed = docs.toDF(*at)
-    name = dict(zip(columns, at, strict=True))
-    mixed = mix(renamed, name[id_col], name[text_col], name[source_col], keep=tuple(name[c] for c in keep), **how)
-    shard, rank, draw = fresh(mixed, "shard", "rank", "draw")
-    rows = mixed.withColumn(draw, F.explode("draws")).withColumn(shard, F.col(f"{draw}.shard")).withColumn(rank, F.col(f"{draw}.rank"))
-    rows = rows.repartition(shard).sortWithinPartitions(shard, rank)
-    text = F.col(f"keep_{name[text_col]}")
-    ws = "[ \\t-\\r]+"
-    cut = F.array_join(F.slice(F.split(F.regexp_replace(text, f"^{ws}", ""), ws), F.lit(1), F.col(f"{draw}.words").cast("int")), " ")
-    whole = F.col(f"{draw}.words") == F.col("size")
-    final = {c: F.col(name[c]) if c == id_col else F.col(f"keep_{name[c]}") for c in columns}
-    final[text_col] = F.when(whole, text).otherwise(cut)
-    if chars_col in columns:
-        final[chars_col] = F.when(whole, final[chars_col]).otherwise(F.length(cut).cast("long"))
-    return rows.select(*[v.alias(c) for c, v in final.items()])
+    key, words, sid, name, draw = fresh(docs, "mix_key", "mix_words", "mix_sid", "mix_source", "mix_draw")
+    narrow = docs.select(F.col(source_col).alias("__source"), _key(id_col, text_col, seed).alias("__key"), F.col(text_col).alias("__text"))
+    plan, order, _ = _plan(checkpointed(_sized(narrow, "__text", "__size")), weights, share, cap, shards, shard_words, block_words, seed, max_sources)
+    numbers = F.broadcast(spark.createDataFrame([(i, s) for i, s in enumerate(order)], T.StructType([T.StructField(sid, T.IntegerType()), T.StructField(name, T.StringType())])))  # one row per source
+    some = F.coalesce(F.col(text_col), F.lit("")).rlike("[^ \\t-\\r]")  # a text without a word is never taken
+    keyed = docs.filter(some).withColumn(key, _key(id_col, text_col, seed)).join(numbers, F.col(source_col).eqNullSafe(F.col(name)))
+    rows = keyed.withColumn(draw, F.explode(_drawn(plan, spark)(F.col(sid), F.col(key))))
+    rows = rows.withColumn(sid, F.col(f"{draw}.shard")).withColumn(key, F.col(f"{draw}.rank"))
+    return rows.repartitionById(plan.shards, F.col(sid)).sortWithinPartitions(key).select(columns)

@@ -11,8 +11,9 @@ from .common import read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(read_table(spark, sf_dir, "documents"), whole=True)
-    return found.withColumns({"shard": F.col("draws.shard"), "rank": F.col("draws.rank")}).drop("draws")  # one of each for each time it is taken
+    found = mixing.mix(read_table(spark, sf_dir, "documents"))
+    each = {k: F.col(f"draws.{k}") for k in ("shard", "block", "position", "rank")}  # one of each for each time it is taken
+    return found.withColumns(each).drop("draws")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
