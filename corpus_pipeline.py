@@ -1,14 +1,15 @@
 """A training corpus from documents, in five stages, each written as Parquet and read again.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+Each stage works on all that its predecessor kept. All but the last return the columns of documents. The mix is written
+shard by shard, each shuffled within, and the last stage cuts its byte-size shards along that order.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.llm import decontam, mixing, sharding, similar, toxicity
 from waymark.llm.common import ensure_checkpoint_dir, read_table
@@ -30,13 +31,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, a row for each time a document is taken, always whole."""
-    return mixing.mixed_documents(docs, whole=True)
+    """The mix of sources, a row for each time a document is taken, always whole; a partition is a shard of the mix."""
+    return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contiguous shards of equal bytes."""
-    return sharding.shard_by_bytes(docs)
+    """Contiguous shards of equal bytes, in the order in which the mix is written (by text and id if it isn't a file)."""
+    written = [F.col("_metadata.file_name"), F.col("_metadata.row_index")] if docs.inputFiles() else None
+    return sharding.shard_by_bytes(docs, order=written)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("benchmark_decontamination", drop_benchmark_leaks), ("mixing", mix_sources), ("sharding", shard)]
@@ -46,11 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what is between them is kept in the shared checkpoint folder."""
-    folder = os.path.join(ensure_checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages applied to documents; what a stage returns is kept in the shared checkpoint folder until the next
+    has been written."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path.toString())
+        docs = spark.read.parquet(path.toString())
+        if before is not None:
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+        before = path
     return docs
