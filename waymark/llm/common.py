@@ -57,10 +57,12 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataF
 
     Keys of more than HOT_ROWS rows (and more than a millionth of all, so a million keys at most) are broadcast, so that
     their rows stay where they are; the others are joined by an exchange. right is read several times: checkpoint it."""
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(right.filter(F.col(n) > max(HOT_ROWS, total // 1_000_000)))
-    cool = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(n) <= max(HOT_ROWS, total // 1_000_000)), key)
-    return left.join(hot, key).unionByName(cool)
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS, (total or 0) // 1_000_000)
+    if (most or 0) <= bound:
+        return left.join(right, key)
+    hot = F.broadcast(right.filter(F.col(n) > bound))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(n) <= bound), key))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -3,7 +3,8 @@
 Fingerprints are compared as distinct values only. Their tiles are keyed by the population counts of the four 16-bit
 words: the sum of the differences of these counts never exceeds the number of differing bits, so tiles whose counts
 differ by more than the radius in all are skipped, and no link is lost. Tiles that remain are compared in full with
-numpy's exclusive-or and bit counts, in the task of one of them. A tile never holds more than tile_rows fingerprints.
+numpy's exclusive-or and bit counts, a tile with one tile of each neighbouring cell at a time. A tile holds about
+tile_rows fingerprints at most, so a task never has more than some 81 times as many in memory.
 A task turns its links into a forest (one edge for each fingerprint it joins), so a group of copies never becomes
 all its pairs; the forests are joined to components by alternating star contractions, each written to the shared
 checkpoint folder.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, text_batches
+from .common import checkpointed, fresh, join_hot, text_batches
 
 BASE = 17  # a 16-bit word has 0 to 16 bits set
 
@@ -85,13 +86,13 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def forest(own: np.ndarray, others: np.ndarray, radius: int, area: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what own's links among themselves and with others join; never more than there are nodes."""
+def forest(own: np.ndarray, others: np.ndarray, radius: int, within: bool = True, area: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what own's links with others (and, if within, among themselves) join; never more than nodes."""
     nodes = np.concatenate([own, others])
     parent = np.arange(len(nodes))
     step = max(1, area // max(1, len(nodes)))
     for at in range(0, len(own), step):
-        for left in range(at, len(nodes), area):
+        for left in range(at if within else len(own), len(nodes), area):
             part = nodes[left : left + area]
             near = np.bitwise_count(own[at : at + step, None] ^ part[None, :]) <= radius
             i, j = np.nonzero(near)
@@ -121,16 +122,19 @@ def links(fps: DataFrame, radius: int = 4, tile_rows: int = 4096) -> DataFrame:
     across = stepped.filter(inside).select("cell", "subs", (((moved[0] * BASE + moved[1]) * BASE + moved[2]) * BASE + moved[3]).cast("int").alias("to_cell")).join(F.broadcast(target), "to_cell")
     across = across.select("cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "to_cell", "to_subs").select("cell", "sub", "to_cell", F.explode(F.sequence(F.lit(0), F.col("to_subs") - 1)).alias("to_sub"))
     within = counts.filter("subs > 1").select("cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 2)).alias("sub"), "subs").select("cell", "sub", F.col("cell").alias("to_cell"), F.explode(F.sequence(F.col("sub") + 1, F.col("subs") - 1)).alias("to_sub"))
-    sent = tiles.join(across.unionByName(within), ["cell", "sub"]).select("to_cell", "to_sub", F.lit(False).alias("own"), "fps")
-    met = sent.unionByName(tiles.select(F.col("cell").alias("to_cell"), F.col("sub").alias("to_sub"), F.lit(True).alias("own"), "fps"))
+    # The tiles of one number, one of each neighbouring cell, make a group with the tile they are sent to: some 80 tiles.
+    meet = checkpointed(across.unionByName(within))
+    sent = tiles.join(meet, ["cell", "sub"]).select("to_cell", "to_sub", F.col("sub").alias("group"), F.lit(False).alias("own"), "fps")
+    groups = meet.select("to_cell", "to_sub", F.col("sub").alias("group")).unionByName(counts.select(F.col("cell").alias("to_cell"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("to_sub"), F.lit(0).alias("group"))).distinct()
+    own = groups.join(tiles.withColumnsRenamed({"cell": "to_cell", "sub": "to_sub"}), ["to_cell", "to_sub"]).select("to_cell", "to_sub", "group", F.lit(True).alias("own"), "fps")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf["own"].to_numpy(bool)
         gather = lambda xs: np.concatenate([np.zeros(0, np.uint64), *[np.asarray(x, np.int64).view(np.uint64) for x in xs]])
-        a, b = forest(gather(pdf["fps"][rows]), gather(pdf["fps"][~rows]), radius)
+        a, b = forest(gather(pdf["fps"][rows]), gather(pdf["fps"][~rows]), radius, within=key[2] == 0)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return met.groupBy("to_cell", "to_sub").applyInPandas(compare, "a long, b long")
+    return sent.unionByName(own).groupBy("to_cell", "to_sub", "group").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -138,8 +142,8 @@ def components(edges: DataFrame) -> DataFrame:
     and small stars until nothing changes."""
 
     def least(pairs):
-        """Each u's v, with the least v of that u; no group is gathered in one place."""
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+        """Each u's v, with the least v of that u; no group is gathered in one place, and hot ones aren't dealt out."""
+        return join_hot(pairs, checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))), "u").drop("n")
 
     def star(e, large: bool):
         if large:
@@ -152,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = seen(e)
     while before[0]:
-        e = checkpointed(star(star(e, True), False))
+        e = checkpointed(star(checkpointed(star(e, True)), False))
         if (now := seen(e)) == before:
             break
         before = now
@@ -166,12 +170,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
     passed over as component_id unless the component has no other. Only the named columns are used, and an empty
     table gives an empty result."""
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle_words, keep))
-    known = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    known = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     joined = components(links(known, radius))
-    rooted = checkpointed(known.join(joined, known["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), *keep, "fp", "component_id")
+    rooted = checkpointed(known.join(joined, known["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", F.col("n").alias("copies")))
+    ids = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    by_fp = checkpointed(join_hot(rooted, ids, "root").select("fp", "component_id", F.col("copies").alias("n")))
+    return join_hot(fps, by_fp, "fp").select(F.col("id").alias(id_col), *keep, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:

@@ -164,7 +164,7 @@ def one_of_similar(docs: DataFrame, id_col="doc_id", text_col="text", shingle_wo
     plain = sets.select("key", *WORDS, "n")
 
     def rooted(links):
-        found = components(links)
+        found = components(links)  # one row a key
         return sets.join(found, sets["key"] == found["node"], "left").select("key", *WORDS, "n", "best", F.coalesce("root", "key").alias("root"))
 
     check = lambda pairs: similar_links(sketches, hashed, row, text_col, pairs, shingle_words, similarity)
