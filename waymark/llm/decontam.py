@@ -8,7 +8,10 @@ that counts (cover, with the edit budget of that part) are retained, and no matc
 verified by banded alignment: at least cover of the item, at most budget edits a character. Hits that are no match as
 a whole, such as a passage with a phrase replaced, are searched for parts that are.
 
-The index holds one slice of the benchmark, at most slice_chars characters; a larger benchmark takes several passes.
+The index holds one slice of the benchmark, about slice_chars characters of distinct texts; a larger benchmark takes
+several passes, one slice in memory at a time. Long texts are searched in segments that overlap by more than a match can
+be long, and hits are worked off for some pairs of segment and item at a time, HITS of them or those of one pair, so
+that memory grows neither with the number of items nor with how often they share a q-gram.
 """
 
 from __future__ import annotations
@@ -21,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_batches
+from .common import checkpointed, text_batches
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CELLS = 22  # bits of the first filter's table
 PIECE = 1 << 21  # characters worked off at a time; a longer text is one piece of its own
+HITS = 1 << 21  # shared q-grams held at a time
+SEGMENT = 1 << 13  # characters of a text searched together, at least
 
 
 @lru_cache(maxsize=1)
@@ -85,15 +91,17 @@ class Index:
         self.band = int(max([8, *np.floor(self.budget * length)]))
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         by = np.argsort(h, kind="stable")
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[by]
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])[by]
+        self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[by]
+        self.place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(g), dtype=np.int32) for g in grams]])[by]
         self.keys, self.first, self.times = np.unique(h[by], return_index=True, return_counts=True)
         self.cells = np.zeros(1 << CELLS, bool)
         self.cells[(self.keys >> np.uint64(64 - CELLS)).astype(np.int64)] = True
+        self.reach = 2 * int(max([0, *length])) + self.q  # more than a match and what may prolong it
+        self.stride = max(SEGMENT, 4 * self.reach)
 
     def search(self, texts: list[str]) -> list[tuple]:
         """(text number, item number, start, end, item start, item end, shared q-grams, edits) of verified matches;
-        start and end are character offsets in the lower-cased text."""
+        start and end are character offsets in the lower-cased text. A match within another of its item is left out."""
         forms = [reduced(t) for t in texts]
         if not self.items or not forms:
             return []
@@ -108,41 +116,70 @@ class Index:
         owner = np.searchsorted(begin, pos, "right") - 1
         within = pos + self.q <= begin[owner] + size[owner]
         pos, at, owner = pos[within], at[within], owner[within]
-        times = self.times[at]
-        pos, owner = np.repeat(pos, times), np.repeat(owner, times)
-        step = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times)
-        posting = np.repeat(self.first[at], times) + step
-        item, place = self.item[posting], self.place[posting]
-        pair = owner * len(self.items) + item
+        # Segments: each begins a stride after the one before and holds what a match that begins in the stride can reach.
+        first = (pos - begin[owner]) // self.stride
+        again = np.flatnonzero((first > 0) & ((pos - begin[owner]) % self.stride < self.reach))
+        pos, at, owner = (np.concatenate([x, x[again]]) for x in (pos, at, owner))
+        segment = np.concatenate([first, first[again] - 1])
+        found: dict[tuple, list] = {}
+        parts = max(1, -(-int(self.times[at].sum()) // HITS))
+        for part in range(parts):
+            self._matches(pos, at, owner, segment, part, parts, points, begin, size, found)
+        out = []
+        for (t, i), rows in found.items():
+            last = -1
+            for m in sorted(set(rows), key=lambda m: (m[0], -m[1], -m[4], m[5])):
+                if m[1] > last:
+                    where, last = forms[t][1], m[1]
+                    out.append((t, i, int(where[m[0]]), int(where[m[1] - 1]) + 1, *m[2:]))
+        return sorted(out)
+
+    def _matches(self, pos, at, owner, segment, part, parts, points, begin, size, found) -> None:
+        """Adds the matches of those pairs of segment and item that fall to part of parts."""
+        order = np.lexsort((pos, segment, owner))
+        pos, at, owner, segment = (x[order] for x in (pos, at, owner, segment))
+        new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(segment) != 0)]) if len(pos) else np.zeros(0, bool)
+        room = np.cumsum(new) - 1  # number of the segment
+        total = np.cumsum(self.times[at])
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        cuts = np.searchsorted(total, np.arange(HITS, (int(total[-1]) if len(total) else 0) + HITS, HITS), "right") if len(total) else np.zeros(0, np.int64)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
+            times = self.times[at[a:b]]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            posting = np.repeat(self.first[at[a:b]], times) + step
+            row = np.repeat(np.arange(a, b), times)
+            mine = (room[row] * 1_000_003 + self.item[posting]) % parts == part if parts > 1 else slice(None)
+            row, posting = row[mine], posting[mine]
+            for x, y in zip(held, (row, self.item[posting], self.place[posting], room[row] * len(self.items) + self.item[posting]), strict=True):
+                x.append(y)
+        row, item, place, pair = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in held)
         # Counting pairs first: most have too few hits for any band.
-        enough = np.bincount(pair, minlength=len(texts) * len(self.items)) >= np.tile(self.need, len(texts))
-        live = enough[pair]
-        pos, owner, item, place, pair = (x[live] for x in (pos, owner, item, place, pair))
-        diagonal = pos - begin[owner] - place + (1 << 20)
-        found: dict[tuple, tuple] = {}
+        by = np.argsort(pair, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(pair[by]) != 0, [True]])) if len(by) else np.zeros(1, np.int64)
+        enough = np.diff(edge) >= self.need[item[by[edge[:-1]]]]
+        live = by[np.repeat(enough, np.diff(edge))]
+        row, item, place, pair = (x[live] for x in (row, item, place, pair))
+        hit = pos[row]
+        diagonal = hit - begin[owner[row]] - place + (1 << 40)
         for shift in (0, self.band):
             band = (diagonal + shift) // (2 * self.band)
-            by = np.lexsort((pos, band, pair))
+            by = np.lexsort((hit, band, pair))
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(pair[by]) != 0) | (np.diff(band[by]) != 0), [True]])) if len(by) else np.zeros(1, np.int64)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 rows = by[a:b]
-                if b - a >= self.need[item[rows[0]]]:
-                    for m in self.verify(rows, pos, place, int(owner[rows[0]]), int(item[rows[0]]), points, begin):
-                        key = (m[0], m[1], m[2] // (2 * self.band))
-                        if key not in found or (m[6], -m[7]) > (found[key][6], -found[key][7]):
-                            found[key] = m
-        out = []
-        for t, i, a, b, ia, ib, shared, edits in found.values():
-            where = forms[t][1]
-            out.append((t, i, int(where[a]), int(where[b - 1]) + 1, ia, ib, shared, edits))
-        return sorted(out)
-
-    def verify(self, rows, pos, place, t, i, points, begin):
-        """Clusters of a band's hits that the alignment confirms; a gap that no budget bridges parts clusters."""
-        p, q = place[rows] + 0, self.q
-        x = pos[rows] - begin[t]
-        order = np.argsort(p, kind="stable")
-        p, x, item = p[order], x[order], self.items[i]
+                i, t, k = int(item[rows[0]]), int(owner[row[rows[0]]]), int(segment[row[rows[0]]])
+                if b - a >= self.need[i]:
+                    start = int(begin[t]) + k * self.stride
+                    text = points[start : min(int(begin[t] + size[t]), start + self.stride + self.reach)]
+                    for m in self.verify(place[rows], hit[rows] - start, i, text):
+                        found.setdefault((t, i), []).append((m[0] + k * self.stride, m[1] + k * self.stride, *m[2:]))
+
+    def verify(self, p: np.ndarray, x: np.ndarray, i: int, text: np.ndarray):
+        """(start, end, item start, item end, shared q-grams, edits) of clusters of a band's hits, at places p of the
+        item and x of the text, that the alignment confirms; a gap that no budget bridges parts clusters."""
+        q, item = self.q, self.items[i]
+        order = np.lexsort((x, p))
+        p, x = p[order], x[order]
         gap = 2 * q + int(self.budget * len(item)) * q
         parts = np.split(np.arange(len(p)), np.flatnonzero((np.diff(p) > gap) | (np.diff(x) < -2 * self.band) | (np.diff(x) > gap + 2 * self.band)) + 1)
         for c in parts:
@@ -151,13 +188,12 @@ class Index:
             ia, ib, a, b = int(p[c[0]]), int(p[c[-1]]) + q, int(x[c[0]]), int(x[c[-1]]) + q
             if ib - ia >= self.least[i] and b > a:
                 limit = int(self.budget * (ib - ia))
-                edits = banded_distance(item[ia:ib], points[begin[t] + a : begin[t] + b], limit)
+                edits = banded_distance(item[ia:ib], text[a:b], limit)
                 if edits <= limit:
-                    yield t, i, a, b, ia, ib, len(c), edits
+                    yield a, b, ia, ib, len(c), edits
                     continue
-            text = points[begin[t] : begin[t + 1] if t + 1 < len(begin) else len(points)]
             for ia, ib, a, b, edits in self.regions(p[c], x[c], item, text, int(self.least[i])):
-                yield t, i, a, b, ia, ib, int(np.sum((p[c] >= ia) & (p[c] <= ib - q) & (x[c] >= a) & (x[c] <= b - q))), edits
+                yield a, b, ia, ib, int(np.sum((p[c] >= ia) & (p[c] <= ib - q) & (x[c] >= a) & (x[c] <= b - q))), edits
 
     def regions(self, p, x, item, text, least):
         """Matches within a cluster that isn't one as a whole. A match has an unedited q-gram, so each run of hits along
@@ -237,18 +273,23 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return int(min(row[len(b) - len(a) + limit], limit + 1))
 
 
-def _indexes(benchmark: DataFrame, item_col, text_col, q, cover, budget, slice_chars) -> list:
-    """Broadcast indexes, each of about slice_chars characters of the benchmark."""
+def _slices(benchmark: DataFrame, item_col, text_col, q, cover, budget, slice_chars):
+    """(number of slices, whether texts are repeated, one index at a time of about slice_chars characters).
+
+    Texts are indexed once each, under the id of their item, or if several items share a text, under its digest."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-chars // slice_chars) or 1
-    out = []
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
-        rows = sorted(((r["i"], reduced(r["t"])[0]) for r in rows), key=lambda r: (r[0] is None, r[0], len(r[1])))
-        rows = [(i, p) for i, p in rows if len(p) >= q]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([i for i, _ in rows], [p for _, p in rows], q, cover, budget)))
-    return out
+    once = items.groupBy("t").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
+    chars, most = once.agg(F.sum(F.length("t")), F.max("n")).first()
+    n, repeated = max(1, -(-(chars or 0) // slice_chars)), (most or 0) > 1
+
+    def indexes():
+        for k in range(n):
+            rows = once.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).select(F.md5("t") if repeated else "i", "t").collect()
+            rows = sorted(((r[0], reduced(r[1])[0]) for r in rows), key=lambda r: (r[0] is None, r[0], len(r[1])))
+            rows = [(i, p) for i, p in rows if len(p) >= q]
+            yield Index([i for i, _ in rows], [p for _, p in rows], q, cover, budget)
+
+    return n, repeated, indexes()
 
 
 def _pieces(texts: list[str | None]):
@@ -268,19 +309,23 @@ def _pieces(texts: list[str | None]):
 MATCH = "item_start int, item_end int, shared_qgrams int, edits int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", q: int = 10, cover: float = 0.5, budget: float = 0.07, slice_chars: int = 20_000_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", q: int = 10, cover: float = 0.5, budget: float = 0.07, slice_chars: int = 4_000_000) -> DataFrame:
     """One row per verified match: id, item id, start and end (characters of the lower-cased text), item_start and
     item_end (of the reduced item), shared_qgrams, edits.
 
     Null and empty texts on either side match nothing, nor do items of fewer than q characters once reduced; items
     that occur several times in a text, or twice in the benchmark, match each time. Only the named columns are read;
     an empty table gives an empty result."""
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    item_type = benchmark.schema[item_col].dataType
-    schema = T.StructType([T.StructField("id", narrow.schema["id"].dataType), T.StructField("item", item_type), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), *T._parse_datatype_string(MATCH).fields])
+    n, repeated, indexes = _slices(benchmark, item_col, item_text_col, q, cover, budget, slice_chars)
+    item = T.StructField("item", T.StringType() if repeated else benchmark.schema[item_col].dataType)
+    schema = T.StructType([T.StructField("id", narrow.schema["id"].dataType), item, T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), *T._parse_datatype_string(MATCH).fields])
+    item_type = to_arrow_type(item.dataType)
     out = None
-    for shared in _indexes(benchmark, item_col, item_text_col, q, cover, budget, slice_chars):
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
@@ -289,25 +334,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
                 for part in _pieces(texts):
                     found += [(part[m[0]], *m[1:]) for m in index.search([texts[n] for n in part])]
                 col = list(zip(*found, strict=True)) if found else [[]] * 8
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(col[0], pa.int64())), pa.array([index.ids[i] for i in col[1]], pa.from_numpy_dtype(np.int64) if isinstance(item_type, T.LongType) else None), pa.array(col[2], pa.int64()), pa.array(col[3], pa.int64()), *[pa.array(c, pa.int32()) for c in col[4:]]], names=["id", "item", "start", "end", "item_start", "item_end", "shared_qgrams", "edits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(col[0], pa.int64())), pa.array([index.ids[i] for i in col[1]], item_type), pa.array(col[2], pa.int64()), pa.array(col[3], pa.int64()), *[pa.array(c, pa.int32()) for c in col[4:]]], names=["id", "item", "start", "end", "item_start", "item_end", "shared_qgrams", "edits"])
 
         one = narrow.mapInArrow(run, schema)
+        if n > 1:  # a slice is searched for and let go before the next is built
+            one = checkpointed(one)
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
+    if repeated:
+        known = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.md5(item_text_col).alias("item"), F.col(item_col).alias("__item"))
+        out = out.join(known, "item").select("id", F.col("__item").alias("item"), *out.columns[2:])
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col if item_col != id_col else f"benchmark_{item_col}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", q: int = 10, cover: float = 0.5, budget: float = 0.07, slice_chars: int = 20_000_000) -> DataFrame:
-    """The rows of docs, as they are, whose text has no match. No exchange: each row is judged where it is read."""
-    text_batches(docs.sparkSession)
-    at, out = docs.columns.index(text_col), docs
-    for shared in _indexes(benchmark, item_col, item_text_col, q, cover, budget, slice_chars):
+def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", q: int = 10, cover: float = 0.5, budget: float = 0.07, slice_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs, as they are, whose text has no match. With a benchmark of one slice there is no exchange, each
+    row is judged where it is read; else the digests of the texts that match are joined."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    n, _, indexes = _slices(benchmark, item_col, item_text_col, q, cover, budget, slice_chars)
+    at = docs.columns.index(text_col)
+    bad_texts = lambda index, texts: {part[m[0]] for part in _pieces(texts) for m in index.search([texts[n] for n in part])}
+    found = None
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+        def keep(batches, shared=shared):
             for b in batches:
-                texts, bad = b.column(at).to_pylist(), set()
-                for part in _pieces(texts):
-                    bad |= {part[m[0]] for m in shared.value.search([texts[n] for n in part])}
+                texts = b.column(at).to_pylist()
+                bad = bad_texts(shared.value, texts)
                 yield b.filter(pa.array([n not in bad for n in range(len(texts))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        def flag(batches, shared=shared):
+            for b in batches:
+                texts = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(sorted(bad_texts(shared.value, texts)), pa.int64()))], names=["digest"])
+
+        if n == 1:
+            return docs.mapInArrow(keep, docs.schema)
+        one = checkpointed(docs.select(F.col(text_col).alias("text"), F.md5(text_col).alias("digest")).mapInArrow(flag, "digest string").distinct())
+        shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    digest = F.md5(docs[text_col])
+    return docs.join(found, digest == found["digest"], "left_anti")
