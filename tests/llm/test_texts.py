@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from waymark.llm import audio, htmltext, langid, tokens, toxicity
+from waymark.llm import audio, htmltext, tokens, toxicity
 from waymark.llm.common import word_counts
 
 SF = "/root/testdata/sf0.001"
@@ -39,46 +39,6 @@ def test_token_query_shape(odd, none):
     assert tokens.count_tokens(none, PATH).collect() == []
 
 
-def test_automaton_reads_exactly_the_substrings():
-    r = random.Random(3)
-    text = [r.randint(3, 5) for _ in range(60)]
-    table = langid.suffix_automaton(text, 6)
-    subs = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, 61)}
-    for _ in range(2000):
-        w = tuple(r.randint(3, 5) for _ in range(r.randint(1, 8)))
-        s = 1
-        for c in w:
-            s = table[s, c]
-            if not s:
-                break
-        assert bool(s) == (w in subs)
-
-
-def test_phrases_match_brute_force():
-    p = langid.Parser({"x": "abracadabra is a word", "y": "zyx wvu tsr"})
-    for text in ("abra cadabra", "zyxw", "qqq", "a"):
-        form = langid.lowered(text)
-        for k, sample in enumerate(("abracadabra is a word", "zyx wvu tsr")):
-            n, i, t = 0, 0, "".join(map(chr, form))
-            while i < len(t):
-                j = i + 1
-                while j < len(t) and t[i : j + 1] in sample:
-                    j += 1
-                i, n = j, n + 1
-            assert p.phrases([form])[0][0, k] == n
-
-
-def test_language_held_out_accuracy(documents, odd, none):
-    got = {r["doc_id"]: r for r in langid.identify(documents).collect()}
-    rows = documents.collect()
-    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
-    assert all(got[r["doc_id"]]["held_out"] for r in held)
-    assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.97
-    found = langid.identify(odd).collect()
-    assert len(found) == odd.count() and {r["lang_pred"] for r in found if r["doc_id"] in (3, 4, 6)} == {"und"}
-    assert langid.identify(none).collect() == []
-
-
 def test_toxicity_held_out_and_disguises(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scorer = toxicity.fit(docs, labels)
