@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from waymark.llm import similar
 
 
@@ -55,3 +56,33 @@ def test_rows_of_documents(spark, documents, odd, none):
     kept = similar.one_of_similar(odd)
     assert kept.columns == odd.columns and sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(["1", "3", "None", "5", "7", "8"])
     assert similar.one_of_similar(none).collect() == []
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_large_clusters_in_blocks(spark, monkeypatch, block):
+    """Families of edited copies: of one base, in chains, and close families that must stay apart."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "MASS", block * 150)
+    r = random.Random(31)
+    said = lambda n: ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n)]
+    texts = []
+    base = said(120)
+    families = [base, [*base[:88], *said(32)], [*base[:70], *said(50)]]  # similarities below 0.8 to each other
+    for f in families:
+        texts.append(f)
+        for _ in range(25):
+            copy = list(f)
+            for _ in range(2):
+                copy[r.randrange(len(f))] = said(1)[0]
+            texts.append(copy)
+    chain = said(120)
+    for _ in range(30):
+        chain = list(chain)
+        for k in r.sample(range(120), 2):
+            chain[k] = said(1)[0]
+        texts.append(chain)
+    r.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(x["doc_id"] for x in similar.one_of_similar(docs).collect())
+    assert got == sorted(brute_kept(rows))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared checkpoint folder and read from there, and where. For loops: a checkpoint
+    keeps the estimated size of its plan, and estimates multiply with every join, whereas files have their own."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete what written() wrote."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
     """left joined on key with right, which has one row for each key and in n the number of left's rows that have it.
 

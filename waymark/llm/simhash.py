@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, join_hot, text_batches
+from .common import checkpointed, forget, fresh, join_hot, text_batches, written
 
 BASE = 17  # a 16-bit word has 0 to 16 bits set
 
@@ -141,22 +141,29 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for each node of edges a, b but the roots, by alternating large
     and small stars until nothing changes."""
 
-    def least(pairs):
-        """Each u's v, with the least v of that u; no group is gathered in one place, and hot ones aren't dealt out."""
-        return join_hot(pairs, checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))), "u").drop("n")
-
     def star(e, large: bool):
+        """The edges, and what to delete once they are written; no group is gathered in one place."""
+        if large:
+            pairs = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        else:
+            pairs = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least, path = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        met = join_hot(pairs, least, "u")
         if large:
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            return least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        return low.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            return met.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), path
+        return met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(met.select("u", F.col("m").alias("v"))).distinct(), path
 
+    spark = edges.sparkSession
     seen = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e, path = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = seen(e)
     while before[0]:
-        e = checkpointed(star(checkpointed(star(e, True)), False))
+        old = [path]
+        for large in (True, False):
+            next_e, spent = star(e, large)
+            e, path = written(next_e)
+            old += [spent, path]
+        forget(spark, *old[:-1])
         if (now := seen(e)) == before:
             break
         before = now
