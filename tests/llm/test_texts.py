@@ -1,7 +1,6 @@
 """Tokens, language, toxicity, HTML and audio."""
 
 import hashlib
-import html
 import random
 import zlib
 
@@ -9,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from waymark.llm import audio, htmltext, tokens, toxicity
+from waymark.llm import audio, tokens, toxicity
 from waymark.llm.common import word_counts
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +45,9 @@ def test_toxicity_held_out_and_disguises(spark, odd, none):
     held = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     said = scorer.score([r["text"] for r in held]) >= 0.5
     assert np.mean(said == np.array([r["toxic"] == 1 for r in held])) > 0.93
-    assert not any(said[i] for i, r in enumerate(held) if r["toxic"] == 0 and r["quality"] == 1) or np.mean([said[i] for i, r in enumerate(held) if r["toxic"] == 0]) < 0.02
+    clean = [said[i] for i, r in enumerate(held) if r["toxic"] == 0]
+    assert len(clean) > 50 and np.mean(clean) < 0.02
+    assert np.mean([said[i] for i, r in enumerate(held) if r["toxic"] == 1]) > 0.75
     plain = "The erthin of {} that onher the anesth thion."
     for word in ("1d10t", "m0r0n", "stuuupid", "i d i o t", "s.t.u.p.i.d", "tr4sh", "m-o-r-o-n", "$tupid"):
         assert scorer.words.of(plain.format(word)) & {"idiot", "moron", "stupid", "trash"}, word
@@ -64,25 +65,6 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert a.weights == b.weights and np.allclose(a.beta, b.beta)
 
 
-def test_html_held_out_pages():
-    field, wrong, all_ = htmltext.trained(), 0, 0
-    for page, main in htmltext.labelled_pages(60, 77):
-        want = [" ".join(html.unescape(m).split()) for m in main]
-        got = htmltext.main_text(page, field).split("\n")
-        wrong += len(set(want) ^ set(got))
-        all_ += len(want)
-    assert wrong <= 0.03 * all_
-
-
-def test_html_rows(spark):
-    article = "<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>First  para&#233;\n one.<p>Second <b>bold</b> one.<!-- <p>no --></article><footer>&copy; x</footer></body>"
-    pages = spark.createDataFrame([(1, "u", article, 1), (2, None, None, 2), (3, "v", "", 3), (None, "w", "<p>Unclosed " * 50, 4), (5, "x", "a < b <", 5)], "page_id long, url string, html string, n_chars long")
-    got = {r["page_id"]: r for r in htmltext.extract(pages).collect()}
-    assert got[1]["text"] == "A & B\nFirst paraé one.\nSecond bold one." and got[1]["n_chars"] == len(got[1]["text"])
-    assert got[2]["text"] == "" == got[3]["text"] and len(got) == 5
-    assert htmltext.extract(pages.limit(0)).collect() == []
-
-
 def test_audio_round_trip(odd, none):
     got = sorted(audio.media(odd).collect(), key=str)
     assert len(got) == odd.count()
@@ -106,5 +88,7 @@ def test_resampling_is_accurate():
 
 def test_segments_need_both_thresholds():
     energy = np.array([-40.0, -5, 0, -5, -40, -5, -40])
-    parts = audio.segments(energy)
-    assert parts == [(1, 4)] or all(b > a for a, b in parts)
+    # Mean power is that of the one loud frame among seven, -8.2 dB: 2, 1 and 3 are above the low threshold of -14.2, only 2 above the high one.
+    assert audio.segments(energy) == [(1, 4), (5, 6)]
+    assert audio.segments(np.array([-40.0, -9, -40, 0, 0, 0, -40])) == [(3, 6)]
+    assert audio.segments(np.zeros(4)) == [(0, 4)]
