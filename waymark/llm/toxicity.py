@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, text_batches
+from .common import checkpointed, remainder, text_batches
 
 #: The letters that digits and symbols imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
@@ -211,18 +211,18 @@ def _count_characters(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def _g2(a, n_a, b, n_b):
-    """Log-likelihood ratio of a of n_a against b of n_b."""
-    p = (a + b) / (n_a + n_b)
-    term = lambda k, n: k * np.log(np.maximum(k, 1e-12) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / (n * (1 - p) + 1e-12))
-    return 2 * (term(a, n_a) + term(b, n_b))
+def _g2(a: str, n_a: int, b: str, n_b: int):
+    """Log-likelihood ratio of a of n_a against b of n_b, as a column."""
+    p = f"(({a} + {b}) / {n_a + n_b}D)"
+    term = lambda k, n: f"{k} * ln(greatest({k}, 1e-12D) / ({n}D * {p})) + ({n}D - {k}) * ln(greatest({n}D - {k}, 1e-12D) / ({n}D * (1 - {p}) + 1e-12D))"
+    return F.expr(f"2 * ({term(a, n_a)} + {term(b, n_b)})")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds: int = 5, fold: int = 0, fit_rows: int = 6000, evidence: float = 20.0, max_prefixes: int = 200_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds: int = 5, fold: int = 0, fit_rows: int = 6000, evidence: float = 20.0) -> Scorer:
     """A scorer. Characters are counted over all texts; labels of rows that aren't held out are sampled by a hash of
-    the id to about fit_rows of each class. Half of the sample picks prefixes (G2 of at least evidence, at most
-    max_prefixes of them), the other half fits the regression. Labels are per id: toxic if any row says so; null
-    ids and null labels are passed over. With one class alone, every text scores the share of toxic labels."""
+    the id to about fit_rows of each class, and again by a hash of the text where ids are repeated. Half of the sample
+    picks prefixes, all with a G2 of at least evidence; the other half fits the regression. Labels are per id: toxic if
+    any row says so; null ids and null labels are passed over. With one class alone, every text scores the share of toxic labels."""
     spark = docs.sparkSession
     text_batches(spark)
     words = Words(LanguageModel(_count_characters(docs, text_col)))
@@ -236,7 +236,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
     part = known.filter(draw < F.when(F.col("y") == 1, min(1.0, fit_rows / n1)).otherwise(min(1.0, fit_rows / n0)))
     part = part.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "i"), F.lit(2)).cast("int"))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(part), "i").select("t", "y", "half")  # about 2 fit_rows rows of three numbers
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(part), "i")  # about 2 fit_rows rows of three numbers
+    rows = rows.withColumn("h", F.xxhash64("i", "t")).dropDuplicates(["h"])  # a repeated row says nothing new
+    found = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    over = F.when(F.col("y") == 1, max(1.0, found.get(1, 0) / fit_rows)).otherwise(max(1.0, found.get(0, 0) / fit_rows))
+    rows = rows.filter((over <= 1.1) | (F.pmod(F.xxhash64(F.lit(2), "h"), F.lit(1 << 30)) * over < float(1 << 30)))
+    rows = checkpointed(rows.select("t", "y", "half"))
     shared = spark.sparkContext.broadcast(words.model)
 
     def tally(batches):
@@ -246,18 +251,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                 for p in {p for w in own.of(t or "") for p in prefixes(w)}:
                     count.setdefault(p, [0, 0])[y] += 1
         items = list(count.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.string()), pa.array([v[1] for _, v in items], pa.int64()), pa.array([v[0] for _, v in items], pa.int64()), pa.array([0] * len(items), pa.int64()), pa.array([0] * len(items), pa.int64())], names=["p", "a", "b", "docs1", "docs0"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.string()), pa.array([v[1] for _, v in items], pa.int64()), pa.array([v[0] for _, v in items], pa.int64())], names=["p", "a", "b"])
 
     sizes = rows.filter("half = 0").groupBy("y").count().collect()
     m = {r["y"]: r["count"] for r in sizes}
     if m.get(1) and m.get(0):
-        seen = rows.filter("half = 0").select("t", "y").mapInArrow(tally, "p string, a long, b long, docs1 long, docs0 long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        found = seen.filter((F.col("a") >= 3) & (F.col("a") / m[1] > 2 * F.col("b") / m[0])).orderBy(F.desc(F.col("a") / m[1] - F.col("b") / m[0]), "p").limit(max_prefixes).collect()
-        if found:
-            a, b = (np.array([r[k] for r in found], np.float64) for k in ("a", "b"))
-            strong = _g2(a, m[1], b, m[0]) >= evidence
-            odds = np.log((a + 0.5) / (m[1] + 1)) - np.log((b + 0.5) / (m[0] + 1))
-            scorer.weights = {r["p"]: float(w) for r, w, ok in zip(found, odds, strong, strict=True) if ok and w > 1}
+        seen = rows.filter("half = 0").select("t", "y").mapInArrow(tally, "p string, a long, b long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        odds = F.expr(f"ln((a + 0.5D) / {m[1] + 1}D) - ln((b + 0.5D) / {m[0] + 1}D)")
+        strong = (F.col("a") >= 3) & (F.col("a") / m[1] > 2 * F.col("b") / m[0]) & (odds > 1) & (_g2("a", m[1], "b", m[0]) >= evidence)
+        scorer.weights = {r["p"]: r["w"] for r in seen.filter(strong).select("p", odds.alias("w")).collect()}  # of some 6000 texts of the sample
     sent = spark.sparkContext.broadcast(scorer)
 
     def gather(batches):
@@ -269,7 +271,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     got = rows.filter("half = 1").select("t", "y").mapInArrow(gather, "y int, a double, b double, c double, d double, e double").toPandas()
     y = got["y"].to_numpy(float)
     if len(set(y)) == 2:
-        share = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
         got = got.sort_values(list(got.columns), kind="stable")  # the same sums whatever the order rows came in
         y = got["y"].to_numpy(float)
         share = np.where(y == 1, n1 / y.sum(), n0 / (1 - y).sum())
