@@ -3,6 +3,9 @@
 A text is brought to a canonical form: lower case, without copyright and all-rights-reserved lines, equivalent
 spellings made one, everything but letters and digits a single blank. The MD5 of the whole form, and of the form of
 each line, is looked up among the digests of known licence texts and notices by a hash join. SQL functions only.
+
+Known as whole texts: MIT, MIT-0, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib and Unlicense, and by digest Apache-2.0, GPL-1.0,
+GPL-2.0, GPL-3.0, LGPL-2.0, LGPL-2.1, LGPL-3.0, MPL-1.1, MPL-2.0, GFDL-1.2, GFDL-1.3, CC0-1.0 and Artistic-1.0-Perl.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [("sub-licens", "sublicens"), ("licence", "license"), ("non-commercial", "noncommercial"), ("http://", "https://"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"), ("per cent", "percent"), ("merchantibility", "merchantability"), ("wilful", "willful"), ("&", " and ")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©)[^\n]*"
+#: A line is a copyright line if it opens with the word and a sign or year, or with the sign alone.
+COPYRIGHT = r"^[ \t*#/;>-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|[<\[][^\n]*)|\(c\)[ \t]*(copyright|[0-9]{4}|by[ \t])|©)[^\n]*"
 RESERVED = r"all rights reserved[.]?"
 OTHER = "[^a-z0-9]+"
 
@@ -36,9 +40,27 @@ TEXTS = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_AS_IS,
     "BSD-2-Clause": "\n\n".join((_BSD_HEAD, _BSD_1, _BSD_2, _BSD_AS_IS)),
     "BSD-3-Clause": "\n\n".join((_BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_AS_IS)),
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n" + _AS_IS.split(" IN NO EVENT")[0] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
 }
-TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "MIT-0": "MIT No Attribution"}
+#: Digests of the canonical forms of public licence texts too long to be kept here, by SPDX identifier,
+#: each of the whole file and, where the licence has an appendix on how to apply it, of its terms alone.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["184d4af64a58c708bcf4cb2468396a96", "8d99569c7b33d2f613388e7f7b6676c3", "0a0f73af27c03c9dcd89412f9008b49d"],
+    "GPL-1.0": ["738cc3b112640d95d4cd79a58967ecea", "dbf3c47f5a8f127e58d08cabc1ebb916", "21fa8693acc5194a648fe02e11f65a72"],
+    "GPL-2.0": ["5e39ace6e62f5a7fe9c17b4da986ad8c", "68380dbeadb093b94ecf563db7312db7", "f2c06efe640b4a281cbe5337cdde80ab"],
+    "GPL-3.0": ["5eaa767cc0a56c87c3852144458a3bf1", "444f95dc767ede978b60cfb20fbd0bca", "17e434cc6db7003444b088cb4cc81e91"],
+    "LGPL-2.0": ["74cf7fcef3b29a39165a795b2cad3a3a", "c396ba2f94537628797123bc12cd2d6e", "97832943be1e344d51af5aee1b658e4f"],
+    "LGPL-2.1": ["f998bc436710cfece156aaa84fd26dd4", "3054b3781b1af43f906dc753acad15ee", "eaf6afb73fc860a002bfbccbe6f07ce7"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "MPL-1.1": ["252dfbcf46f9012c7c356a9252f1c30c"],
+    "MPL-2.0": ["db12a21e89062c14ac06f7d6aa8123d5"],
+    "GFDL-1.2": ["c969fdb4b731dadf7173c1ffbe49a117"],
+    "GFDL-1.3": ["eb6b86c0fad89753a5a36c484fa0ada2"],
+    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
+}
+TITLES = {"Unlicense": "The Unlicense", "MIT": "MIT License", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "MIT-0": "MIT No Attribution"}
 #: Names of licences as notices have them. Each goes with each of FORMS.
 NAMES = {
     "MIT": ["MIT License"],
@@ -65,61 +87,72 @@ def known_texts() -> list[tuple[str, str]]:
     return out + [(f"CC-{kind}-{v}", form.format(kind, v)) for kind in CC for v in CC_VERSIONS for form in CC_FORMS]
 
 
-def canonical(text: str) -> str:
-    """The canonical form, in Python; the columns below are the same in SQL."""
-    x = re.sub(RESERVED, " ", re.sub(COPYRIGHT, "\n", text.translate(str.maketrans(UPPER, LOWER))))
+def canonical_line(line: str) -> str:
+    """The canonical form of a line, in Python; the columns below are the same in SQL."""
+    x = re.sub(RESERVED, " ", re.sub(COPYRIGHT, " ", line.translate(str.maketrans(UPPER, LOWER))))
     for a, b in SPELLINGS:
         x = x.replace(a, b)
     return re.sub(OTHER, " ", x).strip(" ")
 
 
+def canonical(text: str) -> str:
+    """The canonical form of a text: those of its lines, joined by blanks."""
+    return " ".join(x for x in map(canonical_line, text.split("\n")) if x)
+
+
 def known_digests() -> dict[str, str]:
     """Licence by digest; of two licences with one digest, the first in order."""
     out: dict[str, str] = {}
     for name, text in sorted(known_texts()):
         out.setdefault(hashlib.md5(canonical(text).encode()).hexdigest(), name)
-    return out
+    return {**{d: k for k, ds in DIGESTS.items() for d in ds}, **out}
 
 
 def canonical_column(c):
-    x = F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), COPYRIGHT, "\n"), RESERVED, " ")
+    x = F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), COPYRIGHT, " "), RESERVED, " ")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, OTHER, " "))
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", digests: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", digests: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row per find: id, scope ('text' if the whole text is a known one, 'line' for each line that is), line
     (0 for the whole, else from 1), license.
 
     Null and empty texts, and texts or lines of nothing but copyright lines, are never a find; repeated rows are
-    found each; only the two columns are read; an empty table gives an empty result. Beyond some 100 000 digests,
-    pass a table of your own to a join instead: the digests are broadcast."""
-    found = known_digests() if digests is None else digests
-    if len(found) > 100_000:
-        raise ValueError("too many digests to broadcast")
-    table = F.broadcast(docs.sparkSession.createDataFrame(sorted(found.items()), "digest string, license string"))
+    found each; only the two columns are read; an empty table gives an empty result. digests: licence by digest, of
+    100 000 at most, which are broadcast, or a table (digest, license) of any size, which is joined. A text is brought
+    to its canonical form once, line by line."""
+    if isinstance(digests, DataFrame):
+        table = digests.select("digest", "license")
+    else:
+        found = known_digests() if digests is None else digests
+        if len(found) > 100_000:
+            raise ValueError("too many digests to broadcast: pass them as a table")
+        table = F.broadcast(docs.sparkSession.createDataFrame(sorted(found.items()), "digest string, license string"))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    whole = narrow.select("id", F.lit("text").alias("scope"), F.lit(0).alias("line"), F.col("text").alias("unit"))
-    lines = narrow.select("id", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("id", F.lit("line").alias("scope"), (F.col("line") + 1).alias("line"), "unit")
-    units = whole.unionByName(lines).select("id", "scope", "line", F.md5(canonical_column(F.col("unit")).cast("binary")).alias("digest"))
+    formed = narrow.select("id", F.transform(F.split("text", "\n"), canonical_column).alias("lines"))
+    each = F.filter(F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).alias("line"), x.alias("unit"))), lambda u: u["unit"] != "")
+    whole = F.array(F.struct(F.lit("text").alias("scope"), F.lit(0).alias("line"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("unit")))
+    units = formed.select("id", F.explode(F.concat(whole, each)).alias("u")).select("id", "u.scope", "u.line", F.md5(F.col("u.unit").cast("binary")).alias("digest"))
     return units.join(table, "digest").select(F.col("id").alias(id_col), "scope", F.col("line").cast("int").alias("line"), "license")
 
 
 def duckdb_sql(table: str = "documents", id_col="doc_id", text_col="text") -> str:
     """The same scan in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"regexp_replace(regexp_replace(translate(unit, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, chr(10), 'g'), {quote(RESERVED)}, ' ', 'g')"
+    x = f"regexp_replace(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, ' ', 'g'), {quote(RESERVED)}, ' ', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, {quote(a)}, {quote(b)})"
-    x = f"md5(trim(regexp_replace({x}, '{OTHER}', ' ', 'g'), ' '))"
+    x = f"trim(regexp_replace({x}, '{OTHER}', ' ', 'g'), ' ')"
     rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(known_digests().items()))
     return f"""
 WITH known(digest, license) AS (VALUES {rows}),
-split AS (SELECT {id_col}, string_split({text_col}, chr(10)) AS parts FROM {table} WHERE {text_col} IS NOT NULL),
+texts AS (SELECT {id_col}, row_number() OVER () AS rn, string_split({text_col}, chr(10)) AS parts FROM {table} WHERE {text_col} IS NOT NULL),
+lines AS (SELECT {id_col}, rn, i, {x} AS unit FROM (SELECT {id_col}, rn, i, parts[i] AS part FROM (SELECT {id_col}, rn, parts, unnest(range(1, len(parts) + 1)) AS i FROM texts))),
 units AS (
-  SELECT {id_col}, 'text' AS scope, 0 AS line, {text_col} AS unit FROM {table} WHERE {text_col} IS NOT NULL
+  SELECT {id_col}, 'text' AS scope, 0 AS line, string_agg(unit, ' ' ORDER BY i) AS unit FROM lines WHERE unit <> '' GROUP BY {id_col}, rn
   UNION ALL
-  SELECT {id_col}, 'line', i, parts[i] FROM (SELECT {id_col}, parts, unnest(range(1, len(parts) + 1)) AS i FROM split))
-SELECT {id_col}, scope, CAST(line AS INTEGER) AS line, license FROM units JOIN known ON digest = {x}
+  SELECT {id_col}, 'line', i, unit FROM lines WHERE unit <> '')
+SELECT {id_col}, scope, CAST(line AS INTEGER) AS line, license FROM units JOIN known ON digest = md5(unit)
 """
