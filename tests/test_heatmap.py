@@ -3,7 +3,10 @@ import math
 import numpy as np
 import pytest
 
-from waymark.operators import heatmap, queries
+from waymark.functions import geo
+from waymark.operators import heatmap, matching, queries
+from waymark.plans.dialect import over, prepared
+from waymark.plans.traces import RADIUS_M
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,8 +47,10 @@ def test_direction(spark, east):
 
 
 def test_trails_of_the_table(spark):
-    """Every gated point of runs of two or more is drawn, once more at each cut, and heat is on the lattice's scale."""
-    gated = queries._gated(spark, SF).collect()
+    """Every gated point of runs of two or more is drawn, or lies on the line between two that are, and heat is on the
+    lattice's scale; nothing is drawn that the mask hides."""
+    dense = prepared(spark, SF)
+    gated = over(queries._GATED, dense).collect()
     runs = {}
     for g in gated:
         runs.setdefault((g["activity_id"], g["run"]), []).append(g)
@@ -55,10 +60,27 @@ def test_trails_of_the_table(spark):
         drawn.setdefault((r["activity_id"], r["run"]), []).append(r)
     assert drawn.keys() == {k for k, v in runs.items() if len(v) >= 2} and rows
     for k, pieces in drawn.items():
-        assert sum(len(p["lon"]) for p in pieces) == len(runs[k]) + len(pieces) - 1
-    eff = sorted(r["eff"] for r in queries._lattice(spark, SF).collect())
+        own = {(g["lon"], g["lat"]) for g in runs[k]}
+        assert all((x, y) in own for p in pieces for x, y in zip(p["lon"], p["lat"]))
+        lines = [np.column_stack([p["lon"], p["lat"]]) for p in pieces]
+        for g in runs[k]:
+            assert min(matching.to_line(np.array([[g["lon"], g["lat"]]]) * geo.DEGREE_M, x * geo.DEGREE_M)[0] for x in lines) < 1e-3
+    eff = sorted(r["eff"] for r in over(queries._LATTICE, dense).collect())
     top = max(1, eff[math.ceil(0.999 * len(eff)) - 1])
     assert all(r["heat_score"] == pytest.approx(min(1, math.log1p(r["eff"]) / math.log1p(top)), abs=6e-4) for r in rows)
+    ends = {}
+    for f in queries._fixes(spark, SF).collect():
+        ends.setdefault(f["activity_id"], []).append((f["seq"], f["lon"], f["lat"]))
+    for r in rows:
+        for _, lon, lat in (min(ends[r["activity_id"]]), max(ends[r["activity_id"]])):
+            assert geo.metres(lon, lat, np.array(r["lon"]), np.array(r["lat"])).min() > RADIUS_M - 0.1
     found = queries.s26_vector_tiles(spark, SF).collect()
-    assert {t["z"] for t in found} >= {14, 15} and all(t["dropped"] == 0 for t in found)
-    assert {t["sport"] for t in queries.t05_t09_raster_tiles(spark, SF).collect()} >= {None, "gravel"}
+    assert {t["z"] for t in found} >= {14, 15} and all(t["dropped"] == 0 and len(t["tile"]) == t["bytes"] for t in found)
+    raster = queries.t05_t09_raster_tiles(spark, SF).collect()
+    assert {t["sport"] for t in raster} >= {None, "gravel"} and all(bytes(t["png"][:4]) == b"\x89PNG" for t in raster)
+
+
+def test_stripping_keeps_corners(spark):
+    pieces = heatmap.graded_pieces(trail(spark, [5] * 10))
+    assert [len(r["lon"]) for r in heatmap.stripped(pieces).collect()] == [2]
+    assert heatmap.stripped(pieces.filter("false")).collect() == []

@@ -68,8 +68,15 @@ def test_vector_tiles_round_trip(legs):
     assert got.keys() == want.keys()
     for k, layers in got.items():
         assert layers[0][0] == GRID and sorted(map(tuple, layers[0][1])) == sorted(want[k])
-    few = tiles.vector_tiles(legs, GRID, most_legs=3).collect()
-    assert all(r["legs"] == min(3, len(want[r["z"], r["x"], r["y"]])) and r["legs"] + r["dropped"] == len(want[r["z"], r["x"], r["y"]]) for r in few)
+    rank = lambda r: (-r["pass_count"], -r["user_count"])
+    ranks: dict = {}
+    for r in legs.collect():
+        ranks.setdefault((r["z"], r["x"], r["y"]), []).append(rank(r))
+    few = tiles.vector_tiles(legs, GRID, most_bytes=150).collect()
+    assert any(r["dropped"] for r in few)
+    for r in few:
+        found = want[r["z"], r["x"], r["y"]]
+        assert r["legs"] + r["dropped"] == len(found) and (len(r["tile"]) <= 150 or r["legs"] == 1)
 
 
 def test_raster_tiles(spark, lines):

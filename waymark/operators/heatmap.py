@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import cumulative
 from waymark.operators.packed import packed, traces
-from waymark.operators.shapes import level_pieces
+from waymark.operators.shapes import level_pieces, simplify
 
 PIECES = "activity_id long, sport string, run long, piece int, terminal boolean, pass_count long, user_count long, eff long, lon array<double>, lat array<double>"
 DEGREES = 0.0001
@@ -25,6 +25,8 @@ def lower_median(values: np.ndarray) -> int:
 
 def rolling_lower_median(values: np.ndarray, travelled: np.ndarray, metres: float = 50.0, points: int = 256) -> np.ndarray:
     """The lower median of each point's neighbours within so many metres of way and so many points."""
+    if not len(values) or values.min() == values.max():
+        return np.asarray(values, np.int64)
     at = np.arange(len(values))
     first = np.maximum(np.searchsorted(travelled, travelled - metres, "left"), at - points)
     last = np.minimum(np.searchsorted(travelled, travelled + metres, "right"), at + points + 1)
@@ -80,6 +82,25 @@ def directed(pieces: DataFrame, cells: DataFrame) -> DataFrame:
     return found.select(*pieces.columns, F.coalesce("oneway", F.lit(0.0)).alias("oneway_score"), F.coalesce(F.greatest("f", "b"), F.lit(0)).alias("forward_count"), F.coalesce(F.least("f", "b"), F.lit(0)).alias("backward_count"))
 
 
+def stripped(pieces: DataFrame, metres: float = 1e-4) -> DataFrame:
+    """pieces without the points that lie on the straight line between others, as densifying has set them."""
+    at = [pieces.columns.index(c) for c in ("lon", "lat")]
+
+    def run(batches):
+        for b in batches:
+            lists = [b.column(k) for k in at]
+            ends = np.cumsum([0, *lists[0].value_lengths().to_pylist()])
+            lon, lat = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+            keep = [i + simplify(lon[i:j], lat[i:j], tolerance=metres) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            flat, size = np.concatenate([np.zeros(0, np.int64), *keep]), np.cumsum([0, *map(len, keep)])
+            columns = list(b.columns)
+            for k, values in zip(at, (lon, lat), strict=True):
+                columns[k] = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(values[flat]))
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return pieces.mapInArrow(run, pieces.schema)
+
+
 def heated(pieces: DataFrame, lattice: DataFrame) -> DataFrame:
     """pieces with heat_score on the scale of the lattice's 99.9th percentile of effective passes; that is one row."""
     top = lattice.agg(F.greatest(F.lit(1), F.expr("percentile_disc(0.999) WITHIN GROUP (ORDER BY eff)")).alias("top"))

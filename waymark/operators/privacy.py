@@ -17,19 +17,25 @@ MASKED = "activity_id long, piece int, point int, lon double, lat double"
 
 def end_zone(lon: np.ndarray, lat: np.ndarray, dwell=30.0, least=3, most=10, span=100.0) -> tuple[np.ndarray, np.ndarray, int]:
     """Anchors of the end at which the arrays start: indexes, the spread each absorbed, the zone's last index."""
-    at, pad, walked, last = [0], [0.0], 0.0, 0
-    for i in range(1, len(lon)):
-        walked += float(metres(lon[i - 1], lat[i - 1], lon[i], lat[i]))
-        gap = metres(lon[at], lat[at], lon[i], lat[i])
-        k = int(np.argmin(gap))
-        if gap[k] <= dwell:
-            pad[k] = max(pad[k], float(gap[k]))
-        elif len(at) < least or (len(at) < most and walked <= span):
+    at, pad, n, last = [0], [0.0], len(lon), 0
+    if n < 2:
+        return np.array(at), np.array(pad), 0
+    walked = np.concatenate([[0.0], np.cumsum(metres(lon[:-1], lat[:-1], lon[1:], lat[1:]))])
+    i = 1
+    while i < n:  # what stays near the anchors is absorbed a stretch at a time; each round but the last sets an anchor
+        part = slice(i, min(n, i + 512))
+        gap = metres(lon[at][:, None], lat[at][:, None], lon[part][None], lat[part][None])
+        k, near = gap.argmin(axis=0), gap.min(axis=0)
+        away = np.flatnonzero(near > dwell)
+        stay = int(away[0]) if len(away) else len(near)
+        np.maximum.at(pad := np.array(pad), k[:stay], near[:stay])
+        pad, last, i = pad.tolist(), i + stay - 1, i + stay
+        if len(away):
+            if len(at) >= least and not (len(at) < most and walked[i] <= span):
+                break
             at.append(i)
             pad.append(0.0)
-        else:
-            break
-        last = i
+            last, i = i, i + 1
     return np.array(at), np.array(pad), last
 
 

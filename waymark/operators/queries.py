@@ -6,30 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import heatmap, matching, pairing, privacy, shapes, tiles
-from waymark.plans.dialect import spark_query
+from waymark.plans.dialect import over, prepared, spark_query
 from waymark.plans.kernel import _DIR, _RUNS
-from waymark.plans.traces import ACTIVITIES, CELLS, ELIGIBLE, FIXES
+from waymark.plans.traces import ACTIVITIES, CELL, CELLS, FIXES
 
 _runs = spark_query(f"WITH {_RUNS} SELECT activity_id, seq, run_id, lon, lat FROM rn")
 _fixes = spark_query(f"WITH {FIXES} SELECT activity_id, seq, lon, lat, ele FROM fx")
 
-_lattice = spark_query(f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count, eff FROM graded")
-_gated = spark_query(f"""WITH {CELLS}, pp AS (SELECT fx.activity_id, fx.seq, fx.sport, lon, lat, pass_count, user_count, eff FROM fx JOIN graded l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon WHERE {ELIGIBLE}),
-ch AS (SELECT *, CASE WHEN (user_count >= 2) = lag(user_count >= 2) OVER (PARTITION BY activity_id ORDER BY seq) THEN 0 ELSE 1 END AS cut FROM pp),
-isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM ch)
-SELECT activity_id, run, seq, sport, lon, lat, pass_count, user_count, eff FROM isl WHERE user_count >= 2""")
-_flows = spark_query(f"""WITH {_DIR}, rf AS (SELECT sport, ilat, ilon, min_by(heading, struct(activity_id, seq)) AS ref FROM dl GROUP BY sport, ilat, ilon)
+_LATTICE = f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count, eff FROM graded"
+_GATED = f"""WITH {CELLS}, pp AS (SELECT ds.activity_id, ds.run, ds.point, ds.sport, lon, lat, pass_count, user_count, eff FROM ds JOIN graded l ON ds.sport = l.sport AND {CELL('lat')} = l.ilat AND {CELL('lon')} = l.ilon),
+ch AS (SELECT *, CASE WHEN (user_count >= 2) = lag(user_count >= 2) OVER (PARTITION BY activity_id, run ORDER BY point) THEN 0 ELSE 1 END AS cut FROM pp),
+isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id, run ORDER BY point ROWS UNBOUNDED PRECEDING) AS island FROM ch)
+SELECT activity_id, run * CAST(1000000 AS BIGINT) + island AS run, point AS seq, sport, lon, lat, pass_count, user_count, eff FROM isl WHERE user_count >= 2"""
+_FLOWS = f"""WITH {_DIR}, rf AS (SELECT sport, ilat, ilon, min_by(heading, struct(activity_id, seq)) AS ref FROM dl GROUP BY sport, ilat, ilon)
 SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT activity_id) AS passes, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw,
   count(DISTINCT CASE WHEN cos(heading - ref) >= -1e-6D THEN activity_id END) AS forward, count(DISTINCT CASE WHEN cos(heading - ref) < -1e-6D THEN activity_id END) AS backward
-FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""")
+FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon"""
 
 _twins = spark_query(f"""WITH {ACTIVITIES} SELECT a.activity_id AS absorbed, b.activity_id AS survivor, a.activity_id * 1000000000 + b.activity_id AS rank, a.source = 'manual_upload' AND b.source <> 'manual_upload' AS keep_absorbed
 FROM act a JOIN act b ON b.user_id = a.user_id - 1 AND a.user_id % 2 = 1 WHERE abs(unix_timestamp(a.started) - unix_timestamp(b.started)) <= 172800""")
 
 
 def _trails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = heatmap.directed(heatmap.graded_pieces(_gated(spark, sf_dir)), _flows(spark, sf_dir))
-    return heatmap.heated(pieces, _lattice(spark, sf_dir))
+    """Graded, directed pieces with heat, from one prepared table."""
+    dense = prepared(spark, sf_dir)
+    pieces = heatmap.directed(heatmap.graded_pieces(over(_GATED, dense)), over(_FLOWS, dense))
+    return heatmap.stripped(heatmap.heated(pieces, over(_LATTICE, dense)))
 
 
 def k28_k33_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +39,13 @@ def k28_k33_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s26_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.vector_tiles(tiles.tile_legs(_trails(spark, sf_dir), list(range(6, 16)))).withColumn("bytes", F.length("tile")).drop("tile")
+    return tiles.vector_tiles(tiles.tile_legs(_trails(spark, sf_dir), list(range(6, 16)))).withColumn("bytes", F.length("tile"))
 
 
 def t05_t09_raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sports together up to zoom 14, each of its own up to zoom 12."""
     legs = tiles.tile_legs(_trails(spark, sf_dir), list(range(6, 15)), 256)
-    of = lambda sport: tiles.raster_tiles(legs if sport is None else legs.filter("z <= 12"), sport=sport).select(F.lit(sport).cast("string").alias("sport"), "z", "x", "y", "lit", "top")
+    of = lambda sport: tiles.raster_tiles(legs if sport is None else legs.filter("z <= 12"), sport=sport).select(F.lit(sport).cast("string").alias("sport"), "z", "x", "y", "lit", "top", "png")
     return of(None).unionByName(of("mtb")).unionByName(of("gravel")).unionByName(of("road"))
 
 
@@ -54,7 +56,7 @@ def m04_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j20_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trace against every piece of trail."""
     traces = _fixes(spark, sf_dir).groupBy("activity_id").agg(F.expr("transform(sort_array(collect_list(struct(seq, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).withColumnRenamed("activity_id", "track_id")
-    ways = heatmap.graded_pieces(_gated(spark, sf_dir)).select(F.expr("activity_id * 1000000 + run * 1000 + piece").alias("way_id"), F.expr("transform(arrays_zip(lon, lat), p -> array(p.lon, p.lat))").alias("coords"))
+    ways = heatmap.graded_pieces(over(_GATED, prepared(spark, sf_dir))).select(F.expr("activity_id * 1000000 + (run div 1000000) * 10000 + (run % 1000000) * 100 + piece").alias("way_id"), F.expr("transform(arrays_zip(lon, lat), p -> array(p.lon, p.lat))").alias("coords"))
     return matching.match_lines(traces, ways)
 
 

@@ -94,17 +94,22 @@ def _tiles_in(batch: pa.RecordBatch):
         yield [row[c] for c in TILE], [tuple(leg.values()) for leg in row["legs"]]
 
 
-def vector_tiles(legs: DataFrame, grid: int = 512, most_legs: int = 20_000) -> DataFrame:
-    """z, x, y, legs, dropped, tile. A tile has a size limit by definition: beyond most_legs the least used legs are
-    left out of it and counted in dropped."""
-    ranked = legs.withColumn("rk", F.expr(f"row_number() OVER (PARTITION BY z, x, y ORDER BY pass_count DESC, user_count DESC, {', '.join(ENDS)}, sport)"))
-    kept = F.collect_list(F.when(F.col("rk") <= most_legs, F.struct("sport", *ENDS, *VALUES)))
-    grouped = ranked.groupBy(*TILE).agg(kept.alias("legs"), F.count(F.lit(1)).alias("found"))
+def vector_tiles(legs: DataFrame, grid: int = 512, most_bytes: int = 500_000) -> DataFrame:
+    """z, x, y, legs, dropped, tile. A tile has a size limit by definition: the least used legs are left out of one that
+    would be larger than most_bytes, and counted in dropped."""
+    grouped = legs.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct(-F.col("pass_count"), -F.col("user_count"), F.struct("sport", *ENDS, *VALUES).alias("leg")))).alias("legs"))
+    grouped = grouped.withColumn("legs", F.col("legs.leg"))
 
     def run(batches):
         for b in batches:
-            found = b.column(4).to_pylist()
-            out = [(*t, len(rows), f - len(rows), encode_tile(rows, grid)) for (t, rows), f in zip(_tiles_in(b), found, strict=True)]
+            out = []
+            for t, rows in _tiles_in(b):
+                found = len(rows)
+                tile = encode_tile(rows, grid)
+                while len(tile) > most_bytes and len(rows) > 1:
+                    rows = rows[: min(len(rows) - 1, int(len(rows) * 0.98 * most_bytes / len(tile)) or 1)]
+                    tile = encode_tile(rows, grid)
+                out.append((*t, len(rows), found - len(rows), tile))
             yield pa.RecordBatch.from_pylist([dict(zip([*TILE, "legs", "dropped", "tile"], r, strict=True)) for r in out], schema=pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("legs", pa.int64()), ("dropped", pa.int64()), ("tile", pa.binary())]))
 
     return grouped.mapInArrow(run, "z int, x long, y long, legs long, dropped long, tile binary")

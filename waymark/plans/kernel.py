@@ -1,13 +1,15 @@
 """Trace kernel queries: lattice, directions, runs, densifying, profiles, tiles."""
 
-from .traces import ACTIVITIES, CELLS, ELIGIBLE, FIXES, LEGS, haversine
+from .traces import ACTIVITIES, CELL, CELLS, DENSE, FIXES, LEGS, bearing, haversine
 
 _PCTL = "(SELECT greatest(1, [[percentile_disc(0.999) WITHIN GROUP (ORDER BY eff)||quantile_disc(eff, 0.999)]]) AS top FROM graded)"
 _RUNS = f"""{LEGS},
 br AS (SELECT *, CASE WHEN d > 70 THEN 1 ELSE 0 END AS brk FROM lg),
 rn AS (SELECT *, sum(brk) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run_id FROM br)"""
-_DIR = f"""{LEGS},
-dl AS (SELECT *, CAST(floor(lat0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilat, CAST(floor(lon0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilon FROM lg WHERE d >= 2 AND sport IN ('mtb', 'gravel') AND {ELIGIBLE})"""
+#: Legs of the prepared traces of two metres or more, with the cell they start in.
+_DIR = f"""{DENSE},
+d0 AS (SELECT *, lag(lat) OVER (PARTITION BY activity_id, run ORDER BY point) AS lat0, lag(lon) OVER (PARTITION BY activity_id, run ORDER BY point) AS lon0 FROM ds WHERE sport IN ('mtb', 'gravel')),
+dl AS (SELECT * FROM (SELECT activity_id, sport, run * CAST(1000000 AS BIGINT) + point AS seq, {haversine('lat0', 'lon0', 'lat', 'lon')} AS d, {bearing('lat0', 'lon0', 'lat', 'lon')} AS heading, {CELL('lat0')} AS ilat, {CELL('lon0')} AS ilon FROM d0 WHERE lat0 IS NOT NULL) x WHERE d >= 2)"""
 _FLOW = f"""{_DIR}, rs AS (SELECT sport, ilat, ilon, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw, count(DISTINCT activity_id) AS passes FROM dl GROUP BY sport, ilat, ilon),
 fl AS (SELECT dl.activity_id, dl.sport, dl.ilat, dl.ilon, dl.seq, round(sqrt(rx * rx + ry * ry) / rw, 6) AS oneway, passes, rx * sin(heading) + ry * cos(heading) AS along FROM dl JOIN rs ON dl.sport = rs.sport AND dl.ilat = rs.ilat AND dl.ilon = rs.ilon)"""
 _TILE = "CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y"
@@ -15,10 +17,13 @@ _LEGQ = f"{LEGS}, q AS (SELECT *, sum(d) OVER (PARTITION BY activity_id ORDER BY
 
 SQL = {
     "community_lattice": f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count, eff, round(least(CAST(1 AS DOUBLE), ln(1 + eff) / ln(1 + top)), 3) AS heat FROM graded CROSS JOIN {_PCTL}",
+    "k09_masked_points": f"WITH {DENSE} SELECT activity_id, run, count(*) AS points, round(min(lat), 7) AS south, round(max(lat), 7) AS north, round(min(lon), 7) AS west, round(max(lon), 7) AS east, round(sum(lat + lon), 5) AS total FROM ds GROUP BY activity_id, run",
+    "k11_k12_cells": f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count FROM lattice",
     "k02_track_distance": f"WITH {LEGS} SELECT activity_id, round(sum(d), 3) AS distance_m, count(*) AS n FROM lg GROUP BY activity_id",
     "k04_region_clip": f"WITH {FIXES} SELECT activity_id, count(*) AS kept FROM fx WHERE lat BETWEEN CAST(43.601 AS DOUBLE) AND CAST(43.61 AS DOUBLE) AND lon BETWEEN CAST(3.8 AS DOUBLE) AND CAST(3.81 AS DOUBLE) GROUP BY activity_id",
-    "k05_outlier_reject": f"""WITH {FIXES}, md AS (SELECT activity_id, [[element_at(sort_array(collect_list(lat)), CAST(floor(count(*) / 2) AS INT) + 1)||list_sort(list(lat))[CAST(floor(count(*) / 2) AS INT) + 1] ]] AS mlat, [[element_at(sort_array(collect_list(lon)), CAST(floor(count(*) / 2) AS INT) + 1)||list_sort(list(lon))[CAST(floor(count(*) / 2) AS INT) + 1] ]] AS mlon FROM fx GROUP BY activity_id)
-SELECT fx.activity_id, count(*) AS n, sum(CASE WHEN {haversine('mlat', 'mlon', 'lat', 'lon')} > 250 THEN 1 ELSE 0 END) AS dropped FROM fx JOIN md ON fx.activity_id = md.activity_id GROUP BY fx.activity_id""",
+    "k05_outlier_reject": f"""WITH {FIXES}, rk AS (SELECT activity_id, lat, lon, row_number() OVER (PARTITION BY activity_id ORDER BY lat) AS rlat, row_number() OVER (PARTITION BY activity_id ORDER BY lon) AS rlon, count(*) OVER (PARTITION BY activity_id) AS n FROM fx),
+md AS (SELECT activity_id, lat, lon, n, max(CASE WHEN rlat = CAST(floor(n / 2) AS BIGINT) + 1 THEN lat END) OVER (PARTITION BY activity_id) AS mlat, max(CASE WHEN rlon = CAST(floor(n / 2) AS BIGINT) + 1 THEN lon END) OVER (PARTITION BY activity_id) AS mlon FROM rk)
+SELECT activity_id, count(*) AS n, sum(CASE WHEN {haversine('mlat', 'mlon', 'lat', 'lon')} > 250 THEN 1 ELSE 0 END) AS dropped FROM md GROUP BY activity_id""",
     "k06_break_runs": f"WITH {_RUNS} SELECT activity_id, run_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM rn GROUP BY activity_id, run_id HAVING count(*) >= 2",
     "k10_densify": f"""WITH {LEGS}, st AS (SELECT activity_id, seq, lat0, lon0, lat, lon, greatest(1, CAST(floor(d / 15) AS INT)) AS n FROM lg WHERE lat0 IS NOT NULL AND d >= CAST(0.1 AS DOUBLE) AND d <= 2500),
 pt AS (SELECT activity_id, lat0, lon0, lat, lon, n, [[explode(sequence(1, n))||unnest(range(1, n + 1))]] AS k FROM st)
@@ -28,13 +33,14 @@ SELECT activity_id, count(*) AS points, round(sum(lat0 + (lat - lat0) * k / n),
     "k17_forward_backward": f"""WITH {_DIR}, rf AS (SELECT * FROM (SELECT sport, ilat, ilon, heading AS ref, row_number() OVER (PARTITION BY sport, ilat, ilon ORDER BY activity_id, seq) AS rk FROM dl) r WHERE rk = 1)
 SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT CASE WHEN cos(heading - ref) >= CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS forward_count, count(DISTINCT CASE WHEN cos(heading - ref) < CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS backward_count
 FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""",
-    "k21_anonymity_gate": f"""WITH {CELLS}, pp AS (SELECT fx.activity_id, fx.seq, CASE WHEN l.user_count >= 2 THEN 1 ELSE 0 END AS ok FROM fx JOIN lattice l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon WHERE {ELIGIBLE}),
-ch AS (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY activity_id ORDER BY seq) THEN 0 ELSE 1 END AS cut FROM pp),
-isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM ch)
-SELECT activity_id, island, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS points FROM isl WHERE ok = 1 GROUP BY activity_id, island HAVING count(*) >= 2""",
+    "k21_anonymity_gate": f"""WITH {CELLS}, pp AS (SELECT ds.activity_id, ds.run, ds.point, CASE WHEN l.user_count >= 2 THEN 1 ELSE 0 END AS ok FROM ds JOIN lattice l ON ds.sport = l.sport AND {CELL('lat')} = l.ilat AND {CELL('lon')} = l.ilon),
+ch AS (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY activity_id, run ORDER BY point) THEN 0 ELSE 1 END AS cut FROM pp),
+isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id, run ORDER BY point ROWS UNBOUNDED PRECEDING) AS island FROM ch)
+SELECT activity_id, run, island, min(point) AS first_point, max(point) AS last_point, count(*) AS points FROM isl WHERE ok = 1 GROUP BY activity_id, run, island HAVING count(*) >= 2""",
     "k23_eff_histogram": f"WITH {CELLS} SELECT eff, count(*) AS cells, sum(count(*)) OVER (ORDER BY eff ROWS UNBOUNDED PRECEDING) AS running FROM graded GROUP BY eff",
-    "k26_rolling_lower_median": f"""WITH {_LEGQ}, nb AS (SELECT a.activity_id, a.seq, b.value, row_number() OVER (PARTITION BY a.activity_id, a.seq ORDER BY b.value, b.seq) AS rk, count(*) OVER (PARTITION BY a.activity_id, a.seq) AS n FROM q a JOIN q b ON a.activity_id = b.activity_id AND abs(a.cum - b.cum) <= CAST(130.5 AS DOUBLE) AND abs(a.seq - b.seq) <= 256)
-SELECT activity_id, seq, value AS median_value FROM nb WHERE rk = CAST(floor((n - 1) / 2) AS BIGINT) + 1""",
+    "k26_rolling_lower_median": f"""WITH {_LEGQ}, nb AS (SELECT activity_id, seq, cum, [[collect_list(struct(cum, value))||list(struct_pack(cum := cum, value := value))]] OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN 256 PRECEDING AND 256 FOLLOWING) AS f FROM q),
+vs AS (SELECT activity_id, seq, [[sort_array(transform(filter(f, x -> abs(x.cum - nb.cum) <= 130.5D), x -> x.value))||list_sort(list_transform(list_filter(f, lambda x: abs(x.cum - nb.cum) <= CAST(130.5 AS DOUBLE)), lambda x: x.value))]] AS v FROM nb)
+SELECT activity_id, seq, [[element_at(v, CAST(floor((size(v) - 1) / 2) AS INT) + 1)||list_extract(v, CAST(floor((len(v) - 1) / 2) AS INT) + 1)]] AS median_value FROM vs""",
     "k32_network_length": f"WITH {CELLS} SELECT sport, count(*) AS cells, round(count(*) * CAST(0.0001 AS DOUBLE) * 93900, 3) AS metres FROM lattice GROUP BY sport",
     "k34_scoped_lattice": f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count FROM lattice WHERE user_count >= 3 AND sport = 'gravel' AND ilat BETWEEN 436000 AND 436200",
     "k39_tile_cells": f"WITH {FIXES} SELECT DISTINCT activity_id, user_id, {_TILE} FROM fx",
@@ -59,7 +65,7 @@ SELECT activity_id, m * 100 AS metres, round(lat0 + (lat - lat0) * (m * 100 - (c
     "k19_flow_sign": f"WITH {_FLOW} SELECT activity_id, CAST(sign(round(sum(along), 3)) AS INT) AS flow FROM fl GROUP BY activity_id",
     "k20_orient": f"WITH {_FLOW}, o AS (SELECT activity_id, sum(CASE WHEN round(along, 3) >= 0 THEN 1 ELSE 0 END) AS f, sum(CASE WHEN round(along, 3) < 0 THEN 1 ELSE 0 END) AS b FROM fl GROUP BY activity_id) SELECT activity_id, greatest(f, b) AS forward_count, least(f, b) AS backward_count, f < b AS turned FROM o",
     "k22_effective_passes": f"WITH {CELLS} SELECT sport, sum(eff) AS eff, sum(pass_count) AS passes, sum(CASE WHEN eff < pass_count THEN 1 ELSE 0 END) AS capped FROM graded GROUP BY sport",
-    "k25_point_series": f"WITH {CELLS} SELECT fx.event_id, greatest(1, coalesce(pass_count, 1)) AS passes, greatest(1, coalesce(user_count, 1)) AS users FROM fx LEFT JOIN lattice l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon",
+    "k25_point_series": f"WITH {CELLS} SELECT ds.activity_id, run, point, greatest(1, coalesce(pass_count, 1)) AS passes, greatest(1, coalesce(user_count, 1)) AS users, greatest(1, coalesce(eff, 1)) AS eff FROM ds LEFT JOIN graded l ON ds.sport = l.sport AND {CELL('lat')} = l.ilat AND {CELL('lon')} = l.ilon",
     "k37_rounded_coordinates": f"WITH {FIXES} SELECT event_id, round(lon, 5) AS lon, round(lat, 5) AS lat, round(ele, 1) AS ele FROM fx",
     "k46_endpoint_slope": f"WITH {_LEGQ}, e AS (SELECT activity_id, max(cum) AS way, min(seq) AS a, max(seq) AS b FROM q GROUP BY activity_id) SELECT e.activity_id, round((z.ele - s.ele) / way * 100, 3) AS slope_pct FROM e JOIN q s ON s.activity_id = e.activity_id AND s.seq = e.a JOIN q z ON z.activity_id = e.activity_id AND z.seq = e.b WHERE way > 0",
     "t01_world_pixel": f"WITH {FIXES} SELECT event_id, round((lon + 180) / 360 * 256 * 4096, 4) AS px, round((CAST(0.5 AS DOUBLE) - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 4096, 4) AS py FROM fx",

@@ -1,6 +1,6 @@
 """Relational analytics: rollups, joins, ordered passes, top-N, sets and conditional updates over activities."""
 
-from .traces import ACTIVITIES, CELLS, FIXES, LEGS
+from .traces import ACTIVITIES, CELL, CELLS, FIXES, LEGS
 
 _A = f"WITH {ACTIVITIES}"
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -27,7 +27,7 @@ SQL = {
     "j02_distinct_cells_by_sport": f"WITH {CELLS} SELECT sport, user_id, count(DISTINCT ilat * 100000000 + ilon) AS cells FROM cells GROUP BY sport, user_id",
     "j03_conditional_counts": f"{_A}, us AS (SELECT DISTINCT user_id FROM {{events}}) SELECT us.user_id, count(act.activity_id) AS n, sum(CASE WHEN source = 'strava_api' THEN 1 ELSE 0 END) AS synced FROM us LEFT JOIN act ON us.user_id = act.user_id GROUP BY us.user_id",
     "j04_near_time_pairs": f"{_A}, {_BUCKETS} SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS hits FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id < b.user_id AND {_NEAR} GROUP BY a.user_id, b.user_id",
-    "j05_or_join": f"""{_A}, {_BUCKETS}, k AS (SELECT a.activity_id AS x, b.activity_id AS y FROM act a JOIN act b ON a.activity_id % 1000 = b.activity_id % 1000 AND a.activity_id < b.activity_id),
+    "j05_or_join": f"""{_A}, {_BUCKETS}, k AS (SELECT a.activity_id AS x, b.activity_id AS y FROM act a JOIN act b ON floor(a.activity_id / 2) = floor(b.activity_id / 2) AND a.activity_id < b.activity_id),
 t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb = b.tb AND a.activity_id < b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.05 AS DOUBLE) * greatest(a.n_fixes, b.n_fixes)) SELECT x, y FROM k UNION SELECT x, y FROM t""",
     "j06_dedup_probe": f"""{_A}, {_BUCKETS}, m AS (SELECT a.activity_id, b.activity_id AS twin, row_number() OVER (PARTITION BY a.activity_id ORDER BY CASE WHEN b.source = 'manual_upload' THEN 0 ELSE 1 END, b.started, b.activity_id) AS rk FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id % 10 = b.user_id % 10 AND a.activity_id <> b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.1 AS DOUBLE) * a.n_fixes) SELECT activity_id, twin FROM m WHERE rk = 1""",
     "j07_asof_nearest": f"""{_A}, {_BUCKETS}, m AS (SELECT a.activity_id, b.activity_id AS other, rank() OVER (PARTITION BY a.activity_id ORDER BY abs([[unix_micros(CAST(a.started AS TIMESTAMP)) - unix_micros(CAST(b.started AS TIMESTAMP))||epoch_us(a.started) - epoch_us(b.started)]])) AS rk FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id <> b.user_id AND {_NEAR}) SELECT activity_id, max(other) AS nearest FROM m WHERE rk = 1 GROUP BY activity_id HAVING count(DISTINCT other) = 1""",
@@ -39,7 +39,7 @@ t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb
     "j14_trip_totals": "SELECT o_custkey, count(*) AS stages, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT)) AS total_e4 FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag <> 'R' GROUP BY o_custkey",
     "j15_masked_items": "SELECT o_custkey, o_orderkey, CASE WHEN c_nationkey % 2 = 0 THEN c_name END AS shown, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey",
     "j17_listing_states": f"{_A}, csv AS (SELECT user_id AS k, CASE WHEN user_id % 2 = 0 THEN 'ride' END AS listed FROM act WHERE user_id % 3 <> 0 GROUP BY user_id) SELECT activity_id, CASE WHEN k IS NULL THEN 'absent' WHEN listed IS NULL THEN 'no sport' ELSE listed END AS state FROM act LEFT JOIN csv ON act.user_id = csv.k",
-    "j18_lattice_probe": f"WITH {CELLS} SELECT fx.activity_id, max(pass_count) AS busiest, min(user_count) AS quietest FROM fx JOIN lattice l ON fx.sport = l.sport AND CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilat AND CAST(floor(lon / CAST(0.0001 AS DOUBLE)) AS BIGINT) = l.ilon GROUP BY fx.activity_id",
+    "j18_lattice_probe": f"WITH {CELLS} SELECT ds.activity_id, max(pass_count) AS busiest, min(user_count) AS quietest FROM ds JOIN lattice l ON ds.sport = l.sport AND {CELL('lat')} = l.ilat AND {CELL('lon')} = l.ilon GROUP BY ds.activity_id",
     "j19_neighbour_probe": f"""WITH {CELLS}, o AS (SELECT ilat, ilon, sum(pass_count) AS p FROM lattice GROUP BY ilat, ilon), n1 AS (SELECT ilat AS a, ilon AS b, [[explode(array(ilat - 1, ilat, ilat + 1))||unnest([ilat - 1, ilat, ilat + 1])]] AS ilat, ilon FROM o), n2 AS (SELECT a, b, ilat, [[explode(array(ilon - 1, ilon, ilon + 1))||unnest([ilon - 1, ilon, ilon + 1])]] AS ilon FROM n1)
 SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_around FROM n2 JOIN o ON n2.ilat = o.ilat AND n2.ilon = o.ilon GROUP BY a, b""",
     "j24_first_seen_wins": "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rk FROM {lineitem}) x WHERE rk = 1",
@@ -52,7 +52,8 @@ SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_arou
     "a06_status_zero_filled": "SELECT s.status, count(o_orderkey) AS n FROM (SELECT 'F' AS status UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') s LEFT JOIN {orders} ON o_orderstatus = s.status GROUP BY s.status",
     "a07_community_stats": f"WITH {LEGS} SELECT count(DISTINCT user_id) AS contributors, count(DISTINCT activity_id) AS traces, round(sum(d) / 1000, 3) AS km FROM lg WHERE user_id % 6 <> 0 AND user_id % 11 <> 0",
     "a09_freshness": f"{_A} SELECT max(started) AS newest, max(activity_date) AS newest_dated FROM act",
-    "a10_digest": "SELECT user_id, count(*) AS n, md5([[listagg(CAST(event_id AS STRING), ',') WITHIN GROUP (ORDER BY event_id)||string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)]]) AS digest FROM {events} GROUP BY user_id",
+    "a10_digest": """WITH part AS (SELECT user_id, CAST(floor(event_id / 10000) AS BIGINT) AS block, count(*) AS n, md5([[listagg(CAST(event_id AS STRING), ',') WITHIN GROUP (ORDER BY event_id)||string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)]]) AS digest FROM {events} GROUP BY 1, 2)
+SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY block)||string_agg(digest, ',' ORDER BY block)]]) AS digest FROM part GROUP BY user_id""",
     "a12_bounded_count": "SELECT count(*) AS n FROM (SELECT 1 FROM {lineitem} LIMIT 1001) x",
     "a13_fork_counts": "SELECT c_custkey, coalesce(n, 0) AS forks FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) x ON c_custkey = o_custkey",
     "a14_majority_sport": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rk FROM {events} GROUP BY user_id, event_type) x WHERE rk = 1",
@@ -71,7 +72,7 @@ SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_arou
     "l11_first_four": f"WITH {FIXES} SELECT activity_id, seq, event_id FROM fx WHERE seq <= 4",
     "u01_owner_union": "SELECT o_custkey AS owner FROM {orders} WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'O'",
     "u02_first_method_wins": "SELECT k, method FROM (SELECT k, method, row_number() OVER (PARTITION BY k ORDER BY method) AS rk FROM (SELECT l_partkey AS k, 1 AS method FROM {lineitem} WHERE l_quantity > 45 UNION ALL SELECT l_partkey, 2 FROM {lineitem} WHERE l_discount > 0.05) x) y WHERE rk = 1",
-    "c01_norm_type": "SELECT doc_id, [[regexp_replace(translate(lower(substr(text, 1, 60)), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '')||regexp_replace(translate(lower(substr(text, 1, 60)), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '', 'g')]] AS folded FROM {documents}",
+    "c01_norm_type": "SELECT doc_id, [[regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '')||regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '', 'g')]] AS folded FROM {documents}",
     "c02_type_map": "SELECT e.event_type, m.sport, m.sport IS NOT NULL AS known, count(*) AS n FROM {events} e LEFT JOIN (SELECT 'click' AS t, 'road' AS sport UNION ALL SELECT 'view', 'gravel' UNION ALL SELECT 'purchase', 'mtb') m ON e.event_type = m.t GROUP BY e.event_type, m.sport",
     "c03_name_refinement": "SELECT doc_id, CASE WHEN lower(text) LIKE '%gravel%' THEN 'gravel' WHEN lower(text) LIKE '%mtb%' OR lower(text) LIKE '%mountain%' THEN 'mtb' ELSE 'road' END AS sport FROM {documents}",
     "c04_sport_cascade": f"{_A} SELECT activity_id, CASE WHEN a = 'road' AND b IN ('gravel', 'mtb') THEN b ELSE coalesce(a, b, 'unknown') END AS sport FROM (SELECT activity_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'road' END AS a, CASE WHEN user_id % 2 = 0 THEN sport END AS b FROM act) x",
@@ -97,10 +98,10 @@ SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_arou
     "c14_cell_class_with_neighbours": f"""WITH {CELLS}, o AS (SELECT DISTINCT ilat, ilon FROM lattice), k AS (SELECT ilat, ilon, (ilat * 7 + ilon * 3) % 5 AS c FROM o), n1 AS (SELECT ilat AS a, ilon AS b, [[explode(array(ilat - 1, ilat, ilat + 1))||unnest([ilat - 1, ilat, ilat + 1])]] AS ilat, ilon FROM k WHERE c = 4), n2 AS (SELECT a, b, ilat, [[explode(array(ilon - 1, ilon, ilon + 1))||unnest([ilon - 1, ilon, ilon + 1])]] AS ilon FROM n1),
 nb AS (SELECT a, b, count(CASE WHEN c < 2 THEN 1 END) AS p, count(CASE WHEN c IN (2, 3) THEN 1 END) AS u FROM n2 JOIN k ON n2.ilat = k.ilat AND n2.ilon = k.ilon GROUP BY a, b)
 SELECT k.ilat, k.ilon, CASE WHEN c < 2 THEN 'P' WHEN c < 4 THEN 'U' WHEN nb.p > 0 AND nb.u > 0 THEN 'A' WHEN nb.p > 0 THEN 'P' WHEN nb.u > 0 THEN 'U' ELSE 'N' END AS class FROM k LEFT JOIN nb ON k.ilat = nb.a AND k.ilon = nb.b""",
-    "c17_safe_names": "SELECT doc_id, [[regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_')||regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g')]] AS file_name FROM {documents}",
+    "c17_safe_names": "SELECT doc_id, [[substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_'), 1, 100)||substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 100)]] AS file_name FROM {documents}",
     "j11_bool_or_having": "SELECT c_custkey, count(*) AS n FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey HAVING bool_or(o_orderstatus = 'P')",
     "j16_version_fallback": "SELECT o_orderkey, coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), max(l_extendedprice), o_totalprice) AS shown FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice",
-    "j22_natural_key_merge": "SELECT coalesce(a.n_name, b.r_name) AS name, a.n_nationkey, b.r_regionkey FROM {nation} a FULL OUTER JOIN {region} b ON a.n_name = b.r_name",
+    "j22_natural_key_merge": "SELECT coalesce(old.n_name, new.name) AS name, coalesce(new.sport, old.sport) AS sport, coalesce(new.v, old.n_nationkey) AS v, CASE WHEN old.n_name IS NULL THEN 'insert' WHEN new.name IS NULL THEN 'keep' ELSE 'update' END AS outcome FROM (SELECT n_name, n_nationkey, n_regionkey % 2 AS sport FROM {nation}) old FULL OUTER JOIN (SELECT n_name AS name, n_regionkey % 2 AS sport, n_nationkey * 10 AS v FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_name, 1 - n_regionkey % 2, -1 FROM {nation} WHERE n_nationkey % 5 = 0 UNION ALL SELECT r_name, 0, r_regionkey FROM {region}) new ON old.n_name = new.name AND old.sport = new.sport",
     "j23_changed_rows": f"{_A}, old AS (SELECT activity_id, sport FROM act), new AS (SELECT activity_id, CASE WHEN n_fixes > 12 THEN 'gravel' ELSE sport END AS sport FROM act WHERE user_id % 9 <> 0) SELECT coalesce(old.activity_id, new.activity_id) AS activity_id FROM old FULL OUTER JOIN new ON old.activity_id = new.activity_id WHERE old.sport IS DISTINCT FROM new.sport",
     "j26_orphan_sweep": "SELECT DISTINCT e.user_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id * 11)",
     "l02_latest_reversed": "SELECT event_id, ts FROM (SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 40) x ORDER BY ts, event_id",

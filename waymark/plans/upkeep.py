@@ -34,8 +34,8 @@ SELECT event_id, round(along, 5) AS along, round(sqrt(power(px - along * dx, 2)
     "s31_personal_summary": f"WITH {ACTIVITIES} SELECT user_id, count(*) AS activities, round(min(min_lon), 6) AS west, round(min(min_lat), 6) AS south, round(max(max_lon), 6) AS east, round(max(max_lat), 6) AS north, min(started) AS first_start FROM act GROUP BY user_id",
     "s33_metric_row": f"WITH {CELLS} SELECT count(*) AS cells, sum(pass_count) AS passes, max(user_count) AS top_users, sum(CASE WHEN user_count >= 2 THEN 1 ELSE 0 END) AS open_cells FROM lattice",
     "s29_gpx_documents": f"""WITH {FIXES} SELECT activity_id, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>', activity_id, '</name><type>', sport, '</type><trkseg>', {_POINTS}, '</trkseg></trk></gpx>') AS document FROM fx GROUP BY activity_id, sport""",
-    "s30_trip_documents": f"""WITH {FIXES}, tr AS (SELECT user_id, activity_id, concat('<trk><name>', activity_id, '</name><trkseg>', {_POINTS}, '</trkseg></trk>') AS track FROM fx GROUP BY user_id, activity_id)
-SELECT user_id, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">', [[listagg(track, '') WITHIN GROUP (ORDER BY activity_id)||string_agg(track, '' ORDER BY activity_id)]], '</gpx>') AS document FROM tr GROUP BY user_id""",
+    "s30_trip_documents": f"""WITH {FIXES}, tr AS (SELECT user_id, CAST(floor(activity_id / 10000000000) AS BIGINT) AS trip, activity_id, concat('<trk><name>', activity_id, '</name><trkseg>', {_POINTS}, '</trkseg></trk>') AS track FROM fx GROUP BY user_id, activity_id)
+SELECT user_id, trip, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">', [[listagg(track, '') WITHIN GROUP (ORDER BY activity_id)||string_agg(track, '' ORDER BY activity_id)]], '</gpx>') AS document FROM tr GROUP BY user_id, trip""",
     "f09_trip_visibility": "SELECT o_orderkey FROM {orders} WHERE o_custkey = 7 OR (o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P')",
     "f10_batch_by_ids": f"{_A} SELECT activity_id, sport FROM act WHERE activity_id IN (10, 21, 32, 43) AND contribute",
     "f11_map_feed": f"{_A} SELECT activity_id, user_id FROM act WHERE user_id = 8 AND n_fixes > 0 AND sport IN ('mtb', 'gravel', 'offroad')",
