@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import checkpointed, fresh, text_batches, word_counts
 
 #: Blocks of a source at most, and those of one window; shards at most.
-BLOCKS, RUN, SHARDS = 1 << 22, 1 << 10, 1 << 16
+BLOCKS, RUN, SHARDS = 1 << 22, 1 << 7, 1 << 16
 DRAWS = "array<struct<pass:int,block:long,position:long,shard:int,rank:long>>"
 
 
