@@ -73,7 +73,6 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "u01_owner_union": "SELECT o_custkey AS owner FROM {orders} WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'O'",
     "u02_first_method_wins": "SELECT k, method FROM (SELECT k, method, row_number() OVER (PARTITION BY k ORDER BY method) AS rk FROM (SELECT l_partkey AS k, 1 AS method FROM {lineitem} WHERE l_quantity > 45 UNION ALL SELECT l_partkey, 2 FROM {lineitem} WHERE l_discount > 0.05) x) y WHERE rk = 1",
     "c01_norm_type": "SELECT doc_id, [[regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '')||regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '', 'g')]] AS folded FROM {documents}",
-    "c02_type_map": "SELECT e.event_type, m.sport, m.sport IS NOT NULL AS known, count(*) AS n FROM {events} e LEFT JOIN (SELECT 'click' AS t, 'road' AS sport UNION ALL SELECT 'view', 'gravel' UNION ALL SELECT 'purchase', 'mtb') m ON e.event_type = m.t GROUP BY e.event_type, m.sport",
     "c03_name_refinement": "SELECT doc_id, CASE WHEN lower(text) LIKE '%gravel%' THEN 'gravel' WHEN lower(text) LIKE '%mtb%' OR lower(text) LIKE '%mountain%' THEN 'mtb' ELSE 'road' END AS sport FROM {documents}",
     "c04_sport_cascade": f"{_A} SELECT activity_id, CASE WHEN a = 'road' AND b IN ('gravel', 'mtb') THEN b ELSE coalesce(a, b, 'unknown') END AS sport FROM (SELECT activity_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'road' END AS a, CASE WHEN user_id % 2 = 0 THEN sport END AS b FROM act) x",
     "c18_date_parts": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, CASE month(o_orderdate) WHEN 1 THEN 'janvier' WHEN 2 THEN 'février' WHEN 3 THEN 'mars' WHEN 4 THEN 'avril' WHEN 5 THEN 'mai' WHEN 6 THEN 'juin' WHEN 7 THEN 'juillet' WHEN 8 THEN 'août' WHEN 9 THEN 'septembre' WHEN 10 THEN 'octobre' WHEN 11 THEN 'novembre' ELSE 'décembre' END AS month_name, count(*) AS n FROM {orders} GROUP BY 1, 2, 3",
