@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import heatmap, matching, pairing, privacy, shapes, tiles
+from waymark.operators import emission, heatmap, matching, pairing, privacy, shapes, tiles
 from waymark.plans.dialect import over, prepared, spark_query
 from waymark.plans.kernel import _DIR, _RUNS
-from waymark.plans.traces import ACTIVITIES, CELL, CELLS, FIXES
+from waymark.plans.traces import ACTIVITIES, CELL, CELLS, FAR_KM, FIXES, JUMP_M, RADIUS_M
 
 _runs = spark_query(f"WITH {_RUNS} SELECT activity_id, seq, run_id, lon, lat FROM rn")
 _fixes = spark_query(f"WITH {FIXES} SELECT activity_id, seq, lon, lat, ele FROM fx")
@@ -23,6 +23,9 @@ SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT activity_id) AS passes, sum(d
   count(DISTINCT CASE WHEN cos(heading - ref) >= -1e-6D THEN activity_id END) AS forward, count(DISTINCT CASE WHEN cos(heading - ref) < -1e-6D THEN activity_id END) AS backward
 FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon"""
 
+_TOP = "greatest(1, percentile_disc(0.999) WITHIN GROUP (ORDER BY eff))"
+_shared = spark_query(f"WITH {FIXES} SELECT activity_id, sport, seq, lon, lat FROM fx WHERE user_id % 6 <> 0 AND activity_id % 13 <> 0")
+
 _twins = spark_query(f"""WITH {ACTIVITIES} SELECT a.activity_id AS absorbed, b.activity_id AS survivor, a.activity_id * 1000000000 + b.activity_id AS rank, a.source = 'manual_upload' AND b.source <> 'manual_upload' AS keep_absorbed
 FROM act a JOIN act b ON b.user_id = a.user_id - 1 AND a.user_id % 2 = 1 WHERE abs(unix_timestamp(a.started) - unix_timestamp(b.started)) <= 172800""")
 
@@ -65,8 +68,35 @@ def k09_radial_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.mask_traces(_runs(spark, sf_dir), 40.0)
 
 
+def k30_s22_heat_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density points of all gated runs, with the line of the sink."""
+    dense = prepared(spark, sf_dir)
+    points = emission.heat_points(over(_GATED, dense), over(f"WITH {CELLS} SELECT {_TOP} AS top FROM graded", dense).first()[0] or 1)
+    return points.join(emission.point_features(points), ["activity_id", "run", "number"])
+
+
+def k38_display_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emission.display_geometry(_fixes(spark, sf_dir), jump_m=JUMP_M)
+
+
+def k47_s32_share_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own, dated uploads, masked, whether or not they are contributed."""
+    return emission.share_features(emission.share_lines(_shared(spark, sf_dir), RADIUS_M, jump_m=JUMP_M, far_km=FAR_KM))
+
+
+def k49_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emission.outline(_fixes(spark, sf_dir))
+
+
+def j20_directed_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked runs against whole traces, which go on beyond them."""
+    runs = prepared(spark, sf_dir).groupBy("activity_id", "run").agg(F.expr("transform(sort_array(collect_list(struct(point, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).selectExpr("activity_id * 1000 + run AS track_id", "coords")
+    ways = _fixes(spark, sf_dir).groupBy("activity_id").agg(F.expr("transform(sort_array(collect_list(struct(seq, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).withColumnRenamed("activity_id", "way_id")
+    return matching.match_lines(runs, ways, directed=True)
+
+
 def k03_k30_k36_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.by_trace(_fixes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (k09_radial_mask, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles, m04_greedy_pairs, j20_line_match)}
+QUERIES = {f.__name__: f for f in (k09_radial_mask, k30_s22_heat_points, k38_display_geometry, k47_s32_share_features, k49_outlines, j20_directed_line_match, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles, m04_greedy_pairs, j20_line_match)}

@@ -29,16 +29,15 @@ def elevation_gain(ele: np.ndarray, window: int = 11, noise: float = 3.0) -> flo
     return float(gain)
 
 
-def simplify(lon: np.ndarray, lat: np.ndarray, ele: np.ndarray | None = None, tolerance: float = 2.0, ele_tolerance: float = 5.0) -> np.ndarray:
+def simplify(lon: np.ndarray, lat: np.ndarray, ele: np.ndarray | None = None, tolerance: float = 2.0, ele_tolerance: float = 5.0, plane: bool = False) -> np.ndarray:
     """Indexes that Douglas-Peucker keeps, by distance to segments in a plane at the mean latitude; with elevations,
-    ele_tolerance metres of height weigh as much as tolerance metres of ground."""
+    ele_tolerance metres of height weigh as much as tolerance metres of ground. plane: distances and tolerance in degrees."""
     n = len(lon)
     if n <= 2:
         return np.arange(n)
-    axes = [np.asarray(lon) * DEGREE_M * np.cos(np.radians(np.mean(lat))), np.asarray(lat) * DEGREE_M]
-    if ele is not None:
-        axes.append(np.asarray(ele, float) * tolerance / ele_tolerance)
+    axes = [np.asarray(lon, float), np.asarray(lat, float)] if plane else [np.asarray(lon) * DEGREE_M * np.cos(np.radians(np.mean(lat))), np.asarray(lat) * DEGREE_M]
     p = np.stack(axes, axis=1)
+    high = None if ele is None else np.asarray(ele, float) * tolerance / ele_tolerance
     keep, todo = np.zeros(n, bool), [(0, n - 1)]
     keep[[0, -1]] = True
     while todo:
@@ -48,9 +47,11 @@ def simplify(lon: np.ndarray, lat: np.ndarray, ele: np.ndarray | None = None, to
         inner, along = p[i + 1 : j] - p[i], p[j] - p[i]
         length = along @ along
         t = np.clip(inner @ along / length, 0, 1) if length else np.zeros(len(inner))
-        off = np.sqrt(((inner - t[:, None] * along) ** 2).sum(axis=1))
+        off = ((inner - t[:, None] * along) ** 2).sum(axis=1)
+        if high is not None:  # heights are compared where the point meets the segment on the ground
+            off += (high[i + 1 : j] - (high[i] + t * (high[j] - high[i]))) ** 2
         k = int(np.argmax(off))
-        if off[k] > tolerance:
+        if off[k] > tolerance**2:
             keep[i + 1 + k] = True
             todo += [(i, i + 1 + k), (i + 1 + k, j)]
     return np.flatnonzero(keep)
@@ -65,21 +66,34 @@ def level_pieces(passes: np.ndarray, eff: np.ndarray, travelled: np.ndarray, lea
     out, begin, seen = [], 0, 0
     while True:
         p, e = passes[begin], eff[begin]
-        away = (passes >= 2 * p) | (2 * passes <= p) | (eff >= 2 * e) | (2 * eff <= e)
-        away[: seen + 1] = False  # what made the last cut is behind us
-        step = np.diff(np.concatenate([[0], away.astype(int), [0]]))
-        cut = None
-        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-            stays = travelled[a:b] - travelled[a - 1] >= least
-            if stays.any():
-                cut, seen = int(a), int(a + np.argmax(stays))
-                break
+        at, width, since, cut = seen + 1, 64, None, None  # what made the last cut is behind us
+        while at < n and cut is None:  # a window at a time, so that a run is looked at about once for all its cuts
+            part = slice(at, min(n, at + width))
+            away = (passes[part] >= 2 * p) | (2 * passes[part] <= p) | (eff[part] >= 2 * e) | (2 * eff[part] <= e)
+            for a, z in _stretches(away):
+                if a > 0 or since is None:
+                    since = at + a
+                stays = np.flatnonzero(travelled[at + a : at + z] - travelled[since - 1] >= least)
+                if len(stays):
+                    cut, seen = since, at + a + int(stays[0])
+                    break
+                if at + z < part.stop:
+                    since = None
+            if len(away) and not away[-1]:
+                since = None
+            at, width = part.stop, 2 * width
         if cut is None:
             return [*out, (begin, n - 1)]
         out.append((begin, cut))
         begin = cut
 
 
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """[first, end) of the runs of set flags."""
+    step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
 def density_points(lon: np.ndarray, lat: np.ndarray, every: float = 20.0) -> np.ndarray:
     """Indexes of points set about every so many metres: the first, then each at which the way since the last set
     point reaches it."""
