@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 512, 8 << 20
 #: A key with more rows than this is hot: joins with it are broadcast rather than dealt to one task.
 HOT_ROWS = 1000
+#: Files of a loop's state: at least so many, and one for each so many rows.
+PARTS, PART_ROWS = 8, 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared checkpoint folder and read from there, and where. For loops: a checkpoint
+def written(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+    """df, of some rows if that is known, written as Parquet to the shared checkpoint folder and read from there, and where. For loops: a checkpoint
     keeps the estimated size of its plan, and estimates multiply with every join, whereas files have their own."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(PARTS, rows // PART_ROWS))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -141,13 +141,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for each node of edges a, b but the roots, by alternating large
     and small stars until nothing changes."""
 
-    def star(e, large: bool):
+    def star(e, large: bool, rows: int):
         """The edges, and what to delete once they are written; no group is gathered in one place."""
         if large:
             pairs = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             pairs = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least, path = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        least, path = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), rows)
         met = join_hot(pairs, least, "u")
         if large:
             return met.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), path
@@ -160,8 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         old = [path]
         for large in (True, False):
-            next_e, spent = star(e, large)
-            e, path = written(next_e)
+            next_e, spent = star(e, large, before[0])
+            e, path = written(next_e, before[0])
             old += [spent, path]
         forget(spark, *old[:-1])
         if (now := seen(e)) == before:
