@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import zipfile
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DIRECTORY = "archive string, member string, kind string, size long, packed long, error string"
+LISTING = "archive string, root string, filename string, type string, name string, complete boolean"
+MAX_TOTAL, MAX_NESTED, BYTES_A_MEMBER = 2 << 30, 256 << 20, 100 << 10
 SCHEMA = "archive string, member string, kind string, content binary, error string"
 MAX_MEMBERS, MAX_BYTES = 50_000, 64 << 20
 
@@ -84,11 +88,109 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def member_key(c: Column) -> Column:
-    """What a listing's file name and a member's path have in common: lower case, / only, no .gz."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\\", "/"))), r"^\./", ""), r"\.gz$", "")
+    """What a listing's file name and a member's path have in common: lower case, / only, nothing before it, no .gz."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\\", "/"))), r"^/*(\./)?", ""), r"\.gz$", "")
 
 
 def listed(found: DataFrame, listing: DataFrame, file_col: str = "filename", sport_col: str = "sport") -> DataFrame:
     """Members with the listing's sport, and whether they are listed at all: a listed member may have no sport."""
     rows = listing.select(member_key(F.col(file_col)).alias("_key"), F.col(sport_col).alias("csv_sport"), F.lit(True).alias("_listed")).dropDuplicates(["_key"])
     return found.withColumn("_key", member_key(F.col("member"))).join(rows, "_key", "left").withColumn("csv_listed", F.coalesce("_listed", F.lit(False))).drop("_key", "_listed")
+
+
+def _archives(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
+    """What rows(archive, content) yields of each .zip file under path; a file is held whole while it is read."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for archive, content in zip(b["path"], b["content"], strict=True):
+                part = []
+                for row in rows(archive, bytes(content)):
+                    part.append(row)
+                    if len(part) == 10_000:
+                        yield pd.DataFrame(part, columns=names)
+                        part = []
+                if part:
+                    yield pd.DataFrame(part, columns=names)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def directory_of(archive: str, content: bytes):
+    """The entries of an archive's directory; nothing is unpacked."""
+    try:
+        packed = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as e:
+        yield archive, None, None, None, None, f"not an archive: {e}"
+        return
+    for i in packed.infolist():
+        if not i.is_dir():
+            yield archive, i.filename, member_kind(i.filename), i.file_size, i.compress_size, None
+
+
+def listing_of(archive: str, content: bytes):
+    """The rows of the listing that lies least deep in an archive, then one without a file name that says whether all of
+    it was read; its folder is the archive's root. No rows: there is no listing."""
+    from waymark.sources.listings import ACCENTS, HEADERS, MAX_FIELD
+
+    try:
+        packed = zipfile.ZipFile(io.BytesIO(content))
+        found = [i for i in packed.infolist() if i.filename.replace("\\", "/").rsplit("/", 1)[-1].lower() == "activities.csv" and i.file_size <= MAX_BYTES and member_kind(i.filename) != "junk"]
+        if not found:
+            return
+        own = min(found, key=lambda i: (i.filename.count("/"), i.filename))
+    except zipfile.BadZipFile:
+        return
+    root = own.filename[: own.filename.rfind("/") + 1]
+    csv.field_size_limit(MAX_FIELD)
+    plain = lambda c: "".join(x for x in c.lstrip("\ufeff").lower().translate(str.maketrans(*ACCENTS)) if x.isascii() and x.isalnum())
+    complete = False
+    try:
+        with packed.open(own) as f:
+            reader = csv.reader(io.TextIOWrapper(f, "utf-8-sig", "replace", newline=""))
+            header = [plain(c) for c in next(reader, [])]
+            at = {k: next((header.index(a) for a in names if a in header), None) for k, names in HEADERS.items()}
+            if at["filename"] is not None and at["type"] is not None:
+                for row in reader:
+                    said = lambda k, row=row: row[at[k]].strip() if at[k] is not None and at[k] < len(row) else ""
+                    if said("filename"):
+                        yield archive, root, said("filename"), said("type"), said("name"), None
+                complete = True
+    except (csv.Error, OSError, EOFError, RuntimeError, zipfile.BadZipFile):
+        pass
+    yield archive, root, None, None, None, complete
+
+
+def read_directories(spark: SparkSession, path: str) -> DataFrame:
+    """The directories of all .zip files under path."""
+    return _archives(spark, path, directory_of, DIRECTORY)
+
+
+def read_archive_listings(spark: SparkSession, path: str) -> DataFrame:
+    """The listings within all .zip files under path."""
+    return _archives(spark, path, listing_of, LISTING)
+
+
+def planned(directory: DataFrame, listing: DataFrame) -> DataFrame:
+    """What is to be done with each member: archive, member, size, packed, lookup (its path below the root, as
+    listings have it), listed and plan: activity, route (planned, of an archive with a listing), unlisted (in activities/
+    but not in a listing that was read whole), archive (opened one level deep), or none. error: the archive is refused,
+    for a path that leaves it, too many members or too many bytes."""
+    wanted = F.col("kind").isin("activity", "route")
+    faults = directory.groupBy("archive").agg(F.max(F.when(F.col("kind") == "unsafe", F.lit("a path that leaves the archive"))).alias("unsafe"), F.sum(F.when(wanted, 1).otherwise(0)).alias("n"), F.sum(F.when(wanted, F.col("size"))).alias("bytes"), F.max("error").alias("broken"))
+    faults = faults.select("archive", F.coalesce("broken", "unsafe", F.when(F.col("n") > MAX_MEMBERS, F.lit("too many members")), F.when(F.col("bytes") > MAX_TOTAL, F.lit("too large"))).alias("refused"))
+    roots = listing.groupBy("archive").agg(F.max("root").alias("root"), F.max("complete").alias("complete"), F.count("filename").alias("rows"))
+    known = listing.filter("filename IS NOT NULL").select("archive", member_key(F.col("filename")).alias("lookup"), F.lit(True).alias("is_listed")).distinct()
+    below = F.when(F.startswith(F.lower("member"), F.lower("root")), F.substring("member", F.length("root") + 1, F.length("member"))).otherwise(F.col("member"))
+    d = directory.filter("member IS NOT NULL").join(faults, "archive", "left").join(roots, "archive", "left").withColumn("lookup", member_key(F.coalesce(below, F.col("member")))).join(known, ["archive", "lookup"], "left")
+    route = F.col("root").isNotNull() & F.startswith("lookup", F.lit("routes/"))
+    dropped = F.col("complete") & (F.col("rows") > 0) & F.startswith("lookup", F.lit("activities/")) & F.col("is_listed").isNull()
+    plan = F.when(F.col("refused").isNotNull() | F.col("kind").isin("junk", "other", "unsafe"), "none").when(F.col("kind") == "archive", "archive").when(route, "route").when(F.coalesce(dropped, F.lit(False)), "unlisted").otherwise("activity")
+    return d.select("archive", "member", "size", "packed", "lookup", F.coalesce("is_listed", F.lit(False)).alias("listed"), plan.alias("plan"), F.col("refused").alias("error"))
+
+
+def estimated_members(plans: DataFrame) -> DataFrame:
+    """archive and members: activities, and for each archive within as many as its packed bytes make, one at least."""
+    inner = F.when((F.col("plan") == "archive") & (F.col("size") <= MAX_NESTED), F.greatest(F.lit(1), F.floor(F.col("packed") / BYTES_A_MEMBER)))
+    return plans.groupBy("archive").agg(F.sum(F.when(F.col("plan") == "activity", 1).otherwise(F.coalesce(inner, F.lit(0)))).cast("long").alias("members"))

@@ -7,10 +7,15 @@ import math
 import re
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import metres
+from waymark.operators.shapes import elevation_gain
+from waymark.plans.kinds import classified
+
 SCHEMA = "path string, file_hash string, name string, kind string, seq int, lon double, lat double, ele double, ts string, error string"
 MAX_POINTS, MAX_TAGS = 100_000, 2_000_000
 _LOCAL = re.compile(r"^\{[^}]*\}")
@@ -29,7 +34,8 @@ def _number(s: str | None) -> float | None:
 
 
 def parse_gpx(content: bytes) -> tuple[str | None, str | None, list[tuple]]:
-    """Name, type and points (lon, lat, ele, time) of a GPX file; points out of range are dropped.
+    """Name, type and points (lon, lat, ele, time) of the tracks of a GPX file, or of its routes if no track has a
+    point; points out of range are dropped.
 
     ValueError: a document type or entity, too many points or tags, or no well-formed XML."""
     if re.search(rb"<!(DOCTYPE|ENTITY)", content, re.I):
@@ -41,19 +47,22 @@ def parse_gpx(content: bytes) -> tuple[str | None, str | None, list[tuple]]:
     except ET.ParseError as e:
         raise ValueError(f"malformed: {e}") from None
     name = kind = None
-    points = []
-    for track in (e for e in root.iter() if _tag(e) == "trk"):
-        for child in track:
-            if _tag(child) == "name" and name is None:
-                name = child.text
-            elif _tag(child) == "type" and kind is None:
-                kind = child.text
-        for p in (e for e in track.iter() if _tag(e) == "trkpt"):
-            said = {_tag(c): c.text for c in p}
-            lon, lat, ele = _number(p.get("lon")), _number(p.get("lat")), _number(said.get("ele"))
-            if lon is None or lat is None or abs(lat) > 90 or abs(lon) > 180 or (ele is not None and not -500 <= ele <= 9000):
-                continue
-            points.append((lon, lat, ele, said.get("time")))
+    points: list[tuple] = []
+    for line, point in (("trk", "trkpt"), ("rte", "rtept")):
+        for track in [e for e in root.iter() if _tag(e) == line]:
+            for child in track:
+                if _tag(child) == "name" and name is None:
+                    name = child.text
+                elif _tag(child) == "type" and kind is None:
+                    kind = child.text
+            for p in (e for e in track.iter() if _tag(e) == point):
+                said = {_tag(c): c.text for c in p}
+                lon, lat, ele = _number(p.get("lon")), _number(p.get("lat")), _number(said.get("ele"))
+                if lon is None or lat is None or abs(lat) > 90 or abs(lon) > 180 or (ele is not None and not -500 <= ele <= 9000):
+                    continue
+                points.append((lon, lat, ele, said.get("time")))
+        if points:
+            break
     return name, kind, points
 
 
@@ -77,6 +86,26 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gpx").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def recordings(points: DataFrame) -> DataFrame:
+    """path, file_hash, name, sport, skip, generic, distance_m (with heights where every point has one), climb_m, started and n
+    of each file, of read_gpx's rows; a file that can't be read keeps its error."""
+    held = points.groupBy("path", "file_hash").agg(F.max("name").alias("name"), F.max("kind").alias("kind"), F.max("error").alias("error"), F.min(F.try_to_timestamp("ts")).alias("started"), F.sort_array(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "lon", "lat", "ele")))).alias("f"))
+
+    @F.pandas_udf("distance_m double, climb_m double, n int")
+    def measured(f: pd.Series) -> pd.DataFrame:
+        rows = []
+        for points in f:
+            lon, lat = (np.array([p[k] for p in points], float) for k in ("lon", "lat"))
+            ele = np.array([np.nan if p["ele"] is None else p["ele"] for p in points], float)
+            legs = metres(lon[:-1], lat[:-1], lon[1:], lat[1:])
+            if len(ele) and not np.isnan(ele).any():
+                legs = np.hypot(legs, np.diff(ele))
+            rows.append((float(legs.sum()), elevation_gain(ele), len(lon)))
+        return pd.DataFrame(rows, columns=["distance_m", "climb_m", "n"])
+
+    return classified(held.withColumn("m", measured("f")), "kind").select("path", "file_hash", "name", "sport", "skip", "generic", "m.distance_m", "m.climb_m", "started", "m.n", "error")
+
+
 def curated(points: DataFrame, kinds: dict[str, str], longest_km: float = 2000.0) -> DataFrame:
     """path, name, sport and km of curated files, of read_gpx's rows. The sport is that of the longest prefix of the
     file's name among kinds (null: none); broken files and those longer than longest_km are left out."""

@@ -30,12 +30,12 @@ def listing_date(c: Column, last_year: int) -> Column:
     """The UTC time of 'Mar 2, 2024, 7:30:00 AM', '2 mars 2024, 07:30:00' or ISO 8601 (session time zone UTC); null
     for anything else and for years before 2000 or after last_year."""
     text = F.trim(c)
-    french = r"^(\d{1,2})\s+([^\s\d,]+)\s+(\d{4}),?\s+(\d{1,2}:\d{2}:\d{2})$"
-    part = lambda k: F.regexp_extract(text, french, k)
+    words = F.split(F.regexp_replace(text, "[, ]+", " "), " ")  # day, month's name, year, time
     months = F.create_map(*[F.lit(v) for kv in FRENCH_MONTHS.items() for v in kv])
-    month = F.try_element_at(months, F.regexp_replace(plain(part(2)), r"\.$", ""))
+    month = F.try_element_at(months, F.rtrim(plain(F.get(words, F.lit(1))), F.lit(".")))
+    spelled = F.when(F.size(words) == 4, F.concat_ws(" ", F.get(words, F.lit(2)), month.cast("string"), F.get(words, F.lit(0)), F.get(words, F.lit(3))))
     tried = [F.try_to_timestamp(text, F.lit(f)) for f in ("MMM d, yyyy, h:mm:ss a", "MMM d, yyyy h:mm:ss a")]
-    tried.append(F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", part(3), month.cast("string"), part(1)), part(4)), F.lit("yyyy-M-d H:mm:ss")))
+    tried.append(F.try_to_timestamp(spelled, F.lit("yyyy M d H:mm:ss")))
     tried.append(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp")))
     found = F.coalesce(*tried)
     return F.when(F.year(found).between(2000, last_year), found)

@@ -161,3 +161,50 @@ def mbtiles(tiles: DataFrame, data: str, kind: str, below: int = 5) -> DataFrame
 
     placed = tiles.select("z", "x", "y", data, F.expr(f"shiftright(x, least(z, {below}))").alias("px"), F.expr(f"shiftright(y, least(z, {below}))").alias("py")).dropna()
     return placed.groupBy("z", "px", "py").applyInPandas(made, "z int, px long, py long, n long, content binary")
+
+
+def write_pyramid(tiles: DataFrame, root: str, data: str = "png") -> None:
+    """A file root/z/x/y.png for each of tiles (z, x, y and a binary column), written by the tasks themselves to any file
+    system that Arrow knows by its URI (or a path that all machines share). A task that runs again writes the same."""
+
+    def put(rows):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root)
+        made = set()
+        for r in rows:
+            folder = f"{top}/{r['z']}/{r['x']}"
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(f"{folder}/{r['y']}.{data}") as out:
+                out.write(bytes(r[data]))
+
+    tiles.select("z", "x", "y", data).foreachPartition(put)
+
+
+def purge_pyramid(tiles: DataFrame, root: str, data: str = "png") -> int:
+    """Deletes the files of root that are no tile of tiles; how many there were. The listing and the comparison are
+    Spark's, and the tasks delete."""
+    path = F.regexp_extract("path", rf"/(\d+/\d+/\d+)\.{data}$", 1)
+    held = tiles.sparkSession.read.format("binaryFile").option("pathGlobFilter", f"*.{data}").option("recursiveFileLookup", "true").load(root).select(path.alias("tile"))
+    stale = held.filter("tile <> ''").join(tiles.select(F.concat_ws("/", "z", "x", "y").alias("tile")), "tile", "left_anti")
+
+    def remove(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for tile in b["tile"]:
+                if system.get_file_info(f"{top}/{tile}.{data}").type != fs.FileType.NotFound:
+                    system.delete_file(f"{top}/{tile}.{data}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return int(stale.mapInPandas(remove, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def tile_json(tiles: DataFrame, url: str, bounds: tuple[float, float, float, float], name: str, attribution: str) -> dict:
+    """The document that describes a pyramid: zooms of tiles, bounds west, south, east, north to 5 decimals."""
+    low, high = tiles.agg(F.min("z"), F.max("z")).first()
+    west, south, east, north = (round(v, 5) for v in bounds)
+    return {"tilejson": "2.2.0", "name": name, "version": "1.0.0", "scheme": "xyz", "tiles": [url], "minzoom": low, "maxzoom": high, "bounds": [west, south, east, north], "center": [round((west + east) / 2, 5), round((south + north) / 2, 5), None if low is None else min(low + 4, high)], "attribution": attribution}
