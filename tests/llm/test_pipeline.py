@@ -68,7 +68,7 @@ def test_mix_and_shards_keep_the_order_of_the_mix(kept):
 def test_run_on_odd_and_empty_tables(spark, request, tmp_path, which):
     docs = request.getfixturevalue(which)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (5, 1, 1), (None, None, None)] if which == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, 1, 0), (5, 1, 1), (None, None, None)] if which == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "une phrase en francais avec quelques mots dedans"), (None, None)] if which == "odd" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
