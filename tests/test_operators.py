@@ -119,6 +119,24 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in drain(revisions.revisions(source()), "revised", "update")} == {(7, 1, 2), (8, 1, 1)}
 
 
+def test_near_twins_across_arrivals(spark, tmp_path):
+    day = "2024-01-01 "
+    arrivals = [[(1, 1, day + "08:00:00", 1000.0), (1, 2, day + "08:04:00", 1030.0), (1, 3, day + "08:04:00", 2000.0), (2, 4, day + "08:00:00", 1000.0)], [(1, 5, day + "08:04:59", 990.0), (1, 6, day + "08:06:00", 1000.0), (2, 7, day + "07:56:00", 960.0), (2, 8, day + "07:56:00", 500.0)]]
+    schema = "user_id long, activity_id long, started string, distance_m double"
+    for k, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = revisions.near_deduplicated(stream).writeStream.outputMode("append").format("memory").queryName("twins").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(r["activity_id"] for r in spark.table("twins").collect())
+    kept = []
+    for rows in arrivals:  # the order of files is that of their names
+        for u, a, t, d in sorted(rows, key=lambda r: (r[2], r[1])):
+            if not any(u == v and abs((pd.Timestamp(t) - pd.Timestamp(s)).total_seconds()) <= 300 and abs(d - e) <= 0.05 * max(d, e) for v, _, s, e in kept):
+                kept.append((u, a, t, d))
+    assert got == sorted(a for _, a, _, _ in kept) == [1, 3, 4, 6, 8]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_operator_queries_have_rows(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

@@ -93,6 +93,16 @@ def test_raster_tiles(spark, lines):
     assert own == {"gravel", "mtb"} and sum(r["lit"] for r in tiles.raster_tiles(legs, sport="mtb").collect()) < sum(r["lit"] for r in rows)
 
 
+def test_tiles_of_a_box(legs):
+    rows = {(r["z"], r["x"], r["y"]) for r in legs.select("z", "x", "y").distinct().collect()}
+    for z, x, y in rows:
+        west, east = x / 2**z * 360 - 180 + 1e-6, (x + 1) / 2**z * 360 - 180 - 1e-6
+        lat = lambda r, z=z: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * r / 2**z))))
+        got = {(r["z"], r["x"], r["y"]) for r in tiles.in_box(legs.filter(f"z = {z}"), west, lat(y + 1) + 1e-6, east, lat(y) - 1e-6).select("z", "x", "y").distinct().collect()}
+        assert got == {(z, x, y)}
+        break
+
+
 def test_overzoom(legs):
     coarse = legs.filter("z = 12")
     fine = tiles.overzoom(coarse, 2, GRID)

@@ -50,6 +50,14 @@ def tile_legs(lines: DataFrame, zooms: list[int], grid: int = 512) -> DataFrame:
     return _merged(leg.select("z", "sport", F.lit(grid).alias("grid"), *[F.col(f"leg.{e}.{c}").alias(f"w{c}{k}") for k, e in enumerate("ab") for c in "xy"], *VALUES))
 
 
+def in_box(legs: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The legs of the tiles that a box touches, for a tile file of a region."""
+    column = lambda lon: F.floor((F.lit(lon) + 180) / 360 * F.pow(F.lit(2.0), F.col("z")))
+    siny = lambda lat: max(-0.9999, min(0.9999, float(np.sin(np.radians(lat)))))
+    row = lambda lat: F.floor((0.5 - F.lit(float(np.log((1 + siny(lat)) / (1 - siny(lat))))) / (4 * np.pi)) * F.pow(F.lit(2.0), F.col("z")))
+    return legs.filter(F.col("x").between(column(west), column(east)) & F.col("y").between(row(north), row(south)))
+
+
 def overzoom(legs: DataFrame, levels: int, grid: int = 512) -> DataFrame:
     """The legs of the tiles so many zooms further in, as coarse as they are."""
     up = 1 << levels

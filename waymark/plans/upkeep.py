@@ -15,6 +15,9 @@ _RAMP = "CASE WHEN z <= 6 THEN 3 WHEN z <= 8 THEN 3 + 1.5 * (z - 6) / 2 WHEN z <
 #: A point of a GPX document, and all points of a group in order.
 _POINT = """concat('<trkpt lat="', CAST(CAST(round(lat, 5) AS DECIMAL(9, 5)) AS STRING), '" lon="', CAST(CAST(round(lon, 5) AS DECIMAL(9, 5)) AS STRING), '"><ele>', CAST(CAST(round(ele, 1) AS DECIMAL(6, 1)) AS STRING), '</ele></trkpt>')"""
 _POINTS = f"[[listagg({_POINT}, '') WITHIN GROUP (ORDER BY seq)||string_agg({_POINT}, '' ORDER BY seq)]]"
+#: Coordinates of a group in order.
+_PAIR = "concat('[', CAST(CAST(round(lon, 5) AS DECIMAL(9, 5)) AS STRING), ',', CAST(CAST(round(lat, 5) AS DECIMAL(9, 5)) AS STRING), ']')"
+_PAIRS = f"[[listagg({_PAIR}, ',') WITHIN GROUP (ORDER BY seq)||string_agg({_PAIR}, ',' ORDER BY seq)]]"
 _ZOOMS = "[[explode(sequence(0, 22))||unnest(range(0, 23))]] AS z"
 
 SQL = {
@@ -36,6 +39,8 @@ SELECT event_id, round(along, 5) AS along, round(sqrt(power(px - along * dx, 2)
     "s29_gpx_documents": f"""WITH {FIXES} SELECT activity_id, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>', activity_id, '</name><type>', sport, '</type><trkseg>', {_POINTS}, '</trkseg></trk></gpx>') AS document FROM fx GROUP BY activity_id, sport""",
     "s30_trip_documents": f"""WITH {FIXES}, tr AS (SELECT user_id, CAST(floor(activity_id / 10000000000) AS BIGINT) AS trip, activity_id, concat('<trk><name>', activity_id, '</name><trkseg>', {_POINTS}, '</trkseg></trk>') AS track FROM fx GROUP BY user_id, activity_id)
 SELECT user_id, trip, concat('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">', [[listagg(track, '') WITHIN GROUP (ORDER BY activity_id)||string_agg(track, '' ORDER BY activity_id)]], '</gpx>') AS document FROM tr GROUP BY user_id, trip""",
+    "s34_user_features": f"""WITH {ACTIVITIES}, ft AS (SELECT activity_id, concat(chr(123), '"type":"LineString","coordinates":[', {_PAIRS}, ']', chr(125)) AS geometry FROM fx GROUP BY activity_id)
+SELECT a.user_id, row_number() OVER (PARTITION BY a.user_id ORDER BY coalesce(activity_date, ended), a.activity_id) AS position, concat(chr(123), '"type":"Feature","properties":', chr(123), '"sport":"', sport, '","undated":', CASE WHEN activity_date IS NULL THEN 'true' ELSE 'false' END, chr(125), ',"geometry":', geometry, chr(125)) AS feature FROM act a JOIN ft ON a.activity_id = ft.activity_id""",
     "f09_trip_visibility": "SELECT o_orderkey FROM {orders} WHERE o_custkey = 7 OR (o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P')",
     "f10_batch_by_ids": f"{_A} SELECT activity_id, sport FROM act WHERE activity_id IN (10, 21, 32, 43) AND contribute",
     "f11_map_feed": f"{_A} SELECT activity_id, user_id FROM act WHERE user_id = 8 AND n_fixes > 0 AND sport IN ('mtb', 'gravel', 'offroad')",
