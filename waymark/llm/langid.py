@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import remainder, text_batches
 
-SEGMENT = 256
+SEGMENT, STRETCH = 256, 32
 #: Symbols: 0 ends a segment, 1 is whatever is not a letter, 2 a letter that no sample has.
 FIRST_LETTER = 3
 
@@ -153,18 +153,22 @@ class Parser:
         parses begin a phrase at one place. A segment that it crosses whole gets its end from it, and so on."""
         todo = np.flatnonzero(owner[1:] == owner[:-1])  # segments whose successor is of the same text
         while len(todo):
-            into = todo + 1
-            mine, end = self._parse(np.ascontiguousarray(grid[into].T), entries, root, state[todo])
-            both = mine & begins[:, into]
-            met = both.any(axis=0)
-            upto = np.where(met, both.argmax(axis=0), SEGMENT)
-            before = np.arange(SEGMENT)[:, None] < upto
-            begins[:, into] = np.where(before, mine, begins[:, into])
+            into, end, apart = todo + 1, state[todo], np.arange(len(todo))
+            for at in range(0, SEGMENT, STRETCH):  # most meet within a few phrases
+                own = begins[at : at + STRETCH, into[apart]]
+                mine, end[apart] = self._parse(np.ascontiguousarray(grid[into[apart], at : at + STRETCH].T), entries, root, end[apart])
+                both = mine & own
+                met = both.any(axis=0)
+                upto = np.where(met, both.argmax(axis=0), len(own))
+                begins[at : at + STRETCH, into[apart]] = np.where(np.arange(len(own))[:, None] < upto, mine, own)
+                apart = apart[~met]
+                if not len(apart):
+                    break
             # What crossed the segment whole ends it otherwise than its own parse did: the next is followed anew.
-            moved = ~met & (end != state[into])
-            state[into[moved]] = end[moved]
+            moved = apart[end[apart] != state[into[apart]]]
             after = into[moved]
-            todo = after[(after + 1 < len(owner))]
+            state[after] = end[moved]
+            todo = after[after + 1 < len(owner)]
             todo = todo[owner[todo + 1] == owner[todo]]
 
     def better(self, texts: list[str | None], langs: list[str], first: np.ndarray, second: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
