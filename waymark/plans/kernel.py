@@ -29,7 +29,7 @@ SELECT activity_id, count(*) AS n, sum(CASE WHEN {haversine('mlat', 'mlon', 'lat
 pt AS (SELECT activity_id, lat0, lon0, lat, lon, n, [[explode(sequence(1, n))||unnest(range(1, n + 1))]] AS k FROM st)
 SELECT activity_id, count(*) AS points, round(sum(lat0 + (lat - lat0) * k / n), 5) AS sum_lat, round(sum(lon0 + (lon - lon0) * k / n), 5) AS sum_lon FROM pt GROUP BY activity_id""",
     "k13_saturating_users": f"WITH {CELLS} SELECT user_count, count(*) AS cells, sum(pass_count) AS passes FROM lattice GROUP BY user_count",
-    "k15_direction_resultant": f"WITH {_DIR} SELECT sport, ilat, ilon, round(sum(d * sin(heading)), 3) AS dir_x, round(sum(d * cos(heading)), 3) AS dir_y, round(sum(d), 3) AS dir_w, round(sqrt(power(sum(d * sin(heading)), 2) + power(sum(d * cos(heading)), 2)) / sum(d), 3) AS oneway_score FROM dl GROUP BY sport, ilat, ilon",
+    "k15_direction_resultant": f"WITH {_DIR}, rs AS (SELECT sport, ilat, ilon, round(sum(d * sin(heading)), 3) AS rx, round(sum(d * cos(heading)), 3) AS ry, round(sum(d), 3) AS dir_w, round(sqrt(power(sum(d * sin(heading)), 2) + power(sum(d * cos(heading)), 2)) / sum(d), 3) AS oneway_score FROM dl GROUP BY sport, ilat, ilon) SELECT sport, ilat, ilon, CASE WHEN rx = 0 THEN CAST(0 AS DOUBLE) ELSE rx END AS dir_x, CASE WHEN ry = 0 THEN CAST(0 AS DOUBLE) ELSE ry END AS dir_y, dir_w, oneway_score FROM rs",
     "k17_forward_backward": f"""WITH {_DIR}, rf AS (SELECT * FROM (SELECT sport, ilat, ilon, heading AS ref, row_number() OVER (PARTITION BY sport, ilat, ilon ORDER BY activity_id, seq) AS rk FROM dl) r WHERE rk = 1)
 SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT CASE WHEN cos(heading - ref) >= CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS forward_count, count(DISTINCT CASE WHEN cos(heading - ref) < CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS backward_count
 FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""",
