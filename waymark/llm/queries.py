@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, htmltext, langid, licenses, mixing, sharding, simhash, tokens, toxicity
-from .common import read_table
+from . import audio, decontam, htmltext, langid, licenses, mixing, sharding, simhash, tokens, toxicity, warc
+from .common import checkpointed, ensure_checkpoint_dir, forget, read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +55,15 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio)}
-ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql()}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw archives, the deduplicated ones, and what these say when read back; the archives go once that is kept."""
+    raw, clean = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}/{k}" for k in ("raw", "clean"))
+    warc.write_archives(read_table(spark, sf_dir, "pages"), raw)
+    warc.deduplicate(spark, raw, clean)
+    found = checkpointed(warc.resolve(checkpointed(warc.read_archives(spark, clean))))
+    forget(spark, raw, clean)
+    return found
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio, op12_warc)}
+ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql(), "op12_warc": warc.duckdb_sql()}
