@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, htmltext, langid, licenses, mixing, sharding, simhash, tokens, toxicity, warc
+from . import audio, decontam, htmltext, langid, licenses, mixing, negatives, sharding, simhash, tokens, toxicity, warc
 from .common import checkpointed, ensure_checkpoint_dir, forget, read_table
 
 
@@ -65,5 +65,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio, op12_warc)}
-ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql(), "op12_warc": warc.duckdb_sql()}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 50 == 0, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio, op12_warc, op13_negatives)}
+ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql(), "op12_warc": warc.duckdb_sql(), "op13_negatives": negatives.duckdb_sql()}
