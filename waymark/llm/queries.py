@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, htmltext, langid, licenses, mixing, negatives, sharding, simhash, tokens, toxicity, warc
-from .common import checkpointed, ensure_checkpoint_dir, forget, read_table
+from . import audio, decontam, htmltext, langid, licenses, merkle, mixing, negatives, sharding, simhash, tokens, toxicity, warc
+from .common import checkpointed, ensure_checkpoint_dir, forget, read_table, remainder
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.prove(docs, altered=remainder("doc_id", 5) == 0, alter={"text": merkle.lower_capitals(F.col("text"))})
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw archives, the deduplicated ones, and what these say when read back; the archives go once that is kept."""
     raw, clean = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}/{k}" for k in ("raw", "clean"))
@@ -70,5 +75,5 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(read_table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 50 == 0, label=label)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio, op12_warc, op13_negatives)}
-ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql(), "op12_warc": warc.duckdb_sql(), "op13_negatives": negatives.duckdb_sql()}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_tokens, op5_language, op6_simhash, op7_sharding, op8_html, op9_licenses, op10_audio, op11_merkle, op12_warc, op13_negatives)}
+ORACLES: dict[str, str] = {"op9_licenses": licenses.duckdb_sql(), "op11_merkle": merkle.duckdb_sql(), "op12_warc": warc.duckdb_sql(), "op13_negatives": negatives.duckdb_sql()}
