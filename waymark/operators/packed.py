@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 def packed(fixes: DataFrame, *columns: str) -> DataFrame:
     """activity_id and an array of each column in the order of seq. A trace is bounded (parsers refuse more than
-    100 000 fixes), so its row is."""
-    rows = fixes.groupBy("activity_id").agg(F.sort_array(F.collect_list(F.struct("seq", *columns))).alias("f"))
+    100 000 fixes), so its row is.
+
+    Traces are dealt out over a stated number of partitions: what follows takes milliseconds a trace and multiplies its
+    bytes, so partitions must not be merged for being small."""
+    spark = fixes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = fixes.repartition(parts, "activity_id").groupBy("activity_id").agg(F.sort_array(F.collect_list(F.struct("seq", *columns))).alias("f"))
     return rows.select("activity_id", *[F.col(f"f.{c}").alias(c) for c in columns])
 
 

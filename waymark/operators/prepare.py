@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from waymark.functions.geo import metres
-from waymark.operators.packed import packed, traces
-from waymark.operators.privacy import masked_pieces
+from waymark.operators import ragged
+from waymark.operators.packed import packed
 
 DENSE = "activity_id long, user_id long, sport string, run int, point int, lon double, lat double"
 
@@ -60,20 +60,33 @@ def prepare_traces(fixes: DataFrame, box: tuple[float, float, float, float] | No
 
     def run(batches):
         for b in batches:
-            held: list[tuple] = []
-            for key, user, sport, lon, lat in traces(b):
-                keep = clipped(lon, lat, box)
-                lon, lat = lon[keep], lat[keep]
-                keep = near_median(lon, lat, far_km)
-                lon, lat = lon[keep], lat[keep]
-                parts = [x for p in masked_pieces(lon, lat, runs_of(lon, lat, jump_m), radius) for x in densified(p, gap, jump_m) if len(x) >= 2]
-                if parts:
-                    held.append((key, user[0], sport[0], [len(p) for p in parts], np.concatenate(parts)))
-            size = [n for h in held for n in h[3]]
-            total = [sum(h[3]) for h in held]
-            xy = np.concatenate([np.zeros((0, 2)), *[h[4] for h in held]])
-            of = lambda k, kind: pa.array([h[k] for h in held], kind).take(pa.array(np.repeat(np.arange(len(held)), total)))  # noqa: B023, E731
-            number = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h[3])) for h in held]])
-            yield pa.RecordBatch.from_arrays([of(0, pa.int64()), of(1, pa.int64()), of(2, pa.string()), pa.array(np.repeat(number, size), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in size]]), pa.int32()), pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=[c.split(" ")[0] for c in DENSE.split(", ")])
+            for rows, ends, (user, sport, lon, lat) in ragged.groups(b):
+                ends, user, sport, lon, lat = ragged.select(clipped(lon, lat, box), ends, user, sport, lon, lat)
+                if far_km > 0:
+                    near = metres(ragged.medians(ends, lon), ragged.medians(ends, lat), lon, lat) <= far_km * 1000
+                    ends, user, sport, lon, lat = ragged.select(near | (np.repeat(np.diff(ends), np.diff(ends)) < 2), ends, user, sport, lon, lat)
+                trace, piece, x, y = ragged.densified(*ragged.masked(ends, lon, lat, runs_of(lon, lat, jump_m), radius), gap)
+                keep, run_no, point = ragged.numbered(trace, piece)
+                trace = trace[keep]
+                first = ends[:-1][trace]  # one user and sport a trace
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(trace)), pa.array(user[first], pa.int64()), pa.array(sport[first], pa.string()), pa.array(run_no, pa.int32()), pa.array(point, pa.int32()), pa.array(x[keep]), pa.array(y[keep])], names=[c.split(" ")[0] for c in DENSE.split(", ")])
 
     return packed(fixes.dropna(subset=["lon", "lat"]), "user_id", "sport", "lon", "lat").mapInArrow(run, DENSE)
+
+
+MASKED = "activity_id long, piece int, point int, lon double, lat double"
+
+
+def mask_traces(fixes: DataFrame, radius: float = 200.0) -> DataFrame:
+    """activity_id, piece, point, lon, lat of what may be shown of fixes (activity_id, seq, run_id, lon, lat).
+
+    Traces of fewer than two fixes, and traces that never leave their end zones, have no rows."""
+
+    def run(batches):
+        for b in batches:
+            for rows, ends, (lon, lat, runs) in ragged.groups(b):
+                trace, piece, x, y = ragged.masked(ends, lon, lat, runs, radius)
+                keep, number, point = ragged.numbered(trace, piece)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(trace[keep])), pa.array(number, pa.int32()), pa.array(point, pa.int32()), pa.array(x[keep]), pa.array(y[keep])], names=[c.split(" ")[0] for c in MASKED.split(", ")])
+
+    return packed(fixes.dropna(subset=["lon", "lat"]), "lon", "lat", "run_id").mapInArrow(run, MASKED)

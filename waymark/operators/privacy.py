@@ -1,18 +1,14 @@
 """Radial endpoint mask: nothing within a radius of where a trace starts or ends is ever shown.
 
-Runs on raw fixes, before densifying and counting. One trace is the unit of work; Spark deals traces out.
+Runs on raw fixes, before densifying and counting. These functions take one trace; operators.ragged has the same rules
+for a batch of traces.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from waymark.functions.geo import DEGREE_M, metres
-from waymark.operators.packed import packed, traces
-
-MASKED = "activity_id long, piece int, point int, lon double, lat double"
 
 
 def end_zone(lon: np.ndarray, lat: np.ndarray, dwell=30.0, least=3, most=10, span=100.0) -> tuple[np.ndarray, np.ndarray, int]:
@@ -82,17 +78,3 @@ def masked_pieces(lon: np.ndarray, lat: np.ndarray, run: np.ndarray, radius: flo
         edge = np.flatnonzero(np.diff(np.concatenate([[False], shown, [False]]).astype(int)))
         pieces += [points[i : j + 1] for i, j in zip(edge[::2], edge[1::2], strict=True)]
     return pieces
-
-
-def mask_traces(fixes: DataFrame, radius: float = 200.0) -> DataFrame:
-    """activity_id, piece, point, lon, lat of what may be shown of fixes (activity_id, seq, run_id, lon, lat).
-
-    Traces of fewer than two fixes, and traces that never leave their end zones, have no rows."""
-
-    def run(batches):
-        for b in batches:
-            out = [(key, k, i, x, y) for key, lon, lat, r in traces(b) for k, p in enumerate(masked_pieces(lon, lat, r, radius)) for i, (x, y) in enumerate(p.tolist())]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["activity_id", "piece", "point", "lon", "lat"])
-
-    return packed(fixes.dropna(subset=["lon", "lat"]), "lon", "lat", "run_id").mapInArrow(run, MASKED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import emission, heatmap, matching, pairing, privacy, shapes, tiles
+from waymark.operators import emission, heatmap, matching, pairing, prepare, shapes, tiles
 from waymark.plans.dialect import over, prepared, spark_query
 from waymark.plans.kernel import _DIR, _RUNS
 from waymark.plans.traces import ACTIVITIES, CELL, CELLS, FAR_KM, FIXES, JUMP_M, RADIUS_M
@@ -26,7 +26,7 @@ FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.il
 _TOP = "greatest(1, percentile_disc(0.999) WITHIN GROUP (ORDER BY eff))"
 _shared = spark_query(f"WITH {FIXES} SELECT activity_id, sport, seq, lon, lat FROM fx WHERE user_id % 6 <> 0 AND activity_id % 13 <> 0")
 
-_twins = spark_query(f"""WITH {ACTIVITIES} SELECT a.activity_id AS absorbed, b.activity_id AS survivor, a.activity_id * 1000000000 + b.activity_id AS rank, a.source = 'manual_upload' AND b.source <> 'manual_upload' AS keep_absorbed
+_twins = spark_query(f"""WITH {ACTIVITIES} SELECT a.activity_id AS absorbed, b.activity_id AS survivor, struct(a.activity_id AS a, b.activity_id AS b) AS rank, a.source = 'manual_upload' AND b.source <> 'manual_upload' AS keep_absorbed
 FROM act a JOIN act b ON b.user_id = a.user_id - 1 AND a.user_id % 2 = 1 WHERE abs(unix_timestamp(a.started) - unix_timestamp(b.started)) <= 172800""")
 
 
@@ -59,13 +59,14 @@ def m04_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j20_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trace against every piece of trail."""
     traces = _fixes(spark, sf_dir).groupBy("activity_id").agg(F.expr("transform(sort_array(collect_list(struct(seq, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).withColumnRenamed("activity_id", "track_id")
-    ways = heatmap.graded_pieces(over(_GATED, prepared(spark, sf_dir))).select(F.expr("activity_id * 1000000 + (run div 1000000) * 10000 + (run % 1000000) * 100 + piece").alias("way_id"), F.expr("transform(arrays_zip(lon, lat), p -> array(p.lon, p.lat))").alias("coords"))
-    return matching.match_lines(traces, ways)
+    ways = heatmap.graded_pieces(over(_GATED, prepared(spark, sf_dir))).select(F.struct("activity_id", "run", "piece").alias("way_id"), F.expr("transform(arrays_zip(lon, lat), p -> array(p.lon, p.lat))").alias("coords"))
+    found = matching.match_lines(traces, ways)
+    return found.select("track_id", F.col("way_id.activity_id").alias("way_activity_id"), F.col("way_id.run").alias("way_run"), F.col("way_id.piece").alias("way_piece"), "hausdorff_m", "overlap")
 
 
 def k09_radial_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived traces are some 600 m long, so the radius is 40 m here; real traces take 200 m."""
-    return privacy.mask_traces(_runs(spark, sf_dir), 40.0)
+    return prepare.mask_traces(_runs(spark, sf_dir), 40.0)
 
 
 def k30_s22_heat_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +91,9 @@ def k49_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j20_directed_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked runs against whole traces, which go on beyond them."""
-    runs = prepared(spark, sf_dir).groupBy("activity_id", "run").agg(F.expr("transform(sort_array(collect_list(struct(point, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).selectExpr("activity_id * 1000 + run AS track_id", "coords")
+    runs = prepared(spark, sf_dir).groupBy("activity_id", "run").agg(F.expr("transform(sort_array(collect_list(struct(point, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).selectExpr("struct(activity_id, run) AS track_id", "coords")
     ways = _fixes(spark, sf_dir).groupBy("activity_id").agg(F.expr("transform(sort_array(collect_list(struct(seq, lon, lat))), p -> array(p.lon, p.lat))").alias("coords")).withColumnRenamed("activity_id", "way_id")
-    return matching.match_lines(runs, ways, directed=True)
+    return matching.match_lines(runs, ways, directed=True).select("track_id.activity_id", "track_id.run", "way_id", "hausdorff_m", "overlap")
 
 
 def k03_k30_k36_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

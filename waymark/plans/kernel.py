@@ -9,7 +9,7 @@ rn AS (SELECT *, sum(brk) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOU
 #: Legs of the prepared traces of two metres or more, with the cell they start in.
 _DIR = f"""{DENSE},
 d0 AS (SELECT *, lag(lat) OVER (PARTITION BY activity_id, run ORDER BY point) AS lat0, lag(lon) OVER (PARTITION BY activity_id, run ORDER BY point) AS lon0 FROM ds WHERE sport IN ('mtb', 'gravel')),
-dl AS (SELECT * FROM (SELECT activity_id, sport, run * CAST(1000000 AS BIGINT) + point AS seq, {haversine('lat0', 'lon0', 'lat', 'lon')} AS d, {bearing('lat0', 'lon0', 'lat', 'lon')} AS heading, {CELL('lat0')} AS ilat, {CELL('lon0')} AS ilon FROM d0 WHERE lat0 IS NOT NULL) x WHERE d >= 2)"""
+dl AS (SELECT * FROM (SELECT activity_id, sport, run * CAST(1000000000 AS BIGINT) + point AS seq, {haversine('lat0', 'lon0', 'lat', 'lon')} AS d, {bearing('lat0', 'lon0', 'lat', 'lon')} AS heading, {CELL('lat0')} AS ilat, {CELL('lon0')} AS ilon FROM d0 WHERE lat0 IS NOT NULL) x WHERE d >= 2)"""
 _FLOW = f"""{_DIR}, rs AS (SELECT sport, ilat, ilon, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw, count(DISTINCT activity_id) AS passes FROM dl GROUP BY sport, ilat, ilon),
 fl AS (SELECT dl.activity_id, dl.sport, dl.ilat, dl.ilon, dl.seq, round(sqrt(rx * rx + ry * ry) / rw, 6) AS oneway, passes, rx * sin(heading) + ry * cos(heading) AS along FROM dl JOIN rs ON dl.sport = rs.sport AND dl.ilat = rs.ilat AND dl.ilon = rs.ilon)"""
 _TILE = "CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y"
