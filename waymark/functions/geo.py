@@ -34,6 +34,23 @@ def hilbert_tile_id(z: int, x: int, y: int) -> int:
     return before + d
 
 
+def hilbert_tile_ids(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """hilbert_tile_id of arrays."""
+    z, x, y = (np.asarray(v, np.int64).copy() for v in (z, x, y))
+    before, d = ((np.int64(1) << (2 * z)) - 1) // 3, np.zeros(len(z), np.int64)
+    for k in range(int(z.max(initial=0)) - 1, -1, -1):
+        s = np.int64(1) << k
+        on = z > k
+        rx, ry = (x >> k) & 1, (y >> k) & 1
+        d += np.where(on, s * s * ((3 * rx) ^ ry), 0)
+        x, y = np.where(on, x & (s - 1), x), np.where(on, y & (s - 1), y)
+        flip = on & (ry == 0) & (rx == 1)
+        x, y = np.where(flip, s - 1 - x, x), np.where(flip, s - 1 - y, y)
+        turn = on & (ry == 0)
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+    return before + d
+
+
 def tile_of_hilbert_id(tile: int) -> tuple[int, int, int]:
     """(z, x, y) of a place along the Hilbert curves; the inverse of hilbert_tile_id."""
     z = 0

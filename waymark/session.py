@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder of that name in the shared checkpoint folder; nothing is made yet."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{re.sub(r'^(file:)?/(?!/)', 'file:///', root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of shared_folder()."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
