@@ -30,7 +30,6 @@ SQL = {
     "j05_or_join": f"""{_A}, {_BUCKETS}, k AS (SELECT a.activity_id AS x, b.activity_id AS y FROM act a JOIN act b ON floor(a.activity_id / 2) = floor(b.activity_id / 2) AND a.activity_id < b.activity_id),
 t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb = b.tb AND a.activity_id < b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.05 AS DOUBLE) * greatest(a.n_fixes, b.n_fixes)) SELECT x, y FROM k UNION SELECT x, y FROM t""",
     "j06_dedup_probe": f"""{_A}, {_BUCKETS}, m AS (SELECT a.activity_id, b.activity_id AS twin, row_number() OVER (PARTITION BY a.activity_id ORDER BY CASE WHEN b.source = 'manual_upload' THEN 0 ELSE 1 END, b.started, b.activity_id) AS rk FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id % 10 = b.user_id % 10 AND a.activity_id <> b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.1 AS DOUBLE) * a.n_fixes) SELECT activity_id, twin FROM m WHERE rk = 1""",
-    "j07_asof_nearest": f"""{_A}, {_BUCKETS}, m AS (SELECT a.activity_id, b.activity_id AS other, rank() OVER (PARTITION BY a.activity_id ORDER BY abs([[unix_micros(CAST(a.started AS TIMESTAMP)) - unix_micros(CAST(b.started AS TIMESTAMP))||epoch_us(a.started) - epoch_us(b.started)]])) AS rk FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id <> b.user_id AND {_NEAR}) SELECT activity_id, max(other) AS nearest FROM m WHERE rk = 1 GROUP BY activity_id HAVING count(DISTINCT other) = 1""",
     "j08_exists_sibling": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM act b WHERE b.user_id = a.user_id AND b.activity_id <> a.activity_id AND b.sport = 'mtb')",
     "j09_two_exists": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts BETWEEN a.started AND a.ended) UNION SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'error' AND e.ts BETWEEN a.started AND a.ended)",
     "j10_stale_contributors": f"{_A} SELECT user_id, max(started) AS latest FROM act WHERE contribute GROUP BY user_id HAVING max(started) < {_NOW} - INTERVAL '4' DAY",
@@ -57,7 +56,6 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "a12_bounded_count": "SELECT count(*) AS n FROM (SELECT 1 FROM {lineitem} LIMIT 1001) x",
     "a13_fork_counts": "SELECT c_custkey, coalesce(n, 0) AS forks FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) x ON c_custkey = o_custkey",
     "a14_majority_sport": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rk FROM {events} GROUP BY user_id, event_type) x WHERE rk = 1",
-    "a15_surface_counts": f"WITH {CELLS} SELECT sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS paved, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS unpaved, sum(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS ambiguous, round(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN k < 2 THEN 1 ELSE 0 END) AS DOUBLE), 6) AS unpaved_share FROM (SELECT DISTINCT ilat, ilon, (ilat + ilon) % 4 AS k FROM cells) x",
     "a16_outcome_pivot": f"{_A} SELECT user_id, sum(CASE WHEN n_fixes >= 12 THEN 1 ELSE 0 END) AS enough, sum(CASE WHEN n_fixes < 12 AND n_fixes >= 6 THEN 1 ELSE 0 END) AS few, sum(CASE WHEN n_fixes < 6 THEN 1 ELSE 0 END) AS too_few FROM act GROUP BY user_id",
     "a20_next_position": f"WITH {FIXES} SELECT activity_id, coalesce(max(seq) + 1, 0) AS next_position FROM fx GROUP BY activity_id",
     "w01_latest_per_key": f"{_A} SELECT user_id, sport, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY activity_date DESC NULLS LAST, activity_id DESC) AS rk FROM act) x WHERE rk = 1",
@@ -93,10 +91,6 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "a23_trip_days": "SELECT o_custkey, max(month(o_orderdate)) + 1 AS days FROM {orders} GROUP BY o_custkey",
     "a24_unread_count": "SELECT user_id, count(*) FILTER (WHERE event_id % 3 = 0) AS unread FROM {events} GROUP BY user_id",
     "c05_default_flag": f"{_A} SELECT activity_id, sport = 'road' AND user_id % 2 = 0 AND n_fixes < 12 AS sport_is_default FROM act",
-    "c11_way_surface": "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'paved' WHEN lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%tin%' THEN 'unpaved' ELSE 'unknown' END AS surface FROM {part}",
-    "c14_cell_class_with_neighbours": f"""WITH {CELLS}, o AS (SELECT DISTINCT ilat, ilon FROM lattice), k AS (SELECT ilat, ilon, (ilat * 7 + ilon * 3) % 5 AS c FROM o), n1 AS (SELECT ilat AS a, ilon AS b, [[explode(array(ilat - 1, ilat, ilat + 1))||unnest([ilat - 1, ilat, ilat + 1])]] AS ilat, ilon FROM k WHERE c = 4), n2 AS (SELECT a, b, ilat, [[explode(array(ilon - 1, ilon, ilon + 1))||unnest([ilon - 1, ilon, ilon + 1])]] AS ilon FROM n1),
-nb AS (SELECT a, b, count(CASE WHEN c < 2 THEN 1 END) AS p, count(CASE WHEN c IN (2, 3) THEN 1 END) AS u FROM n2 JOIN k ON n2.ilat = k.ilat AND n2.ilon = k.ilon GROUP BY a, b)
-SELECT k.ilat, k.ilon, CASE WHEN c < 2 THEN 'P' WHEN c < 4 THEN 'U' WHEN nb.p > 0 AND nb.u > 0 THEN 'A' WHEN nb.p > 0 THEN 'P' WHEN nb.u > 0 THEN 'U' ELSE 'N' END AS class FROM k LEFT JOIN nb ON k.ilat = nb.a AND k.ilon = nb.b""",
     "c17_safe_names": "SELECT doc_id, [[substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_'), 1, 100)||substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 100)]] AS file_name FROM {documents}",
     "j11_bool_or_having": "SELECT c_custkey, count(*) AS n FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey HAVING bool_or(o_orderstatus = 'P')",
     "j16_version_fallback": "SELECT o_orderkey, coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), max(l_extendedprice), o_totalprice) AS shown FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice",

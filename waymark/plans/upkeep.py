@@ -8,8 +8,6 @@ _A = f"WITH {ACTIVITIES}"
 _STEPS = f"""{LEGS}, sg AS (SELECT activity_id, lat0, lon0, lat, lon, greatest(1, CAST(floor(sqrt(power((lon - lon0) * 111320 * cos(radians((lat + lat0) / 2)), 2) + power((lat - lat0) * 110540, 2)) / 5) AS INT) + 1) AS n FROM lg WHERE lat0 IS NOT NULL),
 pt AS (SELECT activity_id, lat0, lon0, lat, lon, n, [[explode(sequence(0, n))||unnest(range(0, n + 1))]] AS k FROM sg),
 su AS (SELECT DISTINCT activity_id, CAST([[rint((lat0 + (lat - lat0) * k / n) / CAST(0.0002 AS DOUBLE))||round_even((lat0 + (lat - lat0) * k / n) / CAST(0.0002 AS DOUBLE), 0)]] AS BIGINT) AS klat, CAST([[rint((lon0 + (lon - lon0) * k / n) / CAST(0.0002 AS DOUBLE))||round_even((lon0 + (lon - lon0) * k / n) / CAST(0.0002 AS DOUBLE), 0)]] AS BIGINT) AS klon FROM pt)"""
-#: Which cells are surfaced how, made up from the key: paved, unpaved, both, or not known.
-_CLASS = "CASE (klat * 7 + klon * 3) % 5 WHEN 0 THEN 'P' WHEN 1 THEN 'U' WHEN 2 THEN 'U' WHEN 3 THEN 'A' ELSE 'N' END"
 #: The kernel radius in CSS pixels at zooms 6, 8, 10, 13, 16 and 18, straight between them.
 _RAMP = "CASE WHEN z <= 6 THEN 3 WHEN z <= 8 THEN 3 + 1.5 * (z - 6) / 2 WHEN z <= 10 THEN 4.5 + (z - 8) / 2 WHEN z <= 13 THEN 5.5 + 2.5 * (z - 10) / 3 WHEN z <= 16 THEN 8 + 2 * (z - 13) / 3 WHEN z <= 18 THEN 10 + 2 * (z - 16) / 2 ELSE 12 END"
 #: A point of a GPX document, and all points of a group in order.
@@ -22,9 +20,6 @@ _ZOOMS = "[[explode(sequence(0, 22))||unnest(range(0, 23))]] AS z"
 
 SQL = {
     "c13_surface_cells": f"WITH {_STEPS} SELECT activity_id, count(*) AS cells, min(klat) AS south, max(klon) AS east FROM su GROUP BY activity_id",
-    "c15_unpaved_share": f"""WITH {_STEPS}, cl AS (SELECT activity_id, {_CLASS} AS class FROM su),
-ct AS (SELECT activity_id, count(*) AS cells, sum(CASE WHEN class <> 'N' THEN 1 ELSE 0 END) AS covered, sum(CASE WHEN class IN ('P', 'U') THEN 1 ELSE 0 END) AS known, sum(CASE WHEN class = 'U' THEN 1 ELSE 0 END) AS unpaved FROM cl GROUP BY activity_id)
-SELECT activity_id, cells, covered, known, CASE WHEN covered >= CAST(0.6 AS DOUBLE) * cells AND known >= 5 THEN round(CAST(unpaved AS DOUBLE) / known, 6) END AS share, CASE WHEN covered >= CAST(0.6 AS DOUBLE) * cells AND known >= 5 THEN CAST(unpaved AS DOUBLE) / known >= CAST(0.15 AS DOUBLE) ELSE FALSE END AS offroad FROM ct""",
     "k31_zoom_levels": f"""WITH z0 AS (SELECT {_ZOOMS}), rd AS (SELECT z, CAST({_RAMP} AS DOUBLE) AS px FROM z0),
 mt AS (SELECT z, px, px * CAST(40075016.686 AS DOUBLE) * cos(radians(CAST(43.6 AS DOUBLE))) / (512 * power(2, z)) AS metres FROM rd),
 lv AS (SELECT z, px, metres, CASE WHEN metres * CAST(0.75 AS DOUBLE) > 23 THEN greatest(0, CAST(floor(ln(metres * CAST(0.75 AS DOUBLE) / 23) / ln(CAST(2 AS DOUBLE))) AS INT)) ELSE 0 END AS raw FROM mt)

@@ -117,3 +117,64 @@ def in_bbox(coords: str, west: float, south: float, east: float, north: float) -
     lo = lambda k: F.array_min(F.transform(coords, lambda p: p[k]))
     hi = lambda k: F.array_max(F.transform(coords, lambda p: p[k]))
     return (lo(0) <= east) & (hi(0) >= west) & (lo(1) <= north) & (hi(1) >= south)
+
+
+def crosses_bbox(coords: str, west: float, south: float, east: float, north: float) -> Column:
+    """Whether some leg of the line meets the box (a line whose box overlaps it may still pass by its corner)."""
+
+    def meets(i: Column) -> Column:
+        a, b = F.get(coords, i), F.get(coords, i + 1)
+        near, far = [F.lit(0.0)], [F.lit(1.0)]
+        for k, lo, hi in ((0, west, east), (1, south, north)):
+            p, d = F.get(a, F.lit(k)), F.get(b, F.lit(k)) - F.get(a, F.lit(k))
+            ends = [F.when(d != 0, (F.lit(v) - p) / F.nullif(d, F.lit(0.0))).when(p.between(lo, hi), F.lit(s * float("inf"))).otherwise(F.lit(-s * float("inf"))) for v, s in ((lo, -1), (hi, 1))]
+            near.append(F.when(d != 0, F.least(*ends)).otherwise(ends[0]))
+            far.append(F.when(d != 0, F.greatest(*ends)).otherwise(ends[1]))
+        return F.greatest(*near) <= F.least(*far)
+
+    return F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(coords) - 2)), meets) & (F.size(coords) >= 2)
+
+
+#: Surfaces of the open track data by category, and of the national extract by what its nature says.
+CATEGORY_SURFACES = {"1": "asphalt", "1A": "asphalt", "1B": "asphalt", "2": "compacted", "2A": "compacted", "2B": "dirt", "2C": "dirt", "3": "dirt", "3A": "dirt", "3B": "ground", "3C": "ground", "NR": "dirt", "Route": "asphalt", "Piste revêtue": "asphalt", "Piste non revêtue": "dirt", "Chemin": "dirt", "Sentier": "ground"}
+NATURE_SURFACES = {"sol naturel": "dirt", "revêtue": "asphalt", "revetue": "asphalt", "empierrée": "gravel", "empierree": "gravel", "stabilisée": "compacted", "stabilisee": "compacted"}
+
+
+def category_surface(category: Column) -> Column:
+    """The surface of a category of the open track data; unknown ones are dirt."""
+    return F.coalesce(F.create_map(*[F.lit(v) for pair in CATEGORY_SURFACES.items() for v in pair])[category], F.lit("dirt"))
+
+
+def nature_surface(nature: Column) -> Column:
+    """The surface that a nature's text tells, by the first phrase it holds; dirt if it holds none."""
+    said = F.lower(F.coalesce(nature, F.lit("")))
+    return F.coalesce(*[F.when(F.contains(said, F.lit(k)), F.lit(v)) for k, v in NATURE_SURFACES.items()], F.lit("dirt"))
+
+
+def read_open_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """ref, troncon, statut, surface, coords of open track records, a JSON object a line: bare or under `fields`, the
+    geometry bare or within a Feature, the lines of a MultiLineString joined to one. Records without one are left out."""
+    shape = "type string, coordinates string, geometry struct<type:string,coordinates:string>"
+    own = f"n_dfci_1 string, n_dfci_2 string, statut_operationnel string, cat_act string, geo_shape struct<{', '.join(f'{n}:{k}' for n, k in (c.split(' ', 1) for c in shape.split(', ')))}>"
+    r = spark.read.text(path).select(F.from_json("value", f"{own}, fields struct<{own.replace(' string', ':string').replace(' struct', ':struct')}>").alias("r"))
+    said = F.coalesce("r.fields", F.struct(*[F.col(f"r.{c}").alias(c) for c in ("n_dfci_1", "n_dfci_2", "statut_operationnel", "cat_act", "geo_shape")]))
+    geo = F.coalesce("f.geo_shape", "g")
+    flat = r.select(said.alias("f"), F.col("r.geo_shape").alias("g")).select("f", geo.alias("geo")).select("f", F.when(F.col("geo.type") == "Feature", F.col("geo.geometry")).otherwise(F.struct("geo.type", "geo.coordinates")).alias("geo"))
+    coords = F.when(F.col("geo.type") == "LineString", F.from_json("geo.coordinates", "array<array<double>>")).when(F.col("geo.type") == "MultiLineString", F.flatten(F.from_json("geo.coordinates", "array<array<array<double>>>")))
+    text = lambda *names: F.coalesce(*[F.nullif(F.col(f"f.{n}"), F.lit("")) for n in names], F.lit(""))
+    rows = flat.select(text("n_dfci_1", "n_dfci_2").alias("ref"), text("n_dfci_2").alias("troncon"), text("statut_operationnel").alias("statut"), category_surface(F.col("f.cat_act")).alias("surface"), F.transform(coords, lambda p: F.slice(p, 1, 2)).alias("coords"))
+    return rows.filter(F.size("coords") >= 2)
+
+
+def read_ways(spark: SparkSession, path: str) -> DataFrame:
+    """tags (a map) and coords of the ways of a GeoJSON sequence: single lines alone, as an export of ways has them."""
+    whole = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    f = spark.read.text(path).select(F.from_json(F.regexp_replace("value", r"^[\x1e\s]+", ""), whole).alias("f")).filter("f.geometry.type = 'LineString'")
+    return f.select(F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("tags"), F.from_json("f.geometry.coordinates", "array<array<double>>").alias("coords")).filter(F.size("coords") >= 2)
+
+
+def extract_edges(features: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """ref, surface, coords of a national extract's tracks (properties, part, coords, as read_tracks has them) that meet
+    the box west, south, east, north."""
+    rows = features if box is None else features.filter(crosses_bbox("coords", *box))
+    return rows.select(F.coalesce(F.col("properties")["cleabs"], F.lit("")).alias("ref"), nature_surface(F.col("properties")["nature_detail_dfci"]).alias("surface"), "coords")
