@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import intervals, surfaces
+from waymark.operators import accounts, changes, intervals, surfaces
 from waymark.plans.dialect import duckdb_sql, spark_query
 from waymark.plans.traces import ACTIVITIES, FIXES
 from waymark.session import forget, read_table, shared_folder
-from waymark.sources import tilearchive
+from waymark.sources import published, tilearchive
+from waymark.streaming import timers
 
 # ---- Tile archives --------------------------------------------------------------------------------------------------
 
@@ -131,7 +132,106 @@ _SHARES = f"""{_GRID_SQL}, ct AS (SELECT activity_id, count(*) AS cells, count(c
 sh AS (SELECT *, CASE WHEN covered >= 0.6::DOUBLE * cells AND paved + unpaved >= {_LEAST_KNOWN} THEN unpaved::DOUBLE / (paved + unpaved) END AS s FROM ct)
 SELECT activity_id, cells, covered, paved, unpaved, round(s, 6) AS share, coalesce(s >= 0.15, false) AS offroad FROM sh"""
 
-QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts)}
+# ---- Arrivals, accounts, changes, revisions, snapshots ---------------------------------------------------------------
+
+_STORED = f"""WITH {ACTIVITIES}, st AS (SELECT concat('s', activity_id) AS id, activity_id, user_id, 'file' AS provider, CASE WHEN activity_id % 2 = 0 THEN concat('p', activity_id) END AS provider_activity_id,
+  CASE WHEN activity_id % 3 = 0 THEN concat('h', activity_id) END AS file_hash, source, started AS activity_date, CAST(n_fixes * 100 AS DOUBLE) AS distance_m, ended AS created_at FROM act)"""
+#: An arrival for each activity, and two for every fifth: its provider id, its hash, a twin, a new ride, a file twice.
+_ARRIVING = f"""{_STORED}, ar AS (SELECT concat('a', activity_id) AS id, user_id, provider, CASE WHEN activity_id % 5 = 0 THEN concat('p', activity_id) END AS provider_activity_id, CASE activity_id % 5 WHEN 1 THEN concat('h', activity_id) WHEN 4 THEN concat('n', activity_id) END AS file_hash,
+  CASE WHEN activity_id % 4 = 0 THEN 'strava_api' ELSE 'manual_upload' END AS source,
+  CASE activity_id % 5 WHEN 2 THEN activity_date + (activity_id % 9) * INTERVAL '1' MINUTE WHEN 3 THEN activity_date + INTERVAL '137' MINUTE END AS activity_date, distance_m * (1 + activity_id % 3 * CAST(0.03 AS DOUBLE)) AS distance_m, created_at FROM st
+UNION ALL SELECT concat('b', activity_id), user_id, provider, NULL, concat('n', activity_id), source, NULL, distance_m, created_at + INTERVAL '1' HOUR FROM st WHERE activity_id % 5 = 4)"""
+_stored = spark_query(f"{_STORED} SELECT * FROM st")
+_arriving = spark_query(f"{_ARRIVING} SELECT * FROM ar")
+
+
+def m01_ingest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.ingest(_stored(spark, sf_dir), _arriving(spark, sf_dir))
+
+
+_INGEST = duckdb_sql(f"""{_ARRIVING}, k1 AS (SELECT ar.id, min(st.id) AS activity_id FROM ar JOIN st USING (user_id, provider, provider_activity_id) GROUP BY ar.id),
+k2 AS (SELECT ar.id, min(st.id) AS activity_id FROM ar JOIN st USING (user_id, file_hash) GROUP BY ar.id),
+k3 AS (SELECT * FROM (SELECT ar.id, st.id AS activity_id, ar.source = 'manual_upload' AND st.source <> 'manual_upload' AS up, row_number() OVER (PARTITION BY ar.id ORDER BY CASE WHEN st.source = 'manual_upload' THEN 0 ELSE 1 END, st.created_at, st.id) AS rk
+  FROM ar JOIN st ON st.user_id = ar.user_id AND st.activity_date BETWEEN ar.activity_date - INTERVAL 5 MINUTE AND ar.activity_date + INTERVAL 5 MINUTE AND st.distance_m BETWEEN ar.distance_m * (1 - 0.05::DOUBLE) AND ar.distance_m * (1 + 0.05::DOUBLE)) s WHERE rk = 1)
+SELECT ar.id, coalesce(k1.activity_id, k2.activity_id, k3.activity_id, CASE WHEN ar.id LIKE 'b%' THEN concat('a', substr(ar.id, 2)) ELSE ar.id END) AS activity_id,
+  CASE WHEN k1.id IS NOT NULL OR k2.id IS NOT NULL OR ar.id LIKE 'b%' THEN 'already_exists' WHEN k3.up THEN 'promoted' WHEN k3.id IS NOT NULL THEN 'already_exists' ELSE 'created' END AS status,
+  CASE WHEN k1.id IS NOT NULL THEN 'provider_id' WHEN k2.id IS NOT NULL OR ar.id LIKE 'b%' THEN 'file_hash' WHEN k3.id IS NOT NULL THEN 'twin' END AS by FROM ar LEFT JOIN k1 ON k1.id = ar.id LEFT JOIN k2 ON k2.id = ar.id LEFT JOIN k3 ON k3.id = ar.id""")
+
+
+def m02_promote_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rides after all arrivals."""
+    stored, arriving = _stored(spark, sf_dir).drop("activity_id"), _arriving(spark, sf_dir)
+    after = accounts.ingested(stored, arriving, accounts.ingest(stored, arriving))
+    return after.select("id", "user_id", "source", F.round("distance_m", 3).alias("distance_m"), "file_hash")
+
+
+_PROMOTED = f"""WITH o AS ({_INGEST}), i AS ({duckdb_sql(_ARRIVING + " SELECT * FROM ar")}), s AS ({duckdb_sql(_STORED + " SELECT * FROM st")}),
+u AS (SELECT o.activity_id, i.* EXCLUDE (id) FROM o JOIN i USING (id) WHERE status = 'promoted')
+SELECT s.id, s.user_id, CASE WHEN u.activity_id IS NULL THEN s.source ELSE u.source END AS source, round(coalesce(u.distance_m, s.distance_m), 3) AS distance_m, coalesce(u.file_hash, s.file_hash) AS file_hash FROM s LEFT JOIN u ON u.activity_id = s.id
+UNION ALL SELECT i.id, i.user_id, i.source, round(i.distance_m, 3), i.file_hash FROM i JOIN o USING (id) WHERE status = 'created'"""
+
+
+def m03_owner_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each owner after every fourth customer has absorbed the three that follow, one through the other, where
+    they are of the kind that may be absorbed."""
+    customers = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat("c_name", F.lit("@strava.local")).alias("email"), F.when(F.expr("c_custkey % 13 = 5"), "x").alias("hashed_password"))
+    pairs = customers.filter("user_id % 4 <> 0").select(F.col("user_id").alias("absorbed"), (F.col("user_id") - 1).alias("survivor"), F.col("user_id").alias("rank"))
+    owners = accounts.merge_owners(pairs, customers).checkpoint()
+    tables = {"orders": (read_table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey"), "customer": (customers.select("user_id"), "user_id")}
+    count = lambda name: accounts.reassigned(*tables[name], owners).groupBy(F.col(tables[name][1]).alias("owner")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "owner", "n")
+    return count("orders").unionByName(count("customer"))
+
+
+_REMAP = """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 = 0 OR c_custkey % 13 = 5 OR lag(c_custkey) OVER (ORDER BY c_custkey) IS DISTINCT FROM c_custkey - 1 AS root FROM customer),
+f AS (SELECT k, max(CASE WHEN root THEN k END) OVER (PARTITION BY floor(k / 4) ORDER BY k) AS owner FROM c)
+SELECT 'orders' AS table_name, coalesce(owner, o_custkey) AS owner, count(*) AS n FROM orders LEFT JOIN f ON k = o_custkey GROUP BY 2 UNION ALL SELECT 'customer', owner, count(*) FROM f GROUP BY 2"""
+
+_sports = spark_query(f"WITH {ACTIVITIES} SELECT activity_id, user_id, sport, sport = 'road' AND n_fixes < 12 AS sport_is_default FROM act")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sports as they were, after riders have named some of their default ones, and that edit's feed."""
+    rows = _sports(spark, sf_dir)
+    return rows, *changes.update(rows, "activity_id", F.expr("sport_is_default AND user_id % 3 = 1"), {"sport": F.lit("gravel"), "sport_is_default": F.lit(False)})
+
+
+def m05_sport_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[2].select("key", "kind", F.col("before.sport").alias("was"), F.col("after.sport").alias("sport"))
+
+
+def m06_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inference over the sports as they were, applied after the edit to what the edit has left alone."""
+    was, now, _ = _edited(spark, sf_dir)
+    _, feed = changes.update(now, "activity_id", F.expr("sport_is_default AND user_id % 2 = 0"), {"sport": F.lit("offroad"), "sport_is_default": F.lit(False)}, expected=was.filter("sport_is_default").select("activity_id", "sport", "sport_is_default"))
+    return feed.select("key", F.col("before.sport").alias("was"), F.col("after.sport").alias("sport"))
+
+
+#: Each event changes its user's data; a purchase also offers what was made some revisions ago.
+_OFFERS = f"""WITH {FIXES}, n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS data_rev FROM ev)"""
+_offers = spark_query(f"{_OFFERS} SELECT user_id, 2 * event_id AS seq, 'change' AS kind, NULL AS rev, NULL AS version, FALSE AS force FROM n UNION ALL SELECT user_id, 2 * event_id + 1, 'build', greatest(0, data_rev - event_id % 40 + CASE WHEN event_id % 11 = 0 THEN 40 ELSE 0 END), concat('v', event_id), FALSE FROM n WHERE event_type = 'purchase'")
+
+
+def r05_compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful operator over a table at once; as a stream it goes on from batch to batch."""
+    return timers.published(_offers(spark, sf_dir)).select("user_id", "seq", "rev", "data_rev", "built_rev", "outcome")
+
+
+_CAS = duckdb_sql(f"""{_OFFERS}, b AS (SELECT user_id, 2 * event_id + 1 AS seq, CAST(greatest(0, data_rev - event_id % 40 + CASE WHEN event_id % 11 = 0 THEN 40 ELSE 0 END) AS BIGINT) AS rev, data_rev FROM n WHERE event_type = 'purchase'),
+m AS (SELECT *, coalesce(max(CASE WHEN rev <= data_rev THEN rev END) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS built FROM b)
+SELECT user_id, seq, rev, data_rev, CASE WHEN rev <= data_rev AND rev > built THEN rev ELSE built END AS built_rev, CASE WHEN rev > data_rev THEN 'ahead' WHEN rev > built THEN 'published' ELSE 'outrun' END AS outcome FROM m""")
+
+
+def r06_snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see after a newer and then an older snapshot were published."""
+    root = shared_folder(spark, "published")
+    counts = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    done = [published.publish(df, root, snapshot) for snapshot, df in ((20, counts), (10, counts.limit(0)), (20, counts))]
+    out = published.read_current(spark, root).select("user_id", "n", F.lit(",".join(map(str, done))).alias("published")).checkpoint()
+    forget(spark, root)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts, m01_ingest_outcome, m02_promote_twin, m03_owner_remap, m05_sport_change, m06_guarded_update, r05_compare_and_set, r06_snapshot_publish)}
 ORACLES = {
     "s26_s27_tile_archive": duckdb_sql(_ARCHIVE),
     "j07_asof_nearest": _ASOF,
@@ -139,4 +239,11 @@ ORACLES = {
     "c14_cell_class_with_neighbours": duckdb_sql(f"{_GRID_SQL} SELECT ((r + 524288) << 21) | (c + 1048576) AS key, class FROM cl"),
     "c15_unpaved_share": duckdb_sql(_SHARES),
     "a15_surface_counts": duckdb_sql(f"{_GRID_SQL} SELECT count(*) FILTER (class = 'P') AS paved, count(*) FILTER (class = 'U') AS unpaved, count(*) FILTER (class = 'A') AS ambiguous, count(*) FILTER (class = 'N') AS none, round(count(*) FILTER (class = 'U')::DOUBLE / nullif(count(*) FILTER (class IN ('P', 'U')), 0), 6) AS unpaved_share FROM cl"),
+    "m01_ingest_outcome": _INGEST,
+    "m02_promote_twin": _PROMOTED,
+    "m03_owner_remap": _REMAP,
+    "m05_sport_change": duckdb_sql(f"WITH {ACTIVITIES} SELECT activity_id AS key, 'update' AS kind, sport AS was, 'gravel' AS sport FROM act WHERE sport = 'road' AND n_fixes < 12 AND user_id % 3 = 1"),
+    "m06_guarded_update": duckdb_sql(f"WITH {ACTIVITIES} SELECT activity_id AS key, sport AS was, 'offroad' AS sport FROM act WHERE sport = 'road' AND n_fixes < 12 AND user_id % 3 <> 1 AND user_id % 2 = 0"),
+    "r05_compare_and_set": _CAS,
+    "r06_snapshot_publish": "SELECT user_id, count(*) AS n, 'True,False,True' AS published FROM events GROUP BY user_id",
 }

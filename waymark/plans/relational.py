@@ -76,9 +76,6 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "c18_date_parts": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, CASE month(o_orderdate) WHEN 1 THEN 'janvier' WHEN 2 THEN 'février' WHEN 3 THEN 'mars' WHEN 4 THEN 'avril' WHEN 5 THEN 'mai' WHEN 6 THEN 'juin' WHEN 7 THEN 'juillet' WHEN 8 THEN 'août' WHEN 9 THEN 'septembre' WHEN 10 THEN 'octobre' WHEN 11 THEN 'novembre' ELSE 'décembre' END AS month_name, count(*) AS n FROM {orders} GROUP BY 1, 2, 3",
     "c20_freshness_level": f"{_A} SELECT user_id, CASE WHEN max(started) IS NULL THEN 'unknown' WHEN max(started) >= {_NOW} - INTERVAL '3' DAY THEN 'green' WHEN max(started) >= {_NOW} - INTERVAL '10' DAY THEN 'amber' ELSE 'red' END AS level FROM act GROUP BY user_id",
     "c22_hashes": "SELECT doc_id, [[sha2(text, 256)||sha256(text)]] AS file_hash, md5(text) AS etag FROM {documents}",
-    "m01_ingest_outcome": f"{_A}, {_BUCKETS}, tw AS (SELECT DISTINCT a.activity_id FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id % 10 = b.user_id % 10 AND b.activity_id < a.activity_id AND {_NEAR}) SELECT act.activity_id, CASE WHEN tw.activity_id IS NULL THEN 'created' WHEN act.source = 'manual_upload' THEN 'promoted' ELSE 'already_exists' END AS outcome FROM act LEFT JOIN tw ON act.activity_id = tw.activity_id",
-    "m03_owner_remap": "SELECT coalesce(m.kept, e.user_id) AS user_id, count(*) AS n FROM {events} e LEFT JOIN (SELECT DISTINCT user_id AS old, user_id - 1 AS kept FROM {events} WHERE user_id % 10 = 9) m ON e.user_id = m.old GROUP BY 1",
-    "m05_sport_change": f"{_A} SELECT activity_id, CASE WHEN sport = 'road' AND n_fixes >= 12 THEN 'gravel' ELSE sport END AS sport, sport = 'road' AND n_fixes >= 12 AS changed FROM act",
     "m09_ttl_split": f"SELECT event_id FROM {{events}} WHERE ts < {_NOW} - INTERVAL '20' DAY",
     "m10_reaper": f"SELECT event_id, CASE WHEN ts < {_NOW} - INTERVAL '15' DAY AND event_id % 7 >= 5 THEN 'failed' ELSE event_type END AS status FROM {{events}}",
     "r08_window_dedup": "SELECT user_id, [[CAST(floor(unix_timestamp(ts) / 300) AS BIGINT)||CAST(floor(epoch(ts) / 300) AS BIGINT)]] AS w, count(*) AS n FROM {events} GROUP BY 1, 2",
@@ -100,8 +97,6 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "l02_latest_reversed": "SELECT event_id, ts FROM (SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 40) x ORDER BY ts, event_id",
     "l04_default_sports_newest": f"{_A} SELECT activity_id, activity_date FROM act WHERE sport = 'road' ORDER BY activity_date DESC NULLS LAST, activity_id LIMIT 30",
     "l09_ordered_stages": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate ASC NULLS LAST, l_linenumber) AS position FROM {lineitem}",
-    "m02_promote_twin": f"{_A}, twin AS (SELECT user_id, sport, max(activity_id) AS t FROM act WHERE source = 'manual_upload' GROUP BY user_id, sport) SELECT act.activity_id, coalesce(twin.t, act.activity_id) AS geometry_from FROM act LEFT JOIN twin ON act.user_id = twin.user_id AND act.sport = twin.sport",
-    "m06_guarded_update": f"{_A} SELECT activity_id, CASE WHEN sport = 'gravel' AND user_id % 3 = 0 THEN 'offroad' ELSE sport END AS sport FROM act",
     "m07_deep_copy": "SELECT l_orderkey + 10000000 AS new_key, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'",
     "m11_evidence_purge": f"{_A} SELECT activity_id FROM act WHERE source = 'strava_api' AND EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = act.user_id AND e.event_type = 'error') AND n_fixes < 12",
     "r05_revision_counts": "SELECT user_id, count(DISTINCT [[date_trunc('DAY', ts)||date_trunc('day', ts)]]) AS revision, count(*) AS changes FROM {events} GROUP BY user_id",

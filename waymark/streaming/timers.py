@@ -18,6 +18,7 @@ HOUR_MS = 3_600_000
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
     """What the operators here need of a session, set unless it has been."""
+    spark.streams.active  # the stream manager starts the coordinator of state stores, which tables need too
     key = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(key, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
