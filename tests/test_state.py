@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 
 import pytest
 
@@ -28,6 +29,17 @@ def drain(df, folder, mode="update"):
     return got
 
 
+def poll(df, folder, enough, each=lambda: None):
+    """By the clock a query never ends: there may always be a timer. So until there are enough rows, then stopped."""
+    got = []
+    q = df.writeStream.outputMode("update").foreachBatch(lambda b, k: (got.extend(tuple(r) for r in b.collect()), each())).option("checkpointLocation", str(folder)).trigger(processingTime="0 seconds").start()
+    until = time.time() + 90
+    while len(got) < enough and time.time() < until and q.isActive:
+        time.sleep(0.2)
+    q.stop()
+    return got
+
+
 def arrivals(spark, folder, batches, schema):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
@@ -54,7 +66,7 @@ def test_the_clock_takes_back_too(spark, tmp_path):
     from datetime import datetime as at
 
     stream = arrivals(spark, tmp_path, [[(1, "processing", 1, at(2020, 1, 1))], [(2, "uploaded", 0, at(2020, 1, 1))]], ARCHIVE)
-    assert {r[:3] for r in drain(timers.reclaimed(stream), tmp_path / "c")} == {(1, "requeued", 2)}
+    assert {r[:3] for r in poll(timers.reclaimed(stream), tmp_path / "c", 1)} == {(1, "requeued", 2)}
 
 
 CHANGE = "user_id long, seq long, kind string, rev long, version string, force boolean"
@@ -70,13 +82,8 @@ def test_outrun_builds_are_not_published(spark, tmp_path):
 
 def test_state_expires(spark, tmp_path):
     """With no time to live left, a user's second build of revision 1 is of a new life."""
-    import time
-
-    schema, rows = CHANGE, [[(7, 1, "change", None, None, None), (7, 2, "build", 1, "a", None)], [(7, 3, "change", None, None, None), (7, 4, "build", 1, "b", None)]]
-    stream = arrivals(spark, tmp_path, rows, schema)
-    got = []
-    q = timers.published(stream, ttl_ms=1).writeStream.outputMode("update").foreachBatch(lambda d, k: (got.extend(tuple(r) for r in d.collect()), time.sleep(0.2))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    rows = [[(7, 1, "change", None, None, None), (7, 2, "build", 1, "a", None)], [(7, 3, "change", None, None, None), (7, 4, "build", 1, "b", None)]]
+    got = poll(timers.published(arrivals(spark, tmp_path, rows, CHANGE), ttl_ms=1), tmp_path / "c", 2, each=lambda: time.sleep(0.2))
     assert [(r[1], r[-1]) for r in sorted(got, key=lambda r: r[1])] == [(2, "published"), (4, "published")]
 
 
