@@ -3,10 +3,12 @@
 Texts and benchmark items are reduced to lower-case letters and digits with single blanks. Every q-gram of a text is
 looked up among those of the items; a shared one lies on a diagonal (text position less item position), and hits are
 counted in bands of diagonals, each overlapping its neighbours by half. Two strings of length m within k edits share
-at least m + 1 - q - k * q q-grams in a band as wide as k, so bands that reach this for the least part of the item
-that counts (cover, with the edit budget of that part) are retained, and no match is lost. What is retained is
-verified by banded alignment: at least cover of the item, at most budget edits a character. Hits that are no match as
-a whole, such as a passage with a phrase replaced, are searched for parts that are.
+at least m + 1 - q - k * q q-grams in a band as wide as k. An item's q is as long as makes this positive for every part
+that counts (at least cover of the item, and at least `q` characters, with the edit budget of that part), up to `q`
+itself; bands that reach the least of these bounds are retained, so no match is lost. What is retained is verified by
+banded alignment: at least cover of the item, at most budget edits a character. Hits that are no match as a whole, such
+as a passage with a phrase replaced, are searched for parts that are. Items of fewer than `q` characters, which any text
+may hold by chance, are compared with whole texts.
 
 The index holds one slice of the benchmark, about slice_chars characters of distinct texts; a larger benchmark takes
 several passes, one slice in memory at a time. Long texts are searched in segments that overlap by more than a match can
@@ -72,22 +74,64 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
             power, width = power * power, 2 * width
 
 
+def parts_of(length: int, least: int, cover: float, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths that a match of an item may have, and the edits that each may have."""
+    m = np.arange(max(int(np.ceil(cover * length)), min(length, least)), length + 1)
+    return m, np.floor(budget * m).astype(np.int64)
+
+
+def gram_length(length: int, most: int, cover: float, budget: float) -> int:
+    """The longest q up to most for which the lemma's bound is positive for every match of an item of that length."""
+    m, k = parts_of(length, most, cover, budget)
+    return max(1, min(most, int((m // (k + 1)).min(initial=most))))
+
+
+class Slice:
+    """One slice of the benchmark: an index for each q that its items take, and the items too short for any."""
+
+    def __init__(self, ids: list, items: list[np.ndarray], q: int, cover: float, budget: float):
+        self.ids = ids
+        self.short: dict[bytes, list[int]] = {}
+        by_q: dict[int, list[int]] = {}
+        for i, x in enumerate(items):
+            if len(x) >= q:
+                by_q.setdefault(gram_length(len(x), q, cover, budget), []).append(i)
+            elif len(x):
+                self.short.setdefault(x.tobytes(), []).append(i)
+        self.parts = [(own, Index([ids[i] for i in own], [items[i] for i in own], g, cover, budget, q)) for g, own in sorted(by_q.items())]
+        self.longest = max(map(len, self.short), default=0)
+
+    def search(self, texts: list[str]) -> list[tuple]:
+        """As Index.search, over all items."""
+        forms = [reduced(t) for t in texts]
+        out = []
+        for own, index in self.parts:
+            out += [(m[0], own[m[1]], *m[2:]) for m in index.search(texts, forms)]
+        for t, (points, at) in enumerate(forms if self.short else []):
+            solid = np.flatnonzero(points != 32) if points.nbytes <= self.longest + 8 else []
+            if len(solid):
+                first, last = solid[0], solid[-1]
+                out += [(t, i, int(at[first]), int(at[last]) + 1, 0, int(last - first) + 1, 0, 0) for i in self.short.get(points[first : last + 1].tobytes(), [])]
+        return sorted(out)
+
+
 @dataclass
 class Index:
-    """The q-grams of one slice of the benchmark."""
+    """The q-grams of items."""
 
     ids: list
     items: list[np.ndarray]
     q: int
     cover: float
     budget: float
+    least_chars: int | None = None
 
     def __post_init__(self):
         grams = [gram_hashes(x, self.q) for x in self.items]
         length = np.array([len(x) for x in self.items], np.int64)
-        part = np.ceil(self.cover * length).astype(np.int64)
-        edits = np.floor(self.budget * part).astype(np.int64)
-        self.least, self.need = part, np.maximum(1, part + 1 - self.q - edits * self.q)
+        parts = [parts_of(len(x), self.least_chars or self.q, self.cover, self.budget) for x in self.items]
+        self.least = np.array([m[0] for m, _ in parts], np.int64)
+        self.need = np.array([max(1, int((m + 1 - self.q - k * self.q).min())) for m, k in parts], np.int64)
         self.band = int(max([8, *np.floor(self.budget * length)]))
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         by = np.argsort(h, kind="stable")
@@ -99,10 +143,10 @@ class Index:
         self.reach = 2 * int(max([0, *length])) + self.q  # more than a match and what may prolong it
         self.stride = max(SEGMENT, 4 * self.reach)
 
-    def search(self, texts: list[str]) -> list[tuple]:
+    def search(self, texts: list[str], forms: list | None = None) -> list[tuple]:
         """(text number, item number, start, end, item start, item end, shared q-grams, edits) of verified matches;
         start and end are character offsets in the lower-cased text. A match within another of its item is left out."""
-        forms = [reduced(t) for t in texts]
+        forms = forms or [reduced(t) for t in texts]
         if not self.items or not forms:
             return []
         points = np.concatenate([p for p, _ in forms])
@@ -122,9 +166,18 @@ class Index:
         pos, at, owner = (np.concatenate([x, x[again]]) for x in (pos, at, owner))
         segment = np.concatenate([first, first[again] - 1])
         found: dict[tuple, list] = {}
-        parts = max(1, -(-int(self.times[at].sum()) // HITS))
-        for part in range(parts):
-            self._matches(pos, at, owner, segment, part, parts, points, begin, size, found)
+        order = np.lexsort((pos, segment, owner))
+        pos, at, owner, segment = (x[order] for x in (pos, at, owner, segment))
+        new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(segment) != 0), [True]]) if len(pos) else np.zeros(1, bool)
+        edges, total = np.flatnonzero(new), np.concatenate([[0], np.cumsum(self.times[at], dtype=np.int64)])
+        k = 0
+        while k + 1 < len(edges):  # as many whole segments as have HITS shared q-grams, each worked off once
+            to = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + HITS, "right")) - 1)
+            own = slice(edges[k], edges[to])
+            parts = max(1, -(-int(total[edges[to]] - total[edges[k]]) // HITS))
+            for part in range(parts):  # more than one if a single segment has more
+                self._matches(pos[own], at[own], owner[own], segment[own], part, parts, points, begin, size, found)
+            k = to
         out = []
         for (t, i), rows in found.items():
             last = -1
@@ -136,8 +189,6 @@ class Index:
 
     def _matches(self, pos, at, owner, segment, part, parts, points, begin, size, found) -> None:
         """Adds the matches of those pairs of segment and item that fall to part of parts."""
-        order = np.lexsort((pos, segment, owner))
-        pos, at, owner, segment = (x[order] for x in (pos, at, owner, segment))
         new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(segment) != 0)]) if len(pos) else np.zeros(0, bool)
         room = np.cumsum(new) - 1  # number of the segment
         total = np.cumsum(self.times[at])
@@ -205,7 +256,10 @@ class Index:
         found: list[tuple] = []
         for n, k in sorted(zip(np.diff(cuts).tolist(), cuts[:-1].tolist(), strict=True), key=lambda r: (-r[0], r[1])):
             ia, ib, a, b = int(p[k]), int(p[k]) + n - 1 + q, int(x[k]), int(x[k]) + n - 1 + q
-            if any(ia >= f[0] and ib <= f[1] and a >= f[2] and b <= f[3] for f in found):
+            if any(ia < f[1] and f[0] < ib and a < f[3] and f[2] < b for f in found):
+                continue  # what it would be prolonged to overlaps that match too
+            if n - 1 + q == len(item):
+                found.append((ia, ib, a, b, 0))
                 continue
             on = reaches(item[ib:], text[b : b + len(item) - ib + most], most)
             back = reaches(item[:ia][::-1], text[max(0, a - ia - most) : a][::-1], most)
@@ -286,8 +340,7 @@ def _slices(benchmark: DataFrame, item_col, text_col, q, cover, budget, slice_ch
         for k in range(n):
             rows = once.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).select(F.md5("t") if repeated else "i", "t").collect()
             rows = sorted(((r[0], reduced(r[1])[0]) for r in rows), key=lambda r: (r[0] is None, r[0], len(r[1])))
-            rows = [(i, p) for i, p in rows if len(p) >= q]
-            yield Index([i for i, _ in rows], [p for _, p in rows], q, cover, budget)
+            yield Slice([i for i, _ in rows], [p for _, p in rows], q, cover, budget)
 
     return n, repeated, indexes()
 
@@ -313,7 +366,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     """One row per verified match: id, item id, start and end (characters of the lower-cased text), item_start and
     item_end (of the reduced item), shared_qgrams, edits.
 
-    Null and empty texts on either side match nothing, nor do items of fewer than q characters once reduced; items
+    Null and empty texts on either side match nothing; items of fewer than q characters once reduced match texts that
+    are the item and nothing else, with no q-gram shared; items
     that occur several times in a text, or twice in the benchmark, match each time. Only the named columns are read;
     an empty table gives an empty result."""
     spark = docs.sparkSession
