@@ -45,3 +45,11 @@ def test_generic_names(spark):
     names = ["Gravel du soir", "Sortie VTT", "mountain loop", "Morning", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(kinds.by_name(F.col("n"))).collect()] == ["gravel", "mtb", "mtb", None, None]
+
+
+def test_folding_takes_compatibility_forms_apart(spark):
+    from waymark.functions.text import folded
+
+    said = ["Śłōw Ride Ångström ﬁ", "Ⅳ½²", "Vélo électrique", "", None, "Straße №1"]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, s string")
+    assert [r[0] for r in df.orderBy("k").select(folded("s")).collect()] == ["sowrideangstromfi", "iv122", "veloelectrique", "", None, "straeNo1"]

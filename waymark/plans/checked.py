@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions.text import folded
 from waymark.operators import accounts, changes, intervals, surfaces
 from waymark.plans.dialect import duckdb_sql, spark_query
 from waymark.plans.traces import ACTIVITIES, FIXES
@@ -231,7 +232,11 @@ def r06_snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts, m01_ingest_outcome, m02_promote_twin, m03_owner_remap, m05_sport_change, m06_guarded_update, r05_compare_and_set, r06_snapshot_publish)}
+def c01_norm_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", folded("text").alias("folded"))
+
+
+QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts, m01_ingest_outcome, m02_promote_twin, m03_owner_remap, m05_sport_change, m06_guarded_update, r05_compare_and_set, r06_snapshot_publish, c01_norm_type)}
 ORACLES = {
     "s26_s27_tile_archive": duckdb_sql(_ARCHIVE),
     "j07_asof_nearest": _ASOF,
@@ -246,4 +251,5 @@ ORACLES = {
     "m06_guarded_update": duckdb_sql(f"WITH {ACTIVITIES} SELECT activity_id AS key, sport AS was, 'offroad' AS sport FROM act WHERE sport = 'road' AND n_fixes < 12 AND user_id % 3 <> 1 AND user_id % 2 = 0"),
     "r05_compare_and_set": _CAS,
     "r06_snapshot_publish": "SELECT user_id, count(*) AS n, 'True,False,True' AS published FROM events GROUP BY user_id",
+    "c01_norm_type": "SELECT doc_id, regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g') AS folded FROM documents",
 }

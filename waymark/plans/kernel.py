@@ -1,6 +1,6 @@
 """Trace kernel queries: lattice, directions, runs, densifying, profiles, tiles."""
 
-from .traces import ACTIVITIES, CELL, CELLS, DENSE, FIXES, LEGS, bearing, haversine
+from .traces import ACTIVITIES, CELL, CELLS, DENSE, FILLED, FIXES, LEGS, TILE_XY, bearing, haversine
 
 _PCTL = "(SELECT greatest(1, [[percentile_disc(0.999) WITHIN GROUP (ORDER BY eff)||quantile_disc(eff, 0.999)]]) AS top FROM graded)"
 _RUNS = f"""{LEGS},
@@ -12,9 +12,14 @@ d0 AS (SELECT *, lag(lat) OVER (PARTITION BY activity_id, run ORDER BY point) AS
 dl AS (SELECT * FROM (SELECT activity_id, sport, run * CAST(1000000000 AS BIGINT) + point AS seq, {haversine('lat0', 'lon0', 'lat', 'lon')} AS d, {bearing('lat0', 'lon0', 'lat', 'lon')} AS heading, {CELL('lat0')} AS ilat, {CELL('lon0')} AS ilon FROM d0 WHERE lat0 IS NOT NULL) x WHERE d >= 2)"""
 _FLOW = f"""{_DIR}, rs AS (SELECT sport, ilat, ilon, sum(d * sin(heading)) AS rx, sum(d * cos(heading)) AS ry, sum(d) AS rw, count(DISTINCT activity_id) AS passes FROM dl GROUP BY sport, ilat, ilon),
 fl AS (SELECT dl.activity_id, dl.sport, dl.ilat, dl.ilon, dl.seq, round(sqrt(rx * rx + ry * ry) / rw, 6) AS oneway, passes, rx * sin(heading) + ry * cos(heading) AS along FROM dl JOIN rs ON dl.sport = rs.sport AND dl.ilat = rs.ilat AND dl.ilon = rs.ilon)"""
-_TILE = "CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y"
+_TILE = TILE_XY
 _LEGQ = f"{LEGS}, q AS (SELECT *, sum(d) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM lg)"
 
+#: Traces that go with and against the first leg of each cell.
+FORWARD_BACKWARD = f"""{_DIR}, rf AS (SELECT * FROM (SELECT sport, ilat, ilon, heading AS ref, row_number() OVER (PARTITION BY sport, ilat, ilon ORDER BY activity_id, seq) AS rk FROM dl) r WHERE rk = 1),
+fb AS (SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT CASE WHEN cos(heading - ref) >= CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS forward_count, count(DISTINCT CASE WHEN cos(heading - ref) < CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS backward_count
+FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon)"""
+
 SQL = {
     "community_lattice": f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count, eff, round(least(CAST(1 AS DOUBLE), ln(1 + eff) / ln(1 + top)), 3) AS heat FROM graded CROSS JOIN {_PCTL}",
     "k09_masked_points": f"WITH {DENSE} SELECT activity_id, run, count(*) AS points, round(min(lat), 7) AS south, round(max(lat), 7) AS north, round(min(lon), 7) AS west, round(max(lon), 7) AS east, round(sum(lat + lon), 5) AS total FROM ds GROUP BY activity_id, run",
@@ -30,9 +35,7 @@ pt AS (SELECT activity_id, lat0, lon0, lat, lon, n, [[explode(sequence(1, n))||u
 SELECT activity_id, count(*) AS points, round(sum(lat0 + (lat - lat0) * k / n), 5) AS sum_lat, round(sum(lon0 + (lon - lon0) * k / n), 5) AS sum_lon FROM pt GROUP BY activity_id""",
     "k13_saturating_users": f"WITH {CELLS} SELECT user_count, count(*) AS cells, sum(pass_count) AS passes FROM lattice GROUP BY user_count",
     "k15_direction_resultant": f"WITH {_DIR}, rs AS (SELECT sport, ilat, ilon, round(sum(d * sin(heading)), 3) AS rx, round(sum(d * cos(heading)), 3) AS ry, round(sum(d), 3) AS dir_w, round(sqrt(power(sum(d * sin(heading)), 2) + power(sum(d * cos(heading)), 2)) / sum(d), 3) AS oneway_score FROM dl GROUP BY sport, ilat, ilon) SELECT sport, ilat, ilon, CASE WHEN rx = 0 THEN CAST(0 AS DOUBLE) ELSE rx END AS dir_x, CASE WHEN ry = 0 THEN CAST(0 AS DOUBLE) ELSE ry END AS dir_y, dir_w, oneway_score FROM rs",
-    "k17_forward_backward": f"""WITH {_DIR}, rf AS (SELECT * FROM (SELECT sport, ilat, ilon, heading AS ref, row_number() OVER (PARTITION BY sport, ilat, ilon ORDER BY activity_id, seq) AS rk FROM dl) r WHERE rk = 1)
-SELECT dl.sport, dl.ilat, dl.ilon, count(DISTINCT CASE WHEN cos(heading - ref) >= CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS forward_count, count(DISTINCT CASE WHEN cos(heading - ref) < CAST(-0.000001 AS DOUBLE) THEN activity_id END) AS backward_count
-FROM dl JOIN rf ON dl.sport = rf.sport AND dl.ilat = rf.ilat AND dl.ilon = rf.ilon GROUP BY dl.sport, dl.ilat, dl.ilon""",
+    "k17_forward_backward": f"WITH {FORWARD_BACKWARD} SELECT sport, ilat, ilon, forward_count, backward_count FROM fb",
     "k21_anonymity_gate": f"""WITH {CELLS}, pp AS (SELECT ds.activity_id, ds.run, ds.point, CASE WHEN l.user_count >= 2 THEN 1 ELSE 0 END AS ok FROM ds JOIN lattice l ON ds.sport = l.sport AND {CELL('lat')} = l.ilat AND {CELL('lon')} = l.ilon),
 ch AS (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY activity_id, run ORDER BY point) THEN 0 ELSE 1 END AS cut FROM pp),
 isl AS (SELECT *, sum(cut) OVER (PARTITION BY activity_id, run ORDER BY point ROWS UNBOUNDED PRECEDING) AS island FROM ch)
@@ -45,9 +48,10 @@ SELECT activity_id, seq, [[element_at(v, CAST(floor((size(v) - 1) / 2) AS INT) +
     "k34_scoped_lattice": f"WITH {CELLS} SELECT sport, ilat, ilon, pass_count, user_count FROM lattice WHERE user_count >= 3 AND sport = 'gravel' AND ilat BETWEEN 436000 AND 436200",
     "k39_tile_cells": f"WITH {FIXES} SELECT DISTINCT activity_id, user_id, {_TILE} FROM fx",
     "k40_tile_bounds": f"WITH {FIXES}, t AS (SELECT DISTINCT {_TILE} FROM fx) SELECT x, y, round(CAST(x AS DOUBLE) / 16384 * 360 - 180, 6) AS west, round(degrees(atan((exp(pi() * (1 - 2 * CAST(y AS DOUBLE) / 16384)) - exp(-pi() * (1 - 2 * CAST(y AS DOUBLE) / 16384))) / 2)), 6) AS north FROM t",
-    "k41_elevation_profile": f"""WITH {_LEGQ}, sm AS (SELECT *, CASE WHEN lag(ele) OVER w IS NULL OR lead(ele) OVER w IS NULL THEN ele ELSE (lag(ele) OVER w + ele + lead(ele) OVER w) / 3 END AS smooth FROM q WINDOW w AS (PARTITION BY activity_id ORDER BY seq)),
+    "k41_elevation_profile": f"""WITH {_LEGQ}, g AS (SELECT activity_id, seq, cum, d, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE ele END AS e FROM q), {FILLED},
+sm AS (SELECT *, CASE WHEN lag(filled) OVER w IS NULL OR lead(filled) OVER w IS NULL THEN filled ELSE (lag(filled) OVER w + filled + lead(filled) OVER w) / 3 END AS smooth FROM fl WINDOW w AS (PARTITION BY activity_id ORDER BY seq)),
 df AS (SELECT *, smooth - lag(smooth) OVER (PARTITION BY activity_id ORDER BY seq) AS de FROM sm)
-SELECT activity_id, round(max(cum), 3) AS length_m, round(min(smooth), 6) AS low, round(max(smooth), 6) AS high, round(coalesce(sum(CASE WHEN de >= CAST(1.5 AS DOUBLE) THEN de END), 0), 6) AS gain, round(coalesce(sum(CASE WHEN de <= CAST(-1.5 AS DOUBLE) THEN -de END), 0), 6) AS loss FROM df GROUP BY activity_id""",
+SELECT activity_id, round(max(cum), 3) AS length_m, round(min(smooth), 6) AS low, round(max(smooth), 6) AS high, round(coalesce(sum(CASE WHEN de >= CAST(1.5 AS DOUBLE) THEN de END), 0), 6) AS gain, round(coalesce(sum(CASE WHEN de <= CAST(-1.5 AS DOUBLE) THEN -de END), 0), 6) AS loss, round(coalesce(max(CASE WHEN d > 0 THEN de / d * 100 END), 0), 5) AS steepest_up, round(coalesce(min(CASE WHEN d > 0 THEN de / d * 100 END), 0), 5) AS steepest_down FROM df GROUP BY activity_id""",
     "k42_nearest_by_distance": f"WITH {_LEGQ} SELECT activity_id, seq FROM (SELECT activity_id, seq, row_number() OVER (PARTITION BY activity_id ORDER BY abs(round(cum, 3) - 200), seq) AS rk FROM q) r WHERE rk = 1",
     "k43_distance_markers": f"""WITH {_LEGQ}, mk AS (SELECT activity_id, seq, cum, d, lat0, lon0, lat, lon, [[explode(sequence(CAST(ceil((cum - d) / 100) AS INT), CAST(floor(cum / 100) AS INT)))||unnest(range(CAST(ceil((cum - d) / 100) AS INT), CAST(floor(cum / 100) AS INT) + 1))]] AS m FROM q WHERE d > 0 AND floor(cum / 100) >= ceil((cum - d) / 100))
 SELECT activity_id, m * 100 AS metres, round(lat0 + (lat - lat0) * (m * 100 - (cum - d)) / d, 6) AS lat, round(lon0 + (lon - lon0) * (m * 100 - (cum - d)) / d, 6) AS lon FROM mk WHERE m > 0""",

@@ -1,6 +1,6 @@
 """Relational analytics: rollups, joins, ordered passes, top-N, sets and conditional updates over activities."""
 
-from .traces import ACTIVITIES, CELL, CELLS, FIXES, LEGS
+from .traces import ACTIVITIES, CELL, CELLS, FILLED, FIXES, LEGS, TILE_XY
 
 _A = f"WITH {ACTIVITIES}"
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -33,7 +33,8 @@ t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb
     "j08_exists_sibling": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM act b WHERE b.user_id = a.user_id AND b.activity_id <> a.activity_id AND b.sport = 'mtb')",
     "j09_two_exists": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts BETWEEN a.started AND a.ended) UNION SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'error' AND e.ts BETWEEN a.started AND a.ended)",
     "j10_stale_contributors": f"{_A} SELECT user_id, max(started) AS latest FROM act WHERE contribute GROUP BY user_id HAVING max(started) < {_NOW} - INTERVAL '4' DAY",
-    "j12_without_current_consent": f"{_A} SELECT DISTINCT a.user_id FROM act a WHERE NOT EXISTS (SELECT 1 FROM act b WHERE b.user_id = a.user_id AND b.sport = 'road' AND b.n_fixes >= 12)",
+    "j12_without_current_consent": """WITH cs AS (SELECT DISTINCT user_id, concat('v', event_id % 7) AS version FROM {events} WHERE event_id % 5 = 0)
+SELECT user_id, [[listagg(version, ',') WITHIN GROUP (ORDER BY version)||string_agg(version, ',' ORDER BY version)]] AS prior_versions FROM cs GROUP BY user_id HAVING NOT bool_or(version = 'v5')""",
     "j13_hash_difference": "SELECT DISTINCT md5(l_shipmode) AS h FROM (SELECT l_returnflag AS l_shipmode FROM {lineitem} UNION ALL SELECT l_linestatus FROM {lineitem}) x EXCEPT SELECT DISTINCT md5(o_orderstatus) FROM {orders}",
     "j14_trip_totals": "SELECT o_custkey, count(*) AS stages, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT)) AS total_e4 FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_returnflag <> 'R' GROUP BY o_custkey",
     "j15_masked_items": "SELECT o_custkey, o_orderkey, CASE WHEN c_nationkey % 2 = 0 THEN c_name END AS shown, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey",
@@ -43,11 +44,34 @@ t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb
 SELECT a AS ilat, b AS ilon, count(*) - 1 AS neighbours, sum(o.p) AS passes_around FROM n2 JOIN o ON n2.ilat = o.ilat AND n2.ilon = o.ilon GROUP BY a, b""",
     "j24_first_seen_wins": "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rk FROM {lineitem}) x WHERE rk = 1",
     "j25_account_pairing": f"""{_A}, {_BUCKETS}, hit AS (SELECT a.user_id AS x, b.user_id AS y, count(*) AS n FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id % 3 = 0 AND b.user_id % 3 <> 0 AND {_NEAR} GROUP BY a.user_id, b.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rk, lead(n) OVER (PARTITION BY x ORDER BY n DESC, y) AS second FROM hit) SELECT x, y, n, coalesce(second, 0) < CAST(0.8 AS DOUBLE) * n AS resolved FROM r WHERE rk = 1""",
-    "a01_sport_stats": f"WITH {LEGS} SELECT coalesce(sport, 'all') AS sport, count(DISTINCT activity_id) AS activities, round(sum(d), 2) AS metres, round(sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END), 2) AS climb FROM lg GROUP BY ROLLUP (sport)",
+    "a01_sport_stats": f"""WITH {LEGS}, us AS (SELECT DISTINCT user_id FROM lg), us5 AS (SELECT user_id, [[explode(array('road', 'gravel', 'mtb', 'offroad', 'running', 'total'))||unnest(['road', 'gravel', 'mtb', 'offroad', 'running', 'total'])]] AS sport FROM us),
+tc AS (SELECT DISTINCT user_id, sport, {TILE_XY} FROM lg),
+st AS (SELECT user_id, sport, count(DISTINCT activity_id) AS n, sum(d) AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up FROM lg GROUP BY user_id, sport UNION ALL SELECT user_id, 'total', count(DISTINCT activity_id), sum(d), sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) FROM lg GROUP BY user_id),
+ce AS (SELECT user_id, sport, count(*) AS cells FROM tc GROUP BY user_id, sport UNION ALL SELECT user_id, 'total', count(*) FROM (SELECT DISTINCT user_id, x, y FROM tc) t GROUP BY user_id)
+SELECT us5.user_id, us5.sport, coalesce(n, 0) AS activities, round(coalesce(m, 0), 2) AS metres, round(coalesce(up, 0), 2) AS climb, coalesce(cells, 0) AS cells FROM us5 LEFT JOIN st ON st.user_id = us5.user_id AND st.sport = us5.sport LEFT JOIN ce ON ce.user_id = us5.user_id AND ce.sport = us5.sport""",
     "a02_summed_cells": f"WITH {CELLS} SELECT user_id, count(*) AS summed, count(DISTINCT ilat * 100000000 + ilon) AS distinct_cells FROM (SELECT DISTINCT user_id, sport, ilat, ilon FROM cells) x GROUP BY user_id",
-    "a03_personal_bests": "SELECT o_custkey, best_year, longest FROM (SELECT o_custkey, year(o_orderdate) AS best_year, max(o_totalprice) AS longest, row_number() OVER (PARTITION BY o_custkey ORDER BY sum(o_totalprice) DESC, year(o_orderdate)) AS rk FROM {orders} GROUP BY o_custkey, year(o_orderdate)) x WHERE rk = 1",
-    "a04_dashboard": f"{_A} SELECT count(*) AS total, count(DISTINCT user_id) AS users, sum(CASE WHEN started >= {_NOW} - INTERVAL '7' DAY THEN 1 ELSE 0 END) AS week, sum(CASE WHEN source = 'strava_api' THEN 1 ELSE 0 END) AS synced FROM act",
-    "a05_user_rollup": f"{_A} SELECT user_id, count(*) AS n, sum(CASE WHEN sport = 'road' THEN 1 ELSE 0 END) AS road, sum(CASE WHEN sport = 'gravel' THEN 1 ELSE 0 END) AS gravel, min(started) AS first_at, max(started) AS last_at FROM act GROUP BY user_id",
+    "a03_personal_bests": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, CASE WHEN activity_id % 13 = 0 THEN NULL ELSE min(ts) END AS began, round(sum(d), 1) AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up, [[unix_timestamp(max(ts)) - unix_timestamp(min(ts))||CAST(epoch(max(ts)) AS BIGINT) - CAST(epoch(min(ts)) AS BIGINT)]] AS s FROM lg GROUP BY activity_id, user_id, sport),
+pd AS (SELECT user_id, 'best_year' AS category, year(began) * 100 AS ym, round(sum(m) / 1000, 1) AS v FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began) UNION ALL SELECT user_id, 'best_month', year(began) * 100 + month(began), round(sum(m) / 1000, 1) FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began), month(began)),
+rc AS (SELECT user_id, category, 'all' AS sport, v, CAST(ym AS BIGINT) AS what FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY v DESC, ym) AS rk FROM pd) x WHERE rk = 1
+UNION ALL SELECT user_id, 'longest', sport, round(m / 1000, 1), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m DESC, activity_id) AS rk FROM ac WHERE m > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'most_elevation', sport, round(up, 1), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY up DESC, activity_id) AS rk FROM ac WHERE up > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'fastest', sport, round(m / s * CAST(3.6 AS DOUBLE), 4), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m / s DESC, activity_id) AS rk FROM ac WHERE m > 0 AND s > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'total', 'all', round(sum(m) / 1000, 1), count(*) FROM ac GROUP BY user_id)
+SELECT user_id, category, sport, CAST(v AS DOUBLE) AS value, what FROM rc""",
+    "a04_dashboard": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, min(ts) AS began, sum(d) AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up, CASE WHEN user_id % 6 = 0 THEN 'strava' WHEN user_id % 7 = 0 THEN NULL ELSE 'file' END AS provider FROM lg GROUP BY activity_id, user_id, sport), us AS (SELECT user_id, min(ts) AS joined FROM lg GROUP BY user_id),
+ro AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'private' WHEN 'O' THEN 'public' ELSE 'unlisted' END AS visibility FROM {{orders}})
+SELECT 'users' AS section, 'total' AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS metres FROM us
+UNION ALL SELECT 'users', 'signups_7d', count(*), NULL FROM us WHERE joined >= {_NOW} - INTERVAL '7' DAY UNION ALL SELECT 'users', 'signups_30d', count(*), NULL FROM us WHERE joined >= {_NOW} - INTERVAL '30' DAY
+UNION ALL SELECT 'users', 'active_7d', count(DISTINCT user_id), NULL FROM ac WHERE began >= {_NOW} - INTERVAL '7' DAY UNION ALL SELECT 'users', 'active_30d', count(DISTINCT user_id), NULL FROM ac WHERE began >= {_NOW} - INTERVAL '30' DAY
+UNION ALL SELECT 'activities', 'total', count(*), round(sum(m), 1) FROM ac UNION ALL SELECT 'activities', 'climb', count(*), round(sum(up), 1) FROM ac
+UNION ALL SELECT 'by_provider', coalesce(provider, 'unknown'), count(*), NULL FROM ac GROUP BY 2 UNION ALL SELECT 'by_sport', coalesce(sport, 'unknown'), count(*), round(sum(m), 1) FROM ac GROUP BY 2
+UNION ALL SELECT 'routes', visibility, count(*), NULL FROM ro GROUP BY 2 UNION ALL SELECT 'routes', 'total', count(*), NULL FROM ro""",
+    "a05_user_rollup": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, CASE WHEN activity_id % 13 = 0 THEN NULL ELSE min(ts) END AS began, round(sum(d), 1) AS m, CASE WHEN activity_id % 3 = 0 THEN 'strava' WHEN activity_id % 7 = 0 THEN NULL ELSE 'file' END AS provider FROM lg GROUP BY activity_id, user_id, sport),
+sp AS (SELECT user_id, sport, count(*) AS n, sum(m) AS m, min(began) AS a, max(began) AS z FROM ac GROUP BY user_id, sport),
+pr AS (SELECT user_id, coalesce(provider, 'unknown') AS provider, count(*) AS n FROM ac GROUP BY 1, 2),
+s2 AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round(sum(m), 1) AS metres, min(a) AS first_at, max(z) AS last_at, [[listagg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';') WITHIN GROUP (ORDER BY sport)||string_agg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';' ORDER BY sport)]] AS by_sport FROM sp GROUP BY user_id),
+p2 AS (SELECT user_id, [[listagg(concat(provider, '=', n), ';') WITHIN GROUP (ORDER BY provider)||string_agg(concat(provider, '=', n), ';' ORDER BY provider)]] AS by_provider FROM pr GROUP BY user_id)
+SELECT s2.user_id, n, metres, first_at, last_at, by_sport, by_provider FROM s2 JOIN p2 ON p2.user_id = s2.user_id""",
     "a06_status_zero_filled": "SELECT s.status, count(o_orderkey) AS n FROM (SELECT 'F' AS status UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') s LEFT JOIN {orders} ON o_orderstatus = s.status GROUP BY s.status",
     "a07_community_stats": f"WITH {LEGS} SELECT count(DISTINCT user_id) AS contributors, count(DISTINCT activity_id) AS traces, round(sum(d) / 1000, 3) AS km FROM lg WHERE user_id % 6 <> 0 AND user_id % 11 <> 0",
     "a09_freshness": f"{_A} SELECT max(started) AS newest, max(activity_date) AS newest_dated FROM act",
@@ -61,7 +85,7 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "w01_latest_per_key": f"{_A} SELECT user_id, sport, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY activity_date DESC NULLS LAST, activity_id DESC) AS rk FROM act) x WHERE rk = 1",
     "w03_cumulative_distance": f"WITH {LEGS} SELECT activity_id, seq, round(sum(d) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS cum FROM lg",
     "w04_rolling_median": f"WITH {FIXES} SELECT activity_id, seq, [[percentile(ele, 0.5)||quantile_cont(ele, 0.5)]] OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS median_ele FROM fx",
-    "w09_fill_missing": f"WITH {FIXES}, g AS (SELECT activity_id, seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ele END AS e FROM fx) SELECT activity_id, seq, coalesce(e, [[last(e, true)||last_value(e IGNORE NULLS)]] OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING), [[first(e, true)||first_value(e IGNORE NULLS)]] OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ele FROM g",
+    "w09_fill_missing": f"""WITH {FIXES}, g AS (SELECT activity_id, seq, CASE WHEN event_id % 3 = 0 OR event_id % 7 < 3 THEN NULL WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE ele END AS e FROM fx), {FILLED} SELECT activity_id, seq, round(filled, 6) AS ele FROM fl""",
     "w10_running_min": f"WITH {FIXES} SELECT activity_id, seq, min(ele) OVER (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS low_so_far FROM fx",
     "l01_recent_then_ascending": f"{_A} SELECT * FROM (SELECT activity_id, activity_date FROM act ORDER BY activity_date DESC NULLS LAST, activity_id DESC LIMIT 50) x ORDER BY activity_date ASC NULLS FIRST, activity_id",
     "l05_nulls_last_sort": f"{_A} SELECT activity_id, activity_date FROM act ORDER BY activity_date DESC NULLS LAST, activity_id LIMIT 100",
@@ -70,8 +94,7 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "l11_first_four": f"WITH {FIXES} SELECT activity_id, seq, event_id FROM fx WHERE seq <= 4",
     "u01_owner_union": "SELECT o_custkey AS owner FROM {orders} WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'O'",
     "u02_first_method_wins": "SELECT k, method FROM (SELECT k, method, row_number() OVER (PARTITION BY k ORDER BY method) AS rk FROM (SELECT l_partkey AS k, 1 AS method FROM {lineitem} WHERE l_quantity > 45 UNION ALL SELECT l_partkey, 2 FROM {lineitem} WHERE l_discount > 0.05) x) y WHERE rk = 1",
-    "c01_norm_type": "SELECT doc_id, [[regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '')||regexp_replace(translate(lower(text), 'àâäéèêëîïôöùûüçñáíóú', 'aaaeeeeiioouuucnaiou'), '[^a-z0-9]', '', 'g')]] AS folded FROM {documents}",
-    "c03_name_refinement": "SELECT doc_id, CASE WHEN lower(text) LIKE '%gravel%' THEN 'gravel' WHEN lower(text) LIKE '%mtb%' OR lower(text) LIKE '%mountain%' THEN 'mtb' ELSE 'road' END AS sport FROM {documents}",
+    "c03_name_refinement": "SELECT doc_id, kind, CASE WHEN kind <> 'road' THEN kind WHEN lower(text) LIKE '%gravel%' THEN 'gravel' WHEN lower(text) LIKE '%vtt%' OR lower(text) LIKE '%mtb%' OR lower(text) LIKE '%mountain%' THEN 'mtb' ELSE kind END AS sport FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'running' ELSE 'road' END AS kind, CASE doc_id % 5 WHEN 0 THEN concat('Sortie VTT ', text) WHEN 1 THEN concat('GRAVEL ', text) WHEN 2 THEN concat('Mountain bike ', text) ELSE text END AS text FROM {documents}) x",
     "c04_sport_cascade": f"{_A} SELECT activity_id, CASE WHEN a = 'road' AND b IN ('gravel', 'mtb') THEN b ELSE coalesce(a, b, 'unknown') END AS sport FROM (SELECT activity_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'road' END AS a, CASE WHEN user_id % 2 = 0 THEN sport END AS b FROM act) x",
     "c18_date_parts": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, CASE month(o_orderdate) WHEN 1 THEN 'janvier' WHEN 2 THEN 'février' WHEN 3 THEN 'mars' WHEN 4 THEN 'avril' WHEN 5 THEN 'mai' WHEN 6 THEN 'juin' WHEN 7 THEN 'juillet' WHEN 8 THEN 'août' WHEN 9 THEN 'septembre' WHEN 10 THEN 'octobre' WHEN 11 THEN 'novembre' ELSE 'décembre' END AS month_name, count(*) AS n FROM {orders} GROUP BY 1, 2, 3",
     "c20_freshness_level": f"{_A} SELECT user_id, CASE WHEN max(started) IS NULL THEN 'unknown' WHEN max(started) >= {_NOW} - INTERVAL '3' DAY THEN 'green' WHEN max(started) >= {_NOW} - INTERVAL '10' DAY THEN 'amber' ELSE 'red' END AS level FROM act GROUP BY user_id",
@@ -88,7 +111,10 @@ SELECT user_id, sum(n) AS n, md5([[listagg(digest, ',') WITHIN GROUP (ORDER BY b
     "a23_trip_days": "SELECT o_custkey, max(month(o_orderdate)) + 1 AS days FROM {orders} GROUP BY o_custkey",
     "a24_unread_count": "SELECT user_id, count(*) FILTER (WHERE event_id % 3 = 0) AS unread FROM {events} GROUP BY user_id",
     "c05_default_flag": f"{_A} SELECT activity_id, sport = 'road' AND user_id % 2 = 0 AND n_fixes < 12 AS sport_is_default FROM act",
-    "c17_safe_names": "SELECT doc_id, [[substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_'), 1, 100)||substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 100)]] AS file_name FROM {documents}",
+    "c17_safe_names": f"""WITH n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(text, '.gpx') WHEN 1 THEN concat('../', text, '.tar.much-too-long-an-ending') WHEN 2 THEN concat('._', substr(text, 1, 20), '..', doc_id, '_.') ELSE '...' END AS name FROM {{documents}}),
+c AS (SELECT doc_id, replace([[trim(BOTH '._' FROM regexp_replace(coalesce(name, ''), '[^A-Za-z0-9._-]+', '_'))||trim(regexp_replace(coalesce(name, ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._')]], '..', '_') AS c FROM n),
+e AS (SELECT *, CASE WHEN c LIKE '%.%' THEN [[substring_index(c, '.', -1)||split_part(c, '.', -1)]] ELSE '' END AS ext FROM c)
+SELECT doc_id, CASE WHEN c = '' THEN 'upload.bin' WHEN length(c) <= 100 THEN c WHEN length(ext) BETWEEN 1 AND 10 AND length(c) > length(ext) + 1 THEN concat(substr(substr(c, 1, length(c) - length(ext) - 1), 1, 99 - length(ext)), '.', ext) ELSE substr(c, 1, 100) END AS file_name FROM e""",
     "j11_bool_or_having": "SELECT c_custkey, count(*) AS n FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey HAVING bool_or(o_orderstatus = 'P')",
     "j16_version_fallback": "SELECT o_orderkey, coalesce(max(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), max(l_extendedprice), o_totalprice) AS shown FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice",
     "j22_natural_key_merge": "SELECT coalesce(old.n_name, new.name) AS name, coalesce(new.sport, old.sport) AS sport, coalesce(new.v, old.n_nationkey) AS v, CASE WHEN old.n_name IS NULL THEN 'insert' WHEN new.name IS NULL THEN 'keep' ELSE 'update' END AS outcome FROM (SELECT n_name, n_nationkey, n_regionkey % 2 AS sport FROM {nation}) old FULL OUTER JOIN (SELECT n_name AS name, n_regionkey % 2 AS sport, n_nationkey * 10 AS v FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_name, 1 - n_regionkey % 2, -1 FROM {nation} WHERE n_nationkey % 5 = 0 UNION ALL SELECT r_name, 0, r_regionkey FROM {region}) new ON old.n_name = new.name AND old.sport = new.sport",

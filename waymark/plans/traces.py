@@ -88,3 +88,12 @@ CELLS = f"""{DENSE},
 cells AS (SELECT DISTINCT sport, activity_id, user_id, {CELL('lat')} AS ilat, {CELL('lon')} AS ilon FROM ds),
 lattice AS (SELECT sport, ilat, ilon, count(*) AS pass_count, least(64, count(DISTINCT user_id)) AS user_count FROM cells GROUP BY sport, ilat, ilon),
 graded AS (SELECT *, least(pass_count, user_count * 5) AS eff FROM lattice)"""
+
+#: e of g (activity_id, seq) filled along each trace: straight between known values, level beyond the ends, 0 if there
+#: are none. A missing height is null or 0.
+FILLED = """gk AS (SELECT *, CASE WHEN e <> 0 THEN e END AS known, CASE WHEN e <> 0 THEN seq END AS known_seq FROM g),
+gn AS (SELECT *, [[last(known, true)||last_value(known IGNORE NULLS)]] OVER up AS lo, [[last(known_seq, true)||last_value(known_seq IGNORE NULLS)]] OVER up AS lo_at, [[last(known, true)||last_value(known IGNORE NULLS)]] OVER down AS hi, [[last(known_seq, true)||last_value(known_seq IGNORE NULLS)]] OVER down AS hi_at
+  FROM gk WINDOW up AS (PARTITION BY activity_id ORDER BY seq ROWS UNBOUNDED PRECEDING), down AS (PARTITION BY activity_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)),
+fl AS (SELECT *, coalesce(known, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo + CAST(seq - lo_at AS DOUBLE) / (hi_at - lo_at) * (hi - lo) END, lo, hi, CAST(0 AS DOUBLE)) AS filled FROM gn)"""
+#: The map tile of a position at zoom 14.
+TILE_XY = "CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y"

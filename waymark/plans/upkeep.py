@@ -1,7 +1,7 @@
 """Surfaces, display helpers, visibility rules and guarded updates over activities and the order tables."""
 
-from .kernel import _LEGQ, _RUNS
-from .traces import ACTIVITIES, CELLS, FIXES, LEGS
+from .kernel import _LEGQ, _RUNS, FORWARD_BACKWARD
+from .traces import ACTIVITIES, CELLS, DENSE, FIXES, LEGS
 
 _A = f"WITH {ACTIVITIES}"
 #: The surface grid's own plane: metres a degree, and a step of five metres.
@@ -20,10 +20,12 @@ _ZOOMS = "[[explode(sequence(0, 22))||unnest(range(0, 23))]] AS z"
 
 SQL = {
     "c13_surface_cells": f"WITH {_STEPS} SELECT activity_id, count(*) AS cells, min(klat) AS south, max(klon) AS east FROM su GROUP BY activity_id",
-    "k31_zoom_levels": f"""WITH z0 AS (SELECT {_ZOOMS}), rd AS (SELECT z, CAST({_RAMP} AS DOUBLE) AS px FROM z0),
+    "k31_zoom_levels": f"""WITH {DENSE}, z0 AS (SELECT {_ZOOMS}), rd AS (SELECT z, CAST({_RAMP} AS DOUBLE) AS px FROM z0),
 mt AS (SELECT z, px, px * CAST(40075016.686 AS DOUBLE) * cos(radians(CAST(43.6 AS DOUBLE))) / (512 * power(2, z)) AS metres FROM rd),
-lv AS (SELECT z, px, metres, CASE WHEN metres * CAST(0.75 AS DOUBLE) > 23 THEN greatest(0, CAST(floor(ln(metres * CAST(0.75 AS DOUBLE) / 23) / ln(CAST(2 AS DOUBLE))) AS INT)) ELSE 0 END AS raw FROM mt)
-SELECT z, round(px, 6) AS radius_px, round(metres, 4) AS radius_m, min(raw) OVER (ORDER BY z ROWS UNBOUNDED PRECEDING) AS level FROM lv""",
+lv AS (SELECT z, px, metres, CASE WHEN metres * CAST(0.75 AS DOUBLE) > 23 THEN greatest(0, CAST(floor(ln(metres * CAST(0.75 AS DOUBLE) / 23) / ln(CAST(2 AS DOUBLE))) AS INT)) ELSE 0 END AS raw FROM mt),
+le AS (SELECT z, px, metres, min(raw) OVER (ORDER BY z ROWS UNBOUNDED PRECEDING) AS level FROM lv),
+ev2 AS (SELECT CASE WHEN point = 0 THEN 40 ELSE CAST(round(ln(CAST([[point & -point||point & -point]] AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) AS INT) END AS twos, count(*) AS n FROM ds GROUP BY 1)
+SELECT z, round(px, 6) AS radius_px, round(metres, 4) AS radius_m, level, CAST(coalesce(sum(CASE WHEN twos >= level THEN n END), 0) AS BIGINT) AS points FROM le LEFT JOIN ev2 ON twos >= level GROUP BY z, px, metres, level""",
     "k35_display_parts": f"WITH {_RUNS}, p AS (SELECT activity_id, run_id, count(*) AS n FROM rn GROUP BY activity_id, run_id) SELECT activity_id, sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS parts, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS points FROM p GROUP BY activity_id",
     "k44_segment_projection": f"""WITH {FIXES}, s AS (SELECT event_id, (lon - lag(lon) OVER w) * 78000 AS px, (lat - lag(lat) OVER w) * 111000 AS py, (lead(lon) OVER w - lag(lon) OVER w) * 78000 AS dx, (lead(lat) OVER w - lag(lat) OVER w) * 111000 AS dy FROM fx WINDOW w AS (PARTITION BY activity_id ORDER BY seq)),
 t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (px * dx + py * dy) / (dx * dx + dy * dy))) END AS along FROM s WHERE dx IS NOT NULL)
@@ -41,8 +43,7 @@ SELECT a.user_id, row_number() OVER (PARTITION BY a.user_id ORDER BY coalesce(ac
     "f11_map_feed": f"{_A} SELECT activity_id, user_id FROM act WHERE user_id = 8 AND n_fixes > 0 AND sport IN ('mtb', 'gravel', 'offroad')",
     "f18_live_and_expired": "SELECT sum(CASE WHEN l_shipdate IS NULL THEN 1 ELSE 0 END) AS live, sum(CASE WHEN l_shipdate < TIMESTAMP '1996-01-01 00:00:00' THEN 1 ELSE 0 END) AS expired FROM {lineitem}",
     "f19_visible_to_owner": "SELECT o.o_orderkey, l.l_linenumber FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND (l.l_returnflag <> 'R' OR l.l_suppkey % 10 = o.o_custkey % 10)",
-    "f20_direction_arrows": f"""WITH {LEGS}, h AS (SELECT sport, CAST(floor(lat0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilat, CAST(floor(lon0 / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS ilon, count(DISTINCT CASE WHEN lat >= lat0 THEN activity_id END) AS fwd, count(DISTINCT CASE WHEN lat < lat0 THEN activity_id END) AS bwd FROM lg WHERE lat0 IS NOT NULL AND sport IN ('mtb', 'gravel') GROUP BY 1, 2, 3)
-SELECT sport, ilat, ilon, fwd, bwd FROM h WHERE fwd + bwd >= 3 AND abs(fwd - bwd) >= CAST(0.8 AS DOUBLE) * (fwd + bwd)""",
+    "f20_direction_arrows": f"WITH {FORWARD_BACKWARD} SELECT sport, ilat, ilon, forward_count, backward_count FROM fb WHERE sport IN ('mtb', 'gravel') AND forward_count + backward_count >= 3 AND abs(forward_count - backward_count) >= CAST(0.8 AS DOUBLE) * (forward_count + backward_count)",
     "j21_token_to_version": "SELECT o_orderkey, c_custkey, max(l_linenumber) AS version FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey LEFT JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_custkey",
     "l03_recent_five": "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 5",
     "l07_preferred_copy": f"{_A} SELECT user_id, sport, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY CASE WHEN source = 'manual_upload' THEN 0 ELSE 1 END, started, activity_id) AS rk FROM act) x WHERE rk = 1",
