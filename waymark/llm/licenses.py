@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup.
 
-A text is brought to a canonical form: lower case, without copyright and all-rights-reserved lines, equivalent
-spellings made one, everything but letters and digits a single blank. The MD5 of the whole form, and of the form of
+A text is brought to a canonical form: lower case, without copyright lines (and the holder's line under one that names
+nobody) and "all rights reserved", wherever it is wrapped, equivalent spellings made one, everything but letters and
+digits a single blank. The MD5 of the whole form, and of the form of
 each line, is looked up among the digests of known licence texts and notices by a hash join. SQL functions only.
 
 Known as whole texts: MIT, MIT-0, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib and Unlicense, and by digest Apache-2.0, GPL-1.0,
@@ -19,9 +20,18 @@ from pyspark.sql import functions as F
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [("sub-licens", "sublicens"), ("licence", "license"), ("non-commercial", "noncommercial"), ("http://", "https://"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"), ("per cent", "percent"), ("merchantibility", "merchantability"), ("wilful", "willful"), ("&", " and ")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line is a copyright line if it opens with the word and a sign or year, or with the sign alone.
-COPYRIGHT = r"^[ \t*#/;>-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|[<\[][^\n]*)|\(c\)[ \t]*(copyright|[0-9]{4}|by[ \t])|©)[^\n]*"
+#: Words with which terms go on after "copyright" where they are wrapped before it.
+TERMS = "holders?|notices?|and|laws?|disclaimer|owners?|ownership|interests?|on|permission|resulting|licen[sc]es?|treat(?:y|ies)|are|if|is|doctrines|statements?|or|of|in|the[ \t]+(?:software|library|program|works?)"
+HELD = r"^([ \t*#/;>-]*)copyright([ \t:]+(?:" + TERMS + r")\b)"
+#: A line is a copyright line if it opens with the word and a sign or year, or with the sign alone, or with the word and
+#: up to a dozen others that are none of those terms.
+COPYRIGHT = r"^[ \t*#/;>-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4}|[<\[])[^\n]*|(\(c\)[ \t]*(copyright|[0-9]{4}|by[ \t])|©)[^\n]*|copyright[ \t:]+([^ \t\n]+[ \t]+){0,11}[^ \t\n]+[ \t]*$)"
+#: A copyright line that names nobody, and a line of up to six words.
+BARE = r"^[ \t*#/;>-]*((copyright[ \t:]*(\(c\)|©)?)|\(c\)|©)[ \t]*([0-9]{4}[ \t,-]*)*[ \t\r]*$"
+BRIEF = r"^[ \t]*([^ \t\r]+[ \t]+){0,5}[^ \t\r]+[ \t\r]*$"
 RESERVED = r"all rights reserved[.]?"
+#: "All rights reserved" over two lines, which it is brought back to the first of.
+WRAPS = [r"(?i)\b(all[ \t]+rights)[ \t\r]*\n[ \t*#/;>-]*(reserved\b)", r"(?i)\b(all)[ \t\r]*\n[ \t*#/;>-]*(rights[ \t]+reserved\b)"]
 OTHER = "[^a-z0-9]+"
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -60,7 +70,17 @@ DIGESTS: dict[str, list[str]] = {
     "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
     "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
 }
-TITLES = {"Unlicense": "The Unlicense", "MIT": "MIT License", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "MIT-0": "MIT No Attribution"}
+#: Titles that the texts go by.
+TITLES = {
+    "Unlicense": ["The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "BSD Zero-Clause License", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "The BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0"],
+}
 #: Names of licences as notices have them. Each goes with each of FORMS.
 NAMES = {
     "MIT": ["MIT License"],
@@ -82,14 +102,15 @@ CC_FORMS = ("Licensed under CC {} {}.", "This work is licensed under CC {} {}.",
 
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of all that is known: whole texts with and without title, and notices."""
-    out = [x for k, t in TEXTS.items() for x in ((k, t), (k, f"{TITLES[k]}\n\n{t}"))]
+    out = [(k, x) for k, t in TEXTS.items() for x in (t, *(f"{title}\n\n{t}" for title in TITLES[k]))]
     out += [(k, form.format(name)) for k, names in NAMES.items() for name in names for form in FORMS]
     return out + [(f"CC-{kind}-{v}", form.format(kind, v)) for kind in CC for v in CC_VERSIONS for form in CC_FORMS]
 
 
 def canonical_line(line: str) -> str:
     """The canonical form of a line, in Python; the columns below are the same in SQL."""
-    x = re.sub(RESERVED, " ", re.sub(COPYRIGHT, " ", line.translate(str.maketrans(UPPER, LOWER))))
+    x = re.sub(HELD, r"\1copyterms\2", line.translate(str.maketrans(UPPER, LOWER)))
+    x = re.sub(RESERVED, " ", re.sub(COPYRIGHT, " ", x)).replace("copyterms", "copyright")
     for a, b in SPELLINGS:
         x = x.replace(a, b)
     return re.sub(OTHER, " ", x).strip(" ")
@@ -97,7 +118,12 @@ def canonical_line(line: str) -> str:
 
 def canonical(text: str) -> str:
     """The canonical form of a text: those of its lines, joined by blanks."""
-    return " ".join(x for x in map(canonical_line, text.split("\n")) if x)
+    for wrap in WRAPS:
+        text = re.sub(wrap, r"\1 \2\n", text)
+    lines = text.split("\n")
+    low = [x.translate(str.maketrans(UPPER, LOWER)) for x in lines]
+    holder = [k > 0 and bool(re.search(BARE, low[k - 1])) and bool(re.search(BRIEF, x)) for k, x in enumerate(lines)]
+    return " ".join(x for x in ("" if h else canonical_line(line) for h, line in zip(holder, lines)) if x)
 
 
 def known_digests() -> dict[str, str]:
@@ -109,12 +135,19 @@ def known_digests() -> dict[str, str]:
 
 
 def canonical_column(c):
-    x = F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), COPYRIGHT, " "), RESERVED, " ")
+    x = F.regexp_replace(F.translate(c, UPPER, LOWER), HELD, "$1copyterms$2")
+    x = F.replace(F.regexp_replace(F.regexp_replace(x, COPYRIGHT, " "), RESERVED, " "), F.lit("copyterms"), F.lit("copyright"))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, OTHER, " "))
 
 
+def canonical_lines(raw):
+    """The canonical forms of an array of lines; empty for the holder's line under a copyright line that names nobody."""
+    holder = lambda x, i: (i > 0) & F.coalesce(F.rlike(F.translate(F.get(raw, i - 1), UPPER, LOWER), F.lit(BARE)), F.lit(False)) & F.rlike(x, F.lit(BRIEF))
+    return F.transform(raw, lambda x, i: F.when(holder(x, i), "").otherwise(canonical_column(x)))
+
+
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", digests: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row per find: id, scope ('text' if the whole text is a known one, 'line' for each line that is), line
     (0 for the whole, else from 1), license.
@@ -131,7 +164,10 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", digests: dict[str, s
             raise ValueError("too many digests to broadcast: pass them as a table")
         table = F.broadcast(docs.sparkSession.createDataFrame(sorted(found.items()), "digest string, license string"))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    formed = narrow.select("id", F.transform(F.split("text", "\n"), canonical_column).alias("lines"))
+    unwrapped = F.col("text")
+    for wrap in WRAPS:
+        unwrapped = F.regexp_replace(unwrapped, wrap, "$1 $2\n")
+    formed = narrow.select("id", F.split(unwrapped, "\n").alias("raw")).select("id", canonical_lines(F.col("raw")).alias("lines"))
     each = F.filter(F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).alias("line"), x.alias("unit"))), lambda u: u["unit"] != "")
     whole = F.array(F.struct(F.lit("text").alias("scope"), F.lit(0).alias("line"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("unit")))
     units = formed.select("id", F.explode(F.concat(whole, each)).alias("u")).select("id", "u.scope", "u.line", F.md5(F.col("u.unit").cast("binary")).alias("digest"))
@@ -141,15 +177,20 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", digests: dict[str, s
 def duckdb_sql(table: str = "documents", id_col="doc_id", text_col="text") -> str:
     """The same scan in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"regexp_replace(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, ' ', 'g'), {quote(RESERVED)}, ' ', 'g')"
+    x = f"regexp_replace(translate(part, '{UPPER}', '{LOWER}'), {quote(HELD)}, {quote(chr(92) + '1copyterms' + chr(92) + '2')})"
+    x = f"replace(regexp_replace(regexp_replace({x}, {quote(COPYRIGHT)}, ' ', 'g'), {quote(RESERVED)}, ' ', 'g'), 'copyterms', 'copyright')"
     for a, b in SPELLINGS:
         x = f"replace({x}, {quote(a)}, {quote(b)})"
     x = f"trim(regexp_replace({x}, '{OTHER}', ' ', 'g'), ' ')"
+    whole = text_col
+    for wrap in WRAPS:
+        whole = f"regexp_replace({whole}, {quote(wrap)}, {quote(chr(92) + '1 ' + chr(92) + '2')} || chr(10), 'g')"
     rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(known_digests().items()))
     return f"""
 WITH known(digest, license) AS (VALUES {rows}),
-texts AS (SELECT {id_col}, row_number() OVER () AS rn, string_split({text_col}, chr(10)) AS parts FROM {table} WHERE {text_col} IS NOT NULL),
-lines AS (SELECT {id_col}, rn, i, {x} AS unit FROM (SELECT {id_col}, rn, i, parts[i] AS part FROM (SELECT {id_col}, rn, parts, unnest(range(1, len(parts) + 1)) AS i FROM texts))),
+texts AS (SELECT {id_col}, row_number() OVER () AS rn, string_split({whole}, chr(10)) AS parts FROM {table} WHERE {text_col} IS NOT NULL),
+lines AS (SELECT {id_col}, rn, i, CASE WHEN coalesce(regexp_matches(translate(before, '{UPPER}', '{LOWER}'), {quote(BARE)}), false) AND regexp_matches(part, {quote(BRIEF)}) THEN '' ELSE {x} END AS unit
+  FROM (SELECT {id_col}, rn, i, parts[i] AS part, CASE WHEN i > 1 THEN parts[i - 1] END AS before FROM (SELECT {id_col}, rn, parts, unnest(range(1, len(parts) + 1)) AS i FROM texts))),
 units AS (
   SELECT {id_col}, 'text' AS scope, 0 AS line, string_agg(unit, ' ' ORDER BY i) AS unit FROM lines WHERE unit <> '' GROUP BY {id_col}, rn
   UNION ALL
