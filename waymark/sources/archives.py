@@ -11,11 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.ranged import can_seek, opened
+
 DIRECTORY = "archive string, member string, kind string, size long, packed long, error string"
 LISTING = "archive string, root string, filename string, type string, name string, complete boolean"
 MAX_TOTAL, MAX_NESTED, BYTES_A_MEMBER = 2 << 30, 256 << 20, 100 << 10
 SCHEMA = "archive string, member string, kind string, content binary, error string"
 MAX_MEMBERS, MAX_BYTES = 50_000, 64 << 20
+#: Packed bytes of an archive that a task unpacks about.
+TASK_BYTES = 32 << 20
 
 
 def member_kind(name: str) -> str:
@@ -48,43 +52,94 @@ def members(archive: str, content: bytes, nested: bool = True):
         yield archive, None, None, None, "too many members"
         return
     for info in found:
-        kind = member_kind(info.filename)
-        if kind not in ("activity", "route") and not (kind == "archive" and nested):
-            yield archive, info.filename, kind, None, None
-            continue
-        try:
-            with packed.open(info) as f:
+        yield from _member(packed, info, archive, nested)
+
+
+def _member(packed: zipfile.ZipFile, info: zipfile.ZipInfo, archive: str, nested: bool):
+    """The rows of one member."""
+    kind = member_kind(info.filename)
+    if kind not in ("activity", "route") and not (kind == "archive" and nested):
+        yield archive, info.filename, kind, None, None
+        return
+    try:
+        with packed.open(info) as f:
+            data = f.read(MAX_BYTES + 1)
+        if info.filename.lower().endswith(".gz") and len(data) <= MAX_BYTES:
+            with gzip.open(io.BytesIO(data)) as f:
                 data = f.read(MAX_BYTES + 1)
-            if info.filename.lower().endswith(".gz") and len(data) <= MAX_BYTES:
-                with gzip.open(io.BytesIO(data)) as f:
-                    data = f.read(MAX_BYTES + 1)
-            if len(data) > MAX_BYTES:
-                raise ValueError("too large")
-            if kind == "archive":
-                for _, name, *rest in members(archive, data, nested=False):
-                    yield archive, info.filename if name is None else f"{info.filename}/{name}", *rest
-                continue
-            yield archive, info.filename, kind, data, None
-        except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile) as e:
-            yield archive, info.filename, kind, None, str(e)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The members of all .zip files under path."""
+        if len(data) > MAX_BYTES:
+            raise ValueError("too large")
+        if kind == "archive":
+            for _, name, *rest in members(archive, data, nested=False):
+                yield archive, info.filename if name is None else f"{info.filename}/{name}", *rest
+            return
+        yield archive, info.filename, kind, data, None
+    except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile) as e:
+        yield archive, info.filename, kind, None, str(e)
+
+
+def _batches(rows, names: list[str], most_rows: int = 64, most_bytes: int = 16 << 20):
+    """Rows in frames of bounded rows and bytes of content."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(part) == most_rows or held >= most_bytes:
+            yield pd.DataFrame(part, columns=names)
+            part, held = [], 0
+    if part:
+        yield pd.DataFrame(part, columns=names)
+
+
+def _chunks(archive: str, task_bytes: int):
+    """(archive, first entry, entry after the last, packed bytes, error) of stretches of an archive's directory of some
+    task_bytes; the directory alone is read."""
+    try:
+        with opened(archive) as f:
+            found = zipfile.ZipFile(f).infolist()
+    except (zipfile.BadZipFile, OSError) as e:
+        yield archive, 0, 0, 0, f"not an archive: {e}"
+        return
+    if sum(not i.is_dir() for i in found) > MAX_MEMBERS:
+        yield archive, 0, 0, 0, "too many members"
+        return
+    first, held = 0, 0
+    for k, i in enumerate(found):
+        held += i.compress_size
+        if held >= task_bytes or k == len(found) - 1:
+            yield archive, first, k + 1, held, None
+            first, held = k + 1, 0
+
+
+def read_archives(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The members of all .zip files under path.
+
+    Tasks are planned from the archives' directories, which are read by seeking, as are the members: an archive of any
+    size is dealt out over many tasks, each of which holds one member at a time. Where Arrow can't open the file system,
+    an archive is one task's and held whole."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    if not can_seek(path):
+        return files.select("path", "content").mapInPandas(lambda bs: (f for b in bs for a, c in zip(b["path"], b["content"], strict=True) for f in _batches(members(a, bytes(c)), names)), SCHEMA)
+    plan = ["archive", "first", "after", "packed", "error"]
+
+    def planned_chunks(batches):
+        for b in batches:
+            yield from _batches((c for archive in b["path"] for c in _chunks(archive, task_bytes)), plan, 10_000)
 
     def run(batches):
         for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                part = []
-                for row in members(archive, bytes(content)):
-                    part.append(row)
-                    if len(part) == 64:
-                        yield pd.DataFrame(part, columns=["archive", "member", "kind", "content", "error"])
-                        part = []
-                if part:
-                    yield pd.DataFrame(part, columns=["archive", "member", "kind", "content", "error"])
+            for archive, first, after, _, error in b.itertuples(index=False):
+                if error is not None:
+                    yield pd.DataFrame([(archive, None, None, None, error)], columns=names)
+                    continue
+                with opened(archive) as f:
+                    packed = zipfile.ZipFile(f)
+                    yield from _batches((row for i in packed.infolist()[first:after] if not i.is_dir() for row in _member(packed, i, archive, True)), names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    chunks = files.select("path").mapInPandas(planned_chunks, "archive string, first long, after long, packed long, error string")
+    dealt = chunks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return dealt.mapInPandas(run, SCHEMA)
 
 
 def member_key(c: Column) -> Column:
@@ -117,10 +172,10 @@ def _archives(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def directory_of(archive: str, content: bytes):
-    """The entries of an archive's directory; nothing is unpacked."""
+def directory_of(archive: str, content):
+    """The entries of an archive's directory, from its bytes or an open file; nothing is unpacked."""
     try:
-        packed = zipfile.ZipFile(io.BytesIO(content))
+        packed = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
     except zipfile.BadZipFile as e:
         yield archive, None, None, None, None, f"not an archive: {e}"
         return
@@ -163,8 +218,17 @@ def listing_of(archive: str, content: bytes):
 
 
 def read_directories(spark: SparkSession, path: str) -> DataFrame:
-    """The directories of all .zip files under path."""
-    return _archives(spark, path, directory_of, DIRECTORY)
+    """The directories of all .zip files under path, read by seeking where that can be done."""
+    if not can_seek(path):
+        return _archives(spark, path, directory_of, DIRECTORY)
+    names = [c.split(" ")[0] for c in DIRECTORY.split(", ")]
+
+    def entries(archive: str):
+        with opened(archive) as f:
+            yield from directory_of(archive, f)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInPandas(lambda bs: (f for b in bs for a in b["path"] for f in _batches(entries(a), names, 10_000)), DIRECTORY)
 
 
 def read_archive_listings(spark: SparkSession, path: str) -> DataFrame:

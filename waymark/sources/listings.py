@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import io
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.ranged import array_rows, can_seek, opened
+
 # Headers of a listing in the languages it is exported in, without accents, case and punctuation.
 HEADERS = {
     "filename": ["filename", "nomdufichier", "nomfichier", "fichier"],
@@ -50,50 +52,43 @@ def read_listing(spark: SparkSession, path: str, last_year: int) -> DataFrame:
     return rows.select(F.trim(pick["filename"]).alias("filename"), pick["type"].alias("type"), pick["name"].alias("name"), listing_date(pick["date"], last_year).alias("date")).filter("filename <> ''")
 
 
-def summary_rows(text: str):
-    """The objects of the innermost array that a summary file opens with, up to its end or its first fault; the
-    second value of a pair says whether the array was read whole."""
-    decoder, at = json.JSONDecoder(), text.find("[")
-    inner = text.find("[", at + 1)
-    if inner >= 0 and '"summarizedActivitiesExport"' in text[at:inner]:
-        at = inner
-    at += 1
-    while at:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text) or text[at] == "]":
-            yield None, at < len(text)
-            return
-        try:
-            row, at = decoder.raw_decode(text, at)
-        except json.JSONDecodeError:
-            yield None, False
-            return
-        if isinstance(row, dict):
-            yield row, True
+INNER = "summarizedActivitiesExport"
+SUMMARY = "path string, started double, type string, name string, complete boolean"
+
+
+def _summary_row(path: str, row: dict | None, fine: bool) -> tuple | None:
+    if row is None:
+        return None if fine else (path, None, None, None, False)
+    times = [v for k in ("beginTimestamp", "startTimeGmt") if isinstance(v := row.get(k), int | float) and not isinstance(v, bool) and 946_684_800_000 <= v <= 4_102_444_800_000]
+    kind, name = row.get("activityType"), row.get("name")
+    kind = kind.get("typeKey") if isinstance(kind, dict) else kind
+    return path, times[0] / 1000 if times else None, kind if isinstance(kind, str) else None, (name.strip() or None) if isinstance(name, str) else None, True
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """path, started (epoch seconds), type, name and complete of the rows of summary files; a file that breaks off
-    keeps the rows before the fault and adds one with complete = false."""
+    keeps the rows before the fault and adds one with complete = false. A file is read in chunks and a row at a time is
+    held, where Arrow can open the file system; else whole."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
+    seeks = can_seek(path)
 
     def run(batches):
         for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                rows = []
-                for row, fine in summary_rows(bytes(content).decode("utf-8-sig", "replace")):
-                    if row is None:
-                        if not fine:
-                            rows.append((p, None, None, None, False))
-                        continue
-                    times = [v for k in ("beginTimestamp", "startTimeGmt") if isinstance(v := row.get(k), int | float) and not isinstance(v, bool) and 946_684_800_000 <= v <= 4_102_444_800_000]
-                    kind, name = row.get("activityType"), row.get("name")
-                    kind = kind.get("typeKey") if isinstance(kind, dict) else kind
-                    rows.append((p, times[0] / 1000 if times else None, kind if isinstance(kind, str) else None, (name.strip() or None) if isinstance(name, str) else None, True))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "started", "type", "name", "complete"]).astype({"started": float})
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, "path string, started double, type string, name string, complete boolean")
+            for k, p in enumerate(b["path"]):
+                with opened(p) if seeks else io.BytesIO(bytes(b["content"].iloc[k])) as stream:
+                    part = []
+                    for row, fine in array_rows(stream, INNER):
+                        made = _summary_row(p, row, fine)
+                        if made is not None:
+                            part.append(made)
+                        if len(part) == 1000:
+                            yield pd.DataFrame(part, columns=names).astype({"started": float})
+                            part = []
+                    if part:
+                        yield pd.DataFrame(part, columns=names).astype({"started": float})
+
+    names = [c.split(" ")[0] for c in SUMMARY.split(", ")]
+    return files.select("path", *[] if seeks else ["content"]).mapInPandas(run, SUMMARY)
 
 
 def read_fixture(spark: SparkSession, path: str, schema: str) -> DataFrame:
