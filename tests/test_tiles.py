@@ -144,3 +144,55 @@ def test_write_lines(spark, tmp_path):
     tilefiles.write_lines(rows, str(tmp_path / "out"), by="sport")
     found = listings.read_tracks(spark, str(tmp_path / "out")).collect()
     assert [(r["properties"], r["coords"]) for r in found] == [({"pass_count": "3"}, [[3.5, 43.5], [3.6, 43.6]])]
+
+
+def sampled(legs, width, size, n=12):
+    """Shares of pixels within half the width of a leg, by n times n samples of each."""
+    at = (np.arange(size * n) + 0.5) / n
+    x, y = np.meshgrid(at, at)
+    near = np.zeros(x.shape, bool)
+    for x0, y0, x1, y1 in legs:
+        dx, dy = x1 - x0, y1 - y0
+        t = np.clip(((x - x0) * dx + (y - y0) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+        near |= np.hypot(x - x0 - t * dx, y - y0 - t * dy) <= width / 2
+    return near.reshape(size, n, size, n).mean(axis=(1, 3))
+
+
+def test_coverage_of_pixels():
+    r = np.random.default_rng(3)
+    for width in (1.0, 2.0, 3.0, 6.0):
+        leg = [tuple(r.uniform(-5, 25, 4))]
+        got, want = tiles.coverage(np.array(leg), width, 20), sampled(leg, width, 20)
+        # A distance tells a slanted edge's share of a pixel to about an eighth, and whole pixels exactly.
+        assert np.abs(got - want).max() < 0.3 and abs(got.sum() - want.sum()) <= 0.06 * want.sum() + 0.6
+        assert (got[want == 1] > 0.85).all() and (got[want == 0] < 0.3).all()
+    assert tiles.coverage(np.array([(-50.0, -50.0, -40.0, -9.0)]), 3, 20).sum() == 0
+    level = tiles.coverage(np.array([(-5.0, 10.0, 25.0, 10.0)]), 2, 20)
+    assert level[9:11].min() == 1 and level[:9].max() == 0 and level[11:].max() == 0
+
+
+def test_smooth_drawing_is_finer_drawing_brought_down():
+    rows = [(1, 5, 3, 60, 40), (1, 60, 40, 20, 62), (3, 0, 50, 63, 10), (5, 30, 30, 30, 30)]
+    image = tiles.draw_smooth(rows, 64, 32, 2)
+    assert image.shape == (32, 32, 4) and image[..., 3].max() == 255 and image[0, 0, 3] == 0
+    for b in (1, 3, 5):
+        share = sampled([tuple(v / 2 for v in r[1:]) for r in rows if r[0] == b], tiles.WIDTHS[b], 32)
+        above = np.max([sampled([tuple(v / 2 for v in r[1:]) for r in rows if r[0] == c], tiles.WIDTHS[c], 32) for c in (3, 5) if c > b] or [np.zeros((32, 32))], axis=0)
+        whole = (share == 1) & (above == 0)
+        assert not whole.any() or np.abs(image[whole].astype(int) - [*tiles.COLOURS[b], 255]).max() <= 1
+    total = sampled([tuple(v / 2 for v in r[1:]) for r in rows if r[0] == 1], tiles.WIDTHS[1], 32)
+    alone = sampled([tuple(v / 2 for v in r[1:]) for r in rows if r[0] > 1], 4, 32) == 0
+    assert np.abs(image[..., 3][alone] / 255 - total[alone]).mean() < 0.03
+
+
+def test_smooth_tiles(legs):
+    rows = tiles.smooth_tiles(legs, GRID).collect()
+    assert {(r["z"], r["x"], r["y"]) for r in rows} == {(r["z"], r["x"], r["y"]) for r in legs.select("z", "x", "y").distinct().collect()}
+    for r in rows:
+        body = bytes(r["png"])
+        at = body.index(b"IDAT")
+        image = np.frombuffer(zlib.decompress(body[at + 4 : at + 4 + struct.unpack(">I", body[at - 4 : at])[0]]), np.uint8).reshape(256, 1025)[:, 1:].reshape(256, 256, 4)
+        assert abs(image[..., 3].sum() / 255 - r["covered"]) < 1e-6 and 1 <= r["top"] <= 5
+    fine = tiles.smooth_tiles(tiles.overzoom(legs.filter("z = 12"), 2, GRID), GRID).collect()
+    coarse = [r for r in rows if r["z"] == 12]
+    assert sum(r["covered"] for r in fine) > 3 * sum(r["covered"] for r in coarse)

@@ -52,6 +52,12 @@ def t05_t09_raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(None).unionByName(of("mtb")).unionByName(of("gravel")).unionByName(of("road"))
 
 
+def t06_t08_smooth_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smooth tiles of zoom 13, and of zoom 14 from the same legs, drawn over-zoomed."""
+    legs = tiles.tile_legs(_trails(spark, sf_dir), [13])
+    return tiles.smooth_tiles(legs).unionByName(tiles.smooth_tiles(tiles.overzoom(legs, 1)))
+
+
 def m04_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.resolve_pairs(_twins(spark, sf_dir))
 
@@ -100,4 +106,4 @@ def k03_k30_k36_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.by_trace(_fixes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (k09_radial_mask, k30_s22_heat_points, k38_display_geometry, k47_s32_share_features, k49_outlines, j20_directed_line_match, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles, m04_greedy_pairs, j20_line_match)}
+QUERIES = {f.__name__: f for f in (k09_radial_mask, k30_s22_heat_points, k38_display_geometry, k47_s32_share_features, k49_outlines, j20_directed_line_match, k03_k30_k36_shapes, k28_k33_trails, s26_vector_tiles, t05_t09_raster_tiles, t06_t08_smooth_tiles, m04_greedy_pairs, j20_line_match)}

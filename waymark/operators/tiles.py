@@ -166,3 +166,60 @@ def raster_tiles(legs: DataFrame, size: int = 256, sport: str | None = None) ->
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("lit", pa.int64()), ("top", pa.int32()), ("png", pa.binary())]))
 
     return grouped.mapInArrow(run, "z int, x long, y long, lit long, top int, png binary")
+
+
+def coverage(legs: np.ndarray, width: float, size: int) -> np.ndarray:
+    """How much of each pixel lines of that width with round ends cover, 0 to 1; legs are (x0, y0, x1, y1) in pixels and
+    may lie outside. Where legs meet or cross, the most that one covers counts, so joints are as smooth as ends."""
+    out = np.zeros((size, size), np.float32)
+    reach = width / 2 + 1
+    for x0, y0, x1, y1 in legs:
+        left, right = max(0, int(min(x0, x1) - reach)), min(size, int(max(x0, x1) + reach) + 1)
+        top, bottom = max(0, int(min(y0, y1) - reach)), min(size, int(max(y0, y1) + reach) + 1)
+        if left >= right or top >= bottom:
+            continue
+        x, y = np.arange(left, right) + 0.5 - x0, (np.arange(top, bottom) + 0.5 - y0)[:, None]
+        dx, dy = x1 - x0, y1 - y0
+        t = np.clip((x * dx + y * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+        covered = np.clip(width / 2 + 0.5 - np.hypot(x - t * dx, y - t * dy), 0, 1)
+        np.maximum(out[top:bottom, left:right], covered, out=out[top:bottom, left:right])
+    return out
+
+
+def draw_smooth(rows: list[tuple], grid: int, size: int = 256, finer: int = 2) -> np.ndarray:
+    """Colour and opacity [size, size, 4] of rows (bucket, x0, y0, x1, y1) on a grid, drawn so many times finer and then
+    brought down by a box filter; the more popular is painted over the less."""
+    image, scale = np.zeros((size * finer, size * finer, 4), np.float32), size * finer / grid
+    for b in sorted({r[0] for r in rows}):
+        legs = np.array([r[1:] for r in rows if r[0] == b], float) * scale
+        own = coverage(legs, WIDTHS[b] * finer, size * finer)[..., None]
+        image = image * (1 - own) + np.array([*COLOURS[b], 255], np.float32) * own  # colours times opacity
+    image = image.reshape(size, finer, size, finer, 4).mean(axis=(1, 3))
+    opacity = image[..., 3:]
+    colour = np.divide(image[..., :3] * 255, opacity, out=np.zeros_like(image[..., :3]), where=opacity > 0)
+    return np.rint(np.concatenate([colour, opacity], axis=2)).clip(0, 255).astype(np.uint8)
+
+
+def png_rgba(image: np.ndarray) -> bytes:
+    """An image of colour and opacity as PNG."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w, _ = image.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, w * 4)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
+def smooth_tiles(legs: DataFrame, grid: int = 512, size: int = 256, finer: int = 2) -> DataFrame:
+    """z, x, y, covered (the pixels' opacity added up, in whole pixels), top, png of smooth lines; legs as tile_legs or
+    overzoom have them, on that grid. A tile's legs are bounded by its grid."""
+    one = legs.withColumn("bucket", F.expr("CASE WHEN pass_count <= 2 THEN 1 WHEN pass_count <= 5 THEN 2 WHEN pass_count <= 15 THEN 3 WHEN pass_count <= 50 THEN 4 ELSE 5 END")).groupBy(*TILE, *ENDS).agg(F.max("bucket").alias("bucket"))
+    grouped = one.groupBy(*TILE).agg(F.collect_list(F.struct("bucket", *ENDS)).alias("legs"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for tile, found in _tiles_in(b):
+                image = draw_smooth(found, grid, size, finer)
+                out.append(dict(zip([*TILE, "covered", "top", "png"], (*tile, float(image[..., 3].sum()) / 255, max(r[0] for r in found), png_rgba(image)), strict=True)))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("covered", pa.float64()), ("top", pa.int32()), ("png", pa.binary())]))
+
+    return grouped.mapInArrow(run, "z int, x long, y long, covered double, top int, png binary")
