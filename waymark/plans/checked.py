@@ -159,6 +159,34 @@ SELECT ar.id, coalesce(k1.activity_id, k2.activity_id, k3.activity_id, CASE WHEN
   CASE WHEN k1.id IS NOT NULL THEN 'provider_id' WHEN k2.id IS NOT NULL OR ar.id LIKE 'b%' THEN 'file_hash' WHEN k3.id IS NOT NULL THEN 'twin' END AS by FROM ar LEFT JOIN k1 ON k1.id = ar.id LEFT JOIN k2 ON k2.id = ar.id LEFT JOIN k3 ON k3.id = ar.id""")
 
 
+#: Arrivals probe their user's rides by buckets as wide as the tolerance; a person starts few rides in three of them.
+_probe = spark_query(f"""{_ARRIVING}, sb AS (SELECT id AS twin, user_id, source, activity_date, distance_m, created_at, floor(unix_timestamp(activity_date) / 300) AS b FROM st),
+ab AS (SELECT id, user_id, activity_date AS began, distance_m AS metres, explode(transform(array(-1, 0, 1), k -> k + floor(unix_timestamp(activity_date) / 300))) AS b FROM ar WHERE activity_date IS NOT NULL AND distance_m > 0)
+SELECT id, min_by(twin, struct(CASE WHEN source = 'manual_upload' THEN 0 ELSE 1 END, created_at, twin)) AS twin FROM ab JOIN sb USING (user_id, b)
+WHERE abs(unix_micros(CAST(activity_date AS TIMESTAMP)) - unix_micros(CAST(began AS TIMESTAMP))) <= 300000000 AND distance_m BETWEEN metres * (1 - 0.05D) AND metres * (1 + 0.05D) GROUP BY id""")
+
+
+def j06_dedup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir)
+
+
+_PROBED = duckdb_sql(f"""{_ARRIVING} SELECT id, twin FROM (SELECT ar.id, st.id AS twin, row_number() OVER (PARTITION BY ar.id ORDER BY CASE WHEN st.source = 'manual_upload' THEN 0 ELSE 1 END, st.created_at, st.id) AS rk
+FROM ar JOIN st ON st.user_id = ar.user_id AND st.activity_date BETWEEN ar.activity_date - INTERVAL 5 MINUTE AND ar.activity_date + INTERVAL 5 MINUTE AND st.distance_m BETWEEN ar.distance_m * (1 - 0.05::DOUBLE) AND ar.distance_m * (1 + 0.05::DOUBLE)) s WHERE rk = 1""")
+
+#: A ride and its user's events meet by the days that the ride lasts, so a user's rows are split by day.
+_held = spark_query(f"""WITH {ACTIVITIES}, ad AS (SELECT activity_id, user_id, started, ended, explode(sequence(to_date(started), to_date(ended))) AS day FROM act),
+te AS (SELECT user_id, ts, event_type, to_date(ts) AS day FROM {{events}} WHERE event_type IN ('purchase', 'error'))
+SELECT DISTINCT activity_id FROM (SELECT activity_id FROM ad LEFT SEMI JOIN te ON te.user_id = ad.user_id AND te.day = ad.day AND event_type = 'purchase' AND ts BETWEEN started AND ended
+UNION ALL SELECT activity_id FROM ad LEFT SEMI JOIN te ON te.user_id = ad.user_id AND te.day = ad.day AND event_type = 'error' AND ts BETWEEN started AND ended) x""")
+
+
+def j09_two_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir)
+
+
+_HELD = duckdb_sql(f"WITH {ACTIVITIES} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts BETWEEN a.started AND a.ended) UNION SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'error' AND e.ts BETWEEN a.started AND a.ended)")
+
+
 def m02_promote_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rides after all arrivals."""
     stored, arriving = _stored(spark, sf_dir).drop("activity_id"), _arriving(spark, sf_dir)
@@ -236,7 +264,7 @@ def c01_norm_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", folded("text").alias("folded"))
 
 
-QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts, m01_ingest_outcome, m02_promote_twin, m03_owner_remap, m05_sport_change, m06_guarded_update, r05_compare_and_set, r06_snapshot_publish, c01_norm_type)}
+QUERIES = {f.__name__: f for f in (s26_s27_tile_archive, j07_asof_nearest, c11_way_surface, c14_cell_class_with_neighbours, c15_unpaved_share, a15_surface_counts, m01_ingest_outcome, m02_promote_twin, m03_owner_remap, m05_sport_change, m06_guarded_update, r05_compare_and_set, r06_snapshot_publish, c01_norm_type, j06_dedup_probe, j09_two_exists)}
 ORACLES = {
     "s26_s27_tile_archive": duckdb_sql(_ARCHIVE),
     "j07_asof_nearest": _ASOF,
@@ -244,6 +272,8 @@ ORACLES = {
     "c14_cell_class_with_neighbours": duckdb_sql(f"{_GRID_SQL} SELECT ((r + 524288) << 21) | (c + 1048576) AS key, class FROM cl"),
     "c15_unpaved_share": duckdb_sql(_SHARES),
     "a15_surface_counts": duckdb_sql(f"{_GRID_SQL} SELECT count(*) FILTER (class = 'P') AS paved, count(*) FILTER (class = 'U') AS unpaved, count(*) FILTER (class = 'A') AS ambiguous, count(*) FILTER (class = 'N') AS none, round(count(*) FILTER (class = 'U')::DOUBLE / nullif(count(*) FILTER (class IN ('P', 'U')), 0), 6) AS unpaved_share FROM cl"),
+    "j06_dedup_probe": _PROBED,
+    "j09_two_exists": _HELD,
     "m01_ingest_outcome": _INGEST,
     "m02_promote_twin": _PROMOTED,
     "m03_owner_remap": _REMAP,

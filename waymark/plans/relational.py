@@ -29,9 +29,7 @@ SQL = {
     "j04_near_time_pairs": f"{_A}, {_BUCKETS} SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS hits FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id < b.user_id AND {_NEAR} GROUP BY a.user_id, b.user_id",
     "j05_or_join": f"""{_A}, {_BUCKETS}, k AS (SELECT a.activity_id AS x, b.activity_id AS y FROM act a JOIN act b ON floor(a.activity_id / 2) = floor(b.activity_id / 2) AND a.activity_id < b.activity_id),
 t AS (SELECT a.activity_id AS x, b.activity_id AS y FROM nb a JOIN bk b ON a.pb = b.tb AND a.activity_id < b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.05 AS DOUBLE) * greatest(a.n_fixes, b.n_fixes)) SELECT x, y FROM k UNION SELECT x, y FROM t""",
-    "j06_dedup_probe": f"""{_A}, {_BUCKETS}, m AS (SELECT a.activity_id, b.activity_id AS twin, row_number() OVER (PARTITION BY a.activity_id ORDER BY CASE WHEN b.source = 'manual_upload' THEN 0 ELSE 1 END, b.started, b.activity_id) AS rk FROM nb a JOIN bk b ON a.pb = b.tb AND a.user_id % 10 = b.user_id % 10 AND a.activity_id <> b.activity_id AND {_NEAR} AND abs(a.n_fixes - b.n_fixes) <= CAST(0.1 AS DOUBLE) * a.n_fixes) SELECT activity_id, twin FROM m WHERE rk = 1""",
     "j08_exists_sibling": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM act b WHERE b.user_id = a.user_id AND b.activity_id <> a.activity_id AND b.sport = 'mtb')",
-    "j09_two_exists": f"{_A} SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts BETWEEN a.started AND a.ended) UNION SELECT a.activity_id FROM act a WHERE EXISTS (SELECT 1 FROM {{events}} e WHERE e.user_id = a.user_id AND e.event_type = 'error' AND e.ts BETWEEN a.started AND a.ended)",
     "j10_stale_contributors": f"{_A} SELECT user_id, max(started) AS latest FROM act WHERE contribute GROUP BY user_id HAVING max(started) < {_NOW} - INTERVAL '4' DAY",
     "j12_without_current_consent": """WITH cs AS (SELECT DISTINCT user_id, concat('v', event_id % 7) AS version FROM {events} WHERE event_id % 5 = 0)
 SELECT user_id, [[listagg(version, ',') WITHIN GROUP (ORDER BY version)||string_agg(version, ',' ORDER BY version)]] AS prior_versions FROM cs GROUP BY user_id HAVING NOT bool_or(version = 'v5')""",
