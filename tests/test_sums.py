@@ -19,3 +19,15 @@ def test_bests_take_seconds_to_the_nearest(spark, tmp_path):
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     want = duck.sql(catalog.ORACLES["a03_personal_bests"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["a03_personal_bests"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_rollup_sums_tenths_alike_in_any_order(spark):
+    """The sum of these as doubles is a tie or a little less, by its order."""
+    sql = relational.SQL["a05_user_rollup"]
+    total = re.search(r"count\(\*\) AS n, (.*?) AS m, min\(began\)", sql)[1]
+    of_spark = re.sub(r"\[\[(.*?)\|\|.*?\]\]", r"\1", total)
+    found = set()
+    for tenths in itertools.permutations((828.8, 270.4, 707.3)):
+        rows = spark.createDataFrame([(m,) for m in tenths], "m double").coalesce(1)
+        found.add(rows.selectExpr(f"CAST(round({of_spark}) AS BIGINT)").first()[0])
+    assert found == {1807}

@@ -69,9 +69,9 @@ UNION ALL SELECT 'activities', 'total', count(*), round(sum(m), 1) FROM ac UNION
 UNION ALL SELECT 'by_provider', coalesce(provider, 'unknown'), count(*), NULL FROM ac GROUP BY 2 UNION ALL SELECT 'by_sport', coalesce(sport, 'unknown'), count(*), round(sum(m), 1) FROM ac GROUP BY 2
 UNION ALL SELECT 'routes', visibility, count(*), NULL FROM ro GROUP BY 2 UNION ALL SELECT 'routes', 'total', count(*), NULL FROM ro""",
     "a05_user_rollup": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, CASE WHEN activity_id % 13 = 0 THEN NULL ELSE min(ts) END AS began, round(sum(d), 1) AS m, CASE WHEN activity_id % 3 = 0 THEN 'strava' WHEN activity_id % 7 = 0 THEN NULL ELSE 'file' END AS provider FROM lg GROUP BY activity_id, user_id, sport),
-sp AS (SELECT user_id, sport, count(*) AS n, sum(m) AS m, min(began) AS a, max(began) AS z FROM ac GROUP BY user_id, sport),
+sp AS (SELECT user_id, sport, count(*) AS n, {_TENTHS('m')} AS m, min(began) AS a, max(began) AS z FROM ac GROUP BY user_id, sport),
 pr AS (SELECT user_id, coalesce(provider, 'unknown') AS provider, count(*) AS n FROM ac GROUP BY 1, 2),
-s2 AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round(sum(m), 1) AS metres, min(a) AS first_at, max(z) AS last_at, [[listagg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';') WITHIN GROUP (ORDER BY sport)||string_agg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';' ORDER BY sport)]] AS by_sport FROM sp GROUP BY user_id),
+s2 AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round({_TENTHS('m')}, 1) AS metres, min(a) AS first_at, max(z) AS last_at, [[listagg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';') WITHIN GROUP (ORDER BY sport)||string_agg(concat(sport, '=', n, '/', CAST(round(m) AS BIGINT)), ';' ORDER BY sport)]] AS by_sport FROM sp GROUP BY user_id),
 p2 AS (SELECT user_id, [[listagg(concat(provider, '=', n), ';') WITHIN GROUP (ORDER BY provider)||string_agg(concat(provider, '=', n), ';' ORDER BY provider)]] AS by_provider FROM pr GROUP BY user_id)
 SELECT s2.user_id, n, metres, first_at, last_at, by_sport, by_provider FROM s2 JOIN p2 ON p2.user_id = s2.user_id""",
     "a06_status_zero_filled": "SELECT s.status, count(o_orderkey) AS n FROM (SELECT 'F' AS status UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') s LEFT JOIN {orders} ON o_orderstatus = s.status GROUP BY s.status",
