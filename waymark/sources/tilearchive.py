@@ -71,7 +71,7 @@ def _entries(rows: Iterator[tuple[int, bytes]], put) -> Iterator[tuple[int, int,
 def write_archive(tiles: DataFrame, folder: str, data: str = "tile", kind: str = "mvt", compression: str = "gzip", metadata: dict | None = None, part_bytes: int = PART_BYTES, leaf_entries: int = LEAF_ENTRIES) -> dict:
     """Writes tiles (z, x, y and a binary column) to the folder as one archive and returns its manifest.
 
-    A row with a null is passed over; of rows of one tile the least content counts. Content is stored compressed by
+    A row with a null is passed over, a tile outside the world is an error (its id would be another's); of rows of one tile the least content counts. Content is stored compressed by
     `compression`. An empty table makes an archive without tiles."""
     spark = tiles.sparkSession
     ensure_checkpoint_dir(spark)
@@ -82,7 +82,10 @@ def write_archive(tiles: DataFrame, folder: str, data: str = "tile", kind: str =
 
     def placed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hilbert_tile_ids(*(b.column(k).to_numpy() for k in range(3)))), b.column(3)], names=["tile", "body"])
+            z, x, y = (b.column(k).to_numpy() for k in range(3))
+            if ((z < 0) | (z > 26) | (np.minimum(x, y) < 0) | (np.maximum(x, y) >> np.clip(z, 0, 26) > 0)).any():
+                raise ValueError("a tile is outside the world")
+            yield pa.RecordBatch.from_arrays([pa.array(hilbert_tile_ids(z, x, y)), b.column(3)], names=["tile", "body"])
 
     ordered = rows.selectExpr("CAST(z AS LONG)", "CAST(x AS LONG)", "CAST(y AS LONG)", "body").mapInArrow(placed, "tile long, body binary").repartitionByRange(parts, "tile").sortWithinPartitions("tile", "body")
 
