@@ -64,7 +64,20 @@ def _twins(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "activity_id", "status"])
 
 
-def ingest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def _standing_twins(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The outcome of each arrival that has a twin among the rides as they stand. Both meet in buckets of time as wide as
+    the tolerance; a person starts few rides in three of them."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = NEAR_MINUTES * 60_000_000
+    bucket = F.floor(micros("activity_date") / width)
+    held = stored.withColumn("b", bucket).select("user_id", "b", F.struct(~F.col("source").eqNullSafe(F.lit(COMMUNITY)), "created_at", "id").alias("rank"), F.col("source").alias("held_source"), F.col("activity_date").alias("held_date"), F.col("distance_m").alias("held_m"))
+    asked = arrivals.filter("distance_m > 0").withColumn("b", F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])))
+    near = (F.abs(micros("activity_date") - micros("held_date")) <= width) & F.col("held_m").between(F.col("distance_m") * (1 - NEAR_SHARE), F.col("distance_m") * (1 + NEAR_SHARE))
+    twin = asked.join(held, ["user_id", "b"]).filter(near).groupBy("id").agg(F.min(F.struct("rank", promotes(F.col("source"), F.col("held_source")).alias("up"))).alias("t"))
+    return twin.select("id", F.col("t.rank.id").alias("activity_id"), F.when(F.col("t.up"), "promoted").otherwise("already_exists").alias("status"), F.lit("twin").alias("by"))
+
+
+def ingest(stored: DataFrame, incoming: DataFrame, standing: bool = False) -> DataFrame:
     """id, activity_id, status, by of each arrival; both tables have id, user_id, provider, provider_activity_id,
     file_hash, source, activity_date, distance_m and created_at.
 
@@ -72,7 +85,8 @@ def ingest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     per cent (the community's copy first, then the oldest), else created. A twin that the community may not see is
     promoted by an upload that it may. An arrival with the provider id or hash of an earlier arrival shares its
     activity and already exists. Arrivals count in order of created_at and id; a null key matches nothing, and one
-    without a date or length has no twin."""
+    without a date or length has no twin. Standing: twins are rides as they stood before all arrivals, which then are no
+    twins of each other and leave what others come upon as it was."""
     ensure_checkpoint_dir(incoming.sparkSession)
     new = incoming.checkpoint()
     keys = {"provider_id": ["user_id", "provider", "provider_activity_id"], "file_hash": ["user_id", "file_hash"]}
@@ -91,13 +105,16 @@ def ingest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         rest = rest.join(hit.select("id"), "id", "left_anti")
     columns = ["id", "user_id", "source", "activity_date", "distance_m", "created_at"]
     dated = lambda df: df.select(*columns).dropna(subset=["user_id", "activity_date", "distance_m"])
-    both = dated(stored).withColumn("stored", F.lit(True)).unionByName(dated(rest).withColumn("stored", F.lit(False)))
-    by_user = Window.partitionBy("user_id").orderBy("activity_date", "id")
-    gap = F.unix_micros(F.col("activity_date").cast("timestamp")) - F.unix_micros(F.lag("activity_date").over(by_user).cast("timestamp"))
-    stretch = both.withColumn("cut", F.when(gap <= NEAR_MINUTES * 60_000_000, 0).otherwise(1)).withColumn("stretch", F.sum("cut").over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = stretch.withColumn("arrivals", F.count_if(~F.col("stored")).over(Window.partitionBy("user_id", "stretch"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "stretch"))).filter("arrivals > 0 AND n > 1")
-    kind = dict(incoming.dtypes)["id"]
-    twins = sized.groupBy("user_id", "stretch").applyInPandas(lambda pdf: _twins(pdf), f"id {kind}, activity_id {kind}, status string").withColumn("by", F.lit("twin")).checkpoint()
+    if standing:
+        twins = _standing_twins(dated(stored), dated(rest)).checkpoint()
+    else:
+        both = dated(stored).withColumn("stored", F.lit(True)).unionByName(dated(rest).withColumn("stored", F.lit(False)))
+        by_user = Window.partitionBy("user_id").orderBy("activity_date", "id")
+        gap = F.unix_micros(F.col("activity_date").cast("timestamp")) - F.unix_micros(F.lag("activity_date").over(by_user).cast("timestamp"))
+        stretch = both.withColumn("cut", F.when(gap <= NEAR_MINUTES * 60_000_000, 0).otherwise(1)).withColumn("stretch", F.sum("cut").over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
+        sized = stretch.withColumn("arrivals", F.count_if(~F.col("stored")).over(Window.partitionBy("user_id", "stretch"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "stretch"))).filter("arrivals > 0 AND n > 1")
+        kind = dict(incoming.dtypes)["id"]
+        twins = sized.groupBy("user_id", "stretch").applyInPandas(lambda pdf: _twins(pdf), f"id {kind}, activity_id {kind}, status string").withColumn("by", F.lit("twin")).checkpoint()
     alone = rest.join(twins.select("id"), "id", "left_anti").select("id", F.col("id").alias("activity_id"), F.lit("created").alias("status"), F.lit(None).cast("string").alias("by"))
     told = twins.withColumn("by", F.when(F.col("status") != "created", F.col("by"))).unionByName(alone)
     for hit in found:
@@ -107,12 +124,15 @@ def ingest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return told.unionByName(shared.select("id", "activity_id", F.lit("already_exists").alias("status"), "by"))
 
 
-def ingested(stored: DataFrame, incoming: DataFrame, outcomes: DataFrame, replaced: tuple[str, ...] = ("distance_m", "elevation_gain_m", "file_hash", "geometry")) -> DataFrame:
+def ingested(stored: DataFrame, incoming: DataFrame, outcomes: DataFrame, replaced: tuple[str, ...] = ("distance_m", "elevation_gain_m", "file_hash", "geometry"), each: bool = False) -> DataFrame:
     """stored after ingest(): what was created is added; a promoted row has the source and consent of its upload and of
-    `replaced`, where there are such columns, what the upload has; a row found by provider id gets a missing date."""
+    `replaced`, where there are such columns, what the upload has (of several the last; each: a row for each of them); a row found by provider id gets a missing
+    date."""
     told = incoming.join(outcomes.select("id", "activity_id", "status", "by"), "id")
     order = F.struct("created_at", "id")
-    ups = told.filter("status = 'promoted'").groupBy("activity_id").agg(F.max_by(F.struct(*[F.col(c) for c in incoming.columns]), order).alias("up"))
+    up = F.struct(*[F.col(c) for c in incoming.columns])
+    promoted = told.filter("status = 'promoted'")
+    ups = promoted.select("activity_id", up.alias("up")) if each else promoted.groupBy("activity_id").agg(F.max_by(up, order).alias("up"))
     dates = told.filter("by = 'provider_id' AND activity_date IS NOT NULL").groupBy("activity_id").agg(F.min_by("activity_date", order).alias("date"))
     added = told.filter("status = 'created'").select(*[F.col(c) for c in stored.columns])
     kept = stored.unionByName(added).join(ups, F.col("id") == ups["activity_id"], "left").drop("activity_id").join(dates, F.col("id") == dates["activity_id"], "left").drop("activity_id")
