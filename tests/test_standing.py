@@ -20,7 +20,7 @@ def near(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["m01_ingest_outcome"])
+@pytest.mark.parametrize("name", ["m01_ingest_outcome", "m02_promote_twin"])
 def test_equals_its_sql(spark, near, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{near}/events.parquet/*.parquet'")
