@@ -24,14 +24,16 @@ def to_line(points: np.ndarray, line: np.ndarray) -> np.ndarray:
     return best
 
 
-def closeness(track: np.ndarray, way: np.ndarray, buffer_m: float = 30.0, step: float = 1.0, directed: bool = False) -> tuple[float, float]:
+def closeness(track: np.ndarray, way: np.ndarray, buffer_m: float = 30.0, step: float = 1.0, directed: bool = False, limit: float = np.inf) -> tuple[float, float]:
     """Hausdorff metres between the vertices of each and the other line (directed: of the track's vertices only, so that
-    the way may go on beyond it), and the share of the track within buffer_m of the way, sampled every step metres."""
+    the way may go on beyond it), and the share of the track within buffer_m of the way, sampled every step metres (0 unsampled, where the distance reaches the limit)."""
     scale = DEGREE_M * np.array([np.cos(np.radians(track[:, 1].mean())), 1.0])
     a, b = track * scale, way * scale
     far = to_line(a, b).max() if directed else max(to_line(a, b).max(), to_line(b, a).max())
     if far <= buffer_m:
         return float(far), 1.0
+    if far >= limit:
+        return float(far), 0.0
     legs = np.hypot(*np.diff(a, axis=0).T)
     n = np.maximum(1, np.ceil(legs / step)).astype(int)
     leg = np.repeat(np.arange(len(legs)), n)
@@ -82,7 +84,7 @@ def match_lines(tracks: DataFrame, ways: DataFrame, hausdorff_m: float = 30.0, o
 def _closest(tracks: DataFrame, pairs: DataFrame, hausdorff_m: float, overlap: float, directed: bool) -> DataFrame:
     @F.pandas_udf("hausdorff_m double, overlap double")
     def measured(track: pd.Series, way: pd.Series) -> pd.DataFrame:
-        both = [closeness(np.array([p[:2] for p in a], float), np.array([p[:2] for p in b], float), directed=directed) for a, b in zip(track, way, strict=True)]
+        both = [closeness(np.array([p[:2] for p in a], float), np.array([p[:2] for p in b], float), directed=directed, limit=hausdorff_m) for a, b in zip(track, way, strict=True)]
         return pd.DataFrame(both, columns=["hausdorff_m", "overlap"])
 
     good = pairs.withColumn("m", measured("track", "way")).filter((F.col("m.hausdorff_m") < hausdorff_m) & (F.col("m.overlap") >= overlap))
