@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import DEGREE_M
+from waymark.operators.partof import closest_whole
+
+#: Metres about a way within which a track overlaps it.
+BUFFER_M = 30.0
 
 
 def to_line(points: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -24,7 +28,7 @@ def to_line(points: np.ndarray, line: np.ndarray) -> np.ndarray:
     return best
 
 
-def closeness(track: np.ndarray, way: np.ndarray, buffer_m: float = 30.0, step: float = 1.0, directed: bool = False, limit: float = np.inf) -> tuple[float, float]:
+def closeness(track: np.ndarray, way: np.ndarray, buffer_m: float = BUFFER_M, step: float = 1.0, directed: bool = False, limit: float = np.inf) -> tuple[float, float]:
     """Hausdorff metres between the vertices of each and the other line (directed: of the track's vertices only, so that
     the way may go on beyond it), and the share of the track within buffer_m of the way, sampled every step metres (0 unsampled, where the distance reaches the limit)."""
     scale = DEGREE_M * np.array([np.cos(np.radians(track[:, 1].mean())), 1.0])
@@ -49,9 +53,12 @@ def match_lines(tracks: DataFrame, ways: DataFrame, hausdorff_m: float = 30.0, o
 
     Lines closer than hausdorff_m have boxes that agree to it on all sides, so candidates meet by the grid cell of
     their south-west corners, that of the track and its neighbours. Directed, a track may be any part of a way: then the
-    cells of the track's first point and its neighbours meet those that the way runs through. Ways of one geometry are
-    measured once. Lines without points match nothing.
+    ways that pass near its points are told by bits (partof). Ways of one geometry are measured once. Lines without
+    points match nothing.
     """
+    if directed:
+        found = closest_whole(tracks, ways, closeness, hausdorff_m, overlap, BUFFER_M)
+        return tracks.select("track_id").distinct().join(found, "track_id", "left").select("track_id", "way_id", "hausdorff_m", "overlap")
     side = lambda f, k: f(F.transform("coords", lambda p: F.get(p, F.lit(k))))
     boxes = lambda d: d.withColumns({"w": side(F.array_min, 0), "s": side(F.array_min, 1), "e": side(F.array_max, 0), "n": side(F.array_max, 1)}).filter("w IS NOT NULL AND s IS NOT NULL")
     tall = hausdorff_m / DEGREE_M * 1.01
@@ -61,30 +68,18 @@ def match_lines(tracks: DataFrame, ways: DataFrame, hausdorff_m: float = 30.0, o
     t = boxes(tracks).select("track_id", F.col("coords").alias("track"), *[F.col(c).alias(f"t{c}") for c in "wsen"])
     t = t.withColumn("gy", F.explode(F.array(*[row("ts") + k for k in (-1, 0, 1)])))
     t = t.withColumn("gx", F.explode(F.array(*[F.floor(F.col("tw") / wide(F.col("gy"))) + k for k in (-1, 0, 1)])))
-    if directed:
-        first = lambda k: F.get(F.get("track", F.lit(0)), F.lit(k))
-        t = boxes(tracks).select("track_id", F.col("coords").alias("track")).withColumn("gy", F.explode(F.array(*[F.floor(first(1) / tall) + k for k in (-1, 0, 1)])))
-        t = t.withColumn("gx", F.explode(F.array(*[F.floor(first(0) / wide(F.col("gy"))) + k for k in (-1, 0, 1)])))
-        legs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("coords") - 2)), lambda i: F.struct(F.get("coords", i).alias("a"), F.coalesce(F.get("coords", i + 1), F.get("coords", i)).alias("b")))
-        w = boxes(ways.groupBy("coords").agg(F.min("way_id").alias("way_id"))).withColumn("leg", F.explode(legs))
-        w = w.withColumn("steps", F.ceil(F.greatest(F.abs(F.expr("leg.a[0] - leg.b[0]")), F.abs(F.expr("leg.a[1] - leg.b[1]"))) * 2 / tall) + 1)
-        w = w.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps")))).withColumn("x", F.expr("leg.a[0] + (leg.b[0] - leg.a[0]) * k / steps")).withColumn("y", F.expr("leg.a[1] + (leg.b[1] - leg.a[1]) * k / steps"))
-        w = w.withColumn("gy", F.floor(F.col("y") / tall)).withColumn("gx", F.floor(F.col("x") / wide(F.col("gy")))).select("way_id", "gy", "gx").distinct()
-        met = t.join(w, ["gy", "gx"]).select("track_id", "way_id").distinct()
-        pairs = met.join(tracks.select("track_id", F.col("coords").alias("track")), "track_id").join(ways.select("way_id", F.col("coords").alias("way")), "way_id")
-        return _closest(tracks, pairs, hausdorff_m, overlap, True)
     w = boxes(ways.groupBy("coords").agg(F.min("way_id").alias("way_id"))).withColumn("gy", row("s")).withColumn("gx", F.floor(F.col("w") / wide(F.col("gy"))))
     lon_gap = tall / F.greatest(F.cos(F.radians(F.greatest(F.abs("tn"), F.abs("ts")) + tall)), F.lit(1e-6))
     close = (F.abs(F.col("ts") - F.col("s")) <= tall) & (F.abs(F.col("tn") - F.col("n")) <= tall) & (F.abs(F.col("tw") - F.col("w")) <= lon_gap) & (F.abs(F.col("te") - F.col("e")) <= lon_gap)
     pairs = t.join(w, ["gy", "gx"]).filter(close).select("track_id", "way_id", "track", F.col("coords").alias("way"))
 
-    return _closest(tracks, pairs, hausdorff_m, overlap, False)
+    return _closest(tracks, pairs, hausdorff_m, overlap)
 
 
-def _closest(tracks: DataFrame, pairs: DataFrame, hausdorff_m: float, overlap: float, directed: bool) -> DataFrame:
+def _closest(tracks: DataFrame, pairs: DataFrame, hausdorff_m: float, overlap: float) -> DataFrame:
     @F.pandas_udf("hausdorff_m double, overlap double")
     def measured(track: pd.Series, way: pd.Series) -> pd.DataFrame:
-        both = [closeness(np.array([p[:2] for p in a], float), np.array([p[:2] for p in b], float), directed=directed, limit=hausdorff_m) for a, b in zip(track, way, strict=True)]
+        both = [closeness(np.array([p[:2] for p in a], float), np.array([p[:2] for p in b], float), limit=hausdorff_m) for a, b in zip(track, way, strict=True)]
         return pd.DataFrame(both, columns=["hausdorff_m", "overlap"])
 
     good = pairs.withColumn("m", measured("track", "way")).filter((F.col("m.hausdorff_m") < hausdorff_m) & (F.col("m.overlap") >= overlap))
