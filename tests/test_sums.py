@@ -31,3 +31,14 @@ def test_rollup_sums_tenths_alike_in_any_order(spark):
         rows = spark.createDataFrame([(m,) for m in tenths], "m double").coalesce(1)
         found.add(rows.selectExpr(f"CAST(round({of_spark}) AS BIGINT)").first()[0])
     assert found == {1807}
+
+
+def test_speeds_next_to_a_tie_round_as_the_sql_does(spark):
+    """201.2 m in 1 920 s are 0.37725 km/h in digits, but less than that in their double."""
+    rounded = [re.search(r"'fastest', sport, (round\(.*?), activity_id FROM", s)[1] for s in (catalog.ORACLES["a03_personal_bests"], re.sub(r"\[\[(.*?)\|\|.*?\]\]", r"\1", relational.SQL["a03_personal_bests"]))]
+    rows = [(tenths / 10, s) for s in (96, 1920, 4800, 7200, 8064) for tenths in range(1, 20000)]
+    spark.createDataFrame(rows, "m double, s long").createOrReplaceTempView("speeds")
+    got = [r[0] for r in spark.sql(f"SELECT {rounded[1]} AS v FROM speeds ORDER BY s, m").collect()]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE speeds AS SELECT CAST(t AS DOUBLE) / 10 AS m, s FROM (SELECT unnest([96, 1920, 4800, 7200, 8064]) AS s) x, range(1, 20000) r(t)")
+    assert got == [r[0] for r in duck.sql(f"SELECT {rounded[0]} AS v FROM speeds ORDER BY s, m").fetchall()]

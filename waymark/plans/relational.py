@@ -10,6 +10,8 @@ _B = "CAST(floor([[unix_timestamp(started)||epoch(started)]] / 1800) AS BIGINT)"
 _BUCKETS = f"bk AS (SELECT *, {_B} AS tb FROM act), nb AS (SELECT *, [[explode(array(tb - 1, tb, tb + 1))||unnest([tb - 1, tb, tb + 1])]] AS pb FROM bk)"
 #: Sums of tenths are exact, whatever their order, so that a tie in what is rounded of them is told alike in each run.
 _TENTHS = lambda c: f"[[CAST(sum(CAST({c} AS DECIMAL(18, 1))) AS DOUBLE)||sum({c})]]"
+#: Rounded as the SQL does it, by a product: a quotient next to a tie isn't told by its decimal digits.
+_ROUNDED = lambda c, n: f"round({c}[[ * {10**n}) / {10**n}||, {n})]]"
 #: Whole seconds of a time, to the nearest (the even one between two).
 _SECONDS = lambda c: f"[[CAST(rint(unix_micros(CAST({c} AS TIMESTAMP)) / 1000000D) AS BIGINT)||CAST(epoch({c}) AS BIGINT)]]"
 
@@ -52,13 +54,13 @@ st AS (SELECT user_id, sport, count(DISTINCT activity_id) AS n, sum(d) AS m, sum
 ce AS (SELECT user_id, sport, count(*) AS cells FROM tc GROUP BY user_id, sport UNION ALL SELECT user_id, 'total', count(*) FROM (SELECT DISTINCT user_id, x, y FROM tc) t GROUP BY user_id)
 SELECT us5.user_id, us5.sport, coalesce(n, 0) AS activities, round(coalesce(m, 0), 2) AS metres, round(coalesce(up, 0), 2) AS climb, coalesce(cells, 0) AS cells FROM us5 LEFT JOIN st ON st.user_id = us5.user_id AND st.sport = us5.sport LEFT JOIN ce ON ce.user_id = us5.user_id AND ce.sport = us5.sport""",
     "a02_summed_cells": f"WITH {CELLS} SELECT user_id, count(*) AS summed, count(DISTINCT ilat * 100000000 + ilon) AS distinct_cells FROM (SELECT DISTINCT user_id, sport, ilat, ilon FROM cells) x GROUP BY user_id",
-    "a03_personal_bests": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, CASE WHEN activity_id % 13 = 0 THEN NULL ELSE min(ts) END AS began, round(sum(d), 1) AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up, {_SECONDS('max(ts)')} - {_SECONDS('min(ts)')} AS s FROM lg GROUP BY activity_id, user_id, sport),
-pd AS (SELECT user_id, 'best_year' AS category, year(began) * 100 AS ym, round({_TENTHS('m')} / 1000, 1) AS v FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began) UNION ALL SELECT user_id, 'best_month', year(began) * 100 + month(began), round({_TENTHS('m')} / 1000, 1) FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began), month(began)),
+    "a03_personal_bests": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, CASE WHEN activity_id % 13 = 0 THEN NULL ELSE min(ts) END AS began, {_ROUNDED('sum(d)', 1)} AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up, {_SECONDS('max(ts)')} - {_SECONDS('min(ts)')} AS s FROM lg GROUP BY activity_id, user_id, sport),
+pd AS (SELECT user_id, 'best_year' AS category, year(began) * 100 AS ym, {_ROUNDED(_TENTHS('m') + ' / 1000', 1)} AS v FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began) UNION ALL SELECT user_id, 'best_month', year(began) * 100 + month(began), {_ROUNDED(_TENTHS('m') + ' / 1000', 1)} FROM ac WHERE began IS NOT NULL AND m > 0 GROUP BY user_id, year(began), month(began)),
 rc AS (SELECT user_id, category, 'all' AS sport, v, CAST(ym AS BIGINT) AS what FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY v DESC, ym) AS rk FROM pd) x WHERE rk = 1
-UNION ALL SELECT user_id, 'longest', sport, round(m / 1000, 1), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m DESC, activity_id) AS rk FROM ac WHERE m > 0) x WHERE rk = 1
-UNION ALL SELECT user_id, 'most_elevation', sport, round(up, 1), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY up DESC, activity_id) AS rk FROM ac WHERE up > 0) x WHERE rk = 1
-UNION ALL SELECT user_id, 'fastest', sport, round(m / s * CAST(3.6 AS DOUBLE), 4), activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m / s DESC, activity_id) AS rk FROM ac WHERE m > 0 AND s > 0) x WHERE rk = 1
-UNION ALL SELECT user_id, 'total', 'all', round({_TENTHS('m')} / 1000, 1), count(*) FROM ac GROUP BY user_id)
+UNION ALL SELECT user_id, 'longest', sport, {_ROUNDED('m / 1000', 1)}, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m DESC, activity_id) AS rk FROM ac WHERE m > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'most_elevation', sport, {_ROUNDED('up', 1)}, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY up DESC, activity_id) AS rk FROM ac WHERE up > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'fastest', sport, {_ROUNDED('m / s * CAST(3.6 AS DOUBLE)', 4)}, activity_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sport ORDER BY m / s DESC, activity_id) AS rk FROM ac WHERE m > 0 AND s > 0) x WHERE rk = 1
+UNION ALL SELECT user_id, 'total', 'all', {_ROUNDED(_TENTHS('m') + ' / 1000', 1)}, count(*) FROM ac GROUP BY user_id)
 SELECT user_id, category, sport, CAST(v AS DOUBLE) AS value, what FROM rc""",
     "a04_dashboard": f"""WITH {LEGS}, ac AS (SELECT activity_id, user_id, sport, min(ts) AS began, sum(d) AS m, sum(CASE WHEN ele > ele0 THEN ele - ele0 ELSE 0 END) AS up, CASE WHEN user_id % 6 = 0 THEN 'strava' WHEN user_id % 7 = 0 THEN NULL ELSE 'file' END AS provider FROM lg GROUP BY activity_id, user_id, sport), us AS (SELECT user_id, min(ts) AS joined FROM lg GROUP BY user_id),
 ro AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'private' WHEN 'O' THEN 'public' ELSE 'unlisted' END AS visibility FROM {{orders}})
